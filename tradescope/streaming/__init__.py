@@ -1,0 +1 @@
+"""Intentionally empty: the analytics covered here are batch only, there is no stream to process."""

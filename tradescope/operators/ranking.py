@@ -75,6 +75,12 @@ def running_total(
     )
 
 
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """Linear interpolation, from the nearer end so that it stays monotone in doubles."""
+    gap = high - low
+    return F.when(part < 0.5, low + gap * part).otherwise(high - gap * (F.lit(1.0) - part))
+
+
 def group_percentile(
     df: DataFrame, group: str, value: str, share: float, out: str, slots: int | None = None
 ) -> DataFrame:
@@ -104,7 +110,5 @@ def group_percentile(
             value_at(high).cast("double").alias("_high"),
             F.max(place - low).alias("_part"),
         )
-        .select(
-            group, (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias(out)
-        )
+        .select(group, _between(F.col("_low"), F.col("_high"), F.col("_part")).alias(out))
     )

@@ -66,7 +66,7 @@ def overview_cards(
     ds: Dataset, fact: DataFrame, years: Sequence[int] | None = None
 ) -> DataFrame:
     """Operating expense, gross payroll, items below reorder and revenue per employee."""
-    exact = "decimal(38,6)"
+    exact = "decimal(38,4)"
     opex = monthly_expenses(expenses_in_scope(ds, years)).agg(
         total(F.col("opex").cast(exact)).alias("v")
     )

@@ -13,7 +13,7 @@ from tradescope.operators.filters import by_years
 from tradescope.operators.joins import lookup, lookup_table
 from tradescope.plans.sales import monthly_sales
 
-_EXACT = "decimal(38,6)"
+_EXACT = "decimal(38,4)"
 
 
 def expenses_in_scope(ds: Dataset, years: Sequence[int] | None = None) -> DataFrame:

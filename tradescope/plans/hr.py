@@ -145,7 +145,7 @@ def hr_results(
 
 def hr_cards(ds: Dataset, departments: DataFrame, payroll: DataFrame) -> DataFrame:
     """Headcount, gross payroll and mean of the department averages, as one row."""
-    gross = payroll.agg(total(F.col("gross_payroll").cast("decimal(38,6)")).alias("v"))
+    gross = payroll.agg(total(F.col("gross_payroll").cast("decimal(38,4)")).alias("v"))
     average = departments.agg(mean_rate("avg_salary").alias("v"))
     staff = ds.table("store_employees").agg(F.count_distinct("employee_id").alias("headcount"))
     return staff.select(

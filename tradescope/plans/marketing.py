@@ -164,7 +164,7 @@ def marketing_cards(
         mean_rate("open_rate_pct").alias("avg_open_rate_pct"),
         mean_rate("ctr_pct").alias("avg_ctr_pct"),
     )
-    spent = platforms.agg(total(F.col("spend").cast("decimal(38,6)")).alias("v"))
+    spent = platforms.agg(total(F.col("spend").cast("decimal(38,4)")).alias("v"))
     per_spend = trend.agg(mean_rate("revenue_per_spend").alias("v"))
     return rates.select(
         spent.select("v").scalar().alias("marketing_spend"),

@@ -117,7 +117,7 @@ def segment_counts(rfm: DataFrame) -> DataFrame:
 
 
 def segment_summary(rfm: DataFrame) -> DataFrame:
-    exact = "decimal(38,6)"
+    exact = "decimal(38,4)"
     return (
         rfm.groupBy("segment")
         .agg(

@@ -24,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 YEARS = [1997, 1998, 2000]
 PLATFORMS = ["AF", "RO"]
 REGIONS = ["ASIA", "EUROPE"]
+WAREHOUSE_ZONES = ["Zone-2", "Zone-3"]
 CATEGORIES = ["Category-1", "Category-2", "Category-4"]
 
 _QUERIES: dict[str, Query] = {}
@@ -376,7 +377,7 @@ def _(ds):
 
 @_query("warehouse_flow_filtered")
 def _(ds):
-    return operations.warehouse_flow(operations.inbound_in_scope(ds, YEARS, REGIONS))
+    return operations.warehouse_flow(operations.inbound_in_scope(ds, YEARS, WAREHOUSE_ZONES))
 
 
 _query("production_quality")(operations.production_quality)

@@ -1,300 +1,235 @@
 """The library's logical tables as views over the driver's star-schema tables.
 
-Every view keeps all rows of its source; see FIXTURES.md for the mapping.
+Each view is one projection of one driver table and keeps all of its rows (returned
+lines and cancelled orders excepted, where that is what the table means); see
+FIXTURES.md.  A table is opened when a query first asks for it.
 """
 
 from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tradescope.dataset import Dataset
-from tradescope.registry import MONEY
 
-
-def _money(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast(MONEY)
-
-
-def _plus(ts: Column, seconds: Column) -> Column:
-    return (ts + F.make_dt_interval(secs=seconds)).cast("timestamp_ntz")
-
-
-def _minutes_later() -> Column:
-    """``ts`` plus ``value`` minutes in whole seconds, null for errors."""
-    seconds = F.round(F.col("value") * 60, 0).cast("decimal(18,6)")
-    return F.when(F.col("event_type") != "error", _plus(F.col("ts"), seconds))
-
-
-def _status() -> Column:
-    sold = F.element_at(
-        F.array(F.lit("Shipped"), F.lit("Out for Delivery"), F.lit("Processing")),
-        (F.col("o_orderkey") % 3 + 1).cast("int"),
-    )
-    return (
-        F.when(F.col("o_orderstatus") == "F", "Delivered")
-        .when(F.col("o_orderstatus") == "O", sold)
-        .otherwise("Cancelled")
-    )
-
-
-def _line_id() -> Column:
-    return F.col("l_orderkey") * 8 + F.col("l_linenumber")
-
-
-def _product_id() -> Column:
-    unknown = (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "N")
-    return F.when(unknown, F.lit(-1).cast("long")).otherwise(F.col("l_partkey"))
-
-
-def _from_lineitem(line: DataFrame) -> dict[str, DataFrame]:
-    gross, off, tax = F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-    reasons = F.array(*[F.lit(r) for r in ("Damaged", "Wrong item", "Late", "Changed mind")])
-    delivered = _plus(F.col("l_shipdate"), (F.col("l_quantity") * 18000).cast("decimal(18,6)"))
-    lead = F.col("l_partkey") % 40 * 86400 + F.col("l_linenumber") * 3600
-    return {
-        "order_items": line.select(
-            F.col("l_orderkey").alias("order_id"),
-            _product_id().alias("prod_id"),
-            _money("l_quantity").alias("quantity"),
-            _money(gross).alias("gross_amount"),
-            _money(gross * off).alias("discount_amount"),
-            _money(gross * (1 - off)).alias("net_amount"),
-        ),
-        "sales_returns": line.where(F.col("l_returnflag") == "R").select(
-            _line_id().alias("return_id"),
-            F.col("l_orderkey").alias("order_id"),
-            _product_id().alias("prod_id"),
-            F.element_at(reasons, F.col("l_linenumber") % 4 + 1).alias("reason"),
-            _money(gross).alias("refund_amount"),
-            F.col("l_shipdate").alias("return_date"),
-        ),
-        "sales_shipments": line.select(
-            _line_id().alias("shipment_id"),
-            F.concat(F.lit("Courier-"), F.col("l_suppkey") % 7).alias("courier_name"),
-            F.when(F.col("l_linestatus") == "F", "Delivered")
-            .otherwise("In Transit")
-            .alias("status"),
-            F.col("l_shipdate").alias("shipped_date"),
-            F.when(F.col("l_linestatus") == "F", delivered).alias("delivered_date"),
-        ),
-        "ads_spend": line.select(
-            F.col("l_suppkey").alias("campaign_id"),
-            F.concat("l_returnflag", "l_linestatus").alias("platform"),
-            _money(gross * tax).alias("amount"),
-            F.col("l_shipdate").alias("spend_date"),
-        ),
-        "finance_expenses": line.select(
-            F.col("l_linenumber").cast("long").alias("exp_cat_id"),
-            _money(gross * tax).alias("amount"),
-            F.col("l_shipdate").alias("expense_date"),
-        ),
-        "inbound_shipments": line.select(
-            _line_id().alias("shipment_id"),
-            F.col("l_suppkey").alias("supplier_id"),
-            (F.col("l_suppkey") % 25).alias("warehouse_id"),
-            _money("l_quantity").alias("quantity"),
-            F.col("l_shipdate").alias("shipped_date"),
-            _plus(F.col("l_shipdate"), lead.cast("decimal(18,6)")).alias("arrival_date"),
-        ),
-        "work_orders": line.select(
-            F.col("l_linenumber").cast("long").alias("line_id"),
-            _money("l_quantity").alias("quantity_produced"),
-            _money(F.col("l_quantity") * off).alias("rejected_quantity"),
-            F.col("l_shipdate").alias("start_timestamp"),
-        ),
-    }
-
-
-def _from_orders(orders: DataFrame) -> dict[str, DataFrame]:
-    price, placed = F.col("o_totalprice"), F.col("o_orderdate")
-    refunded = orders.where(F.col("o_orderstatus") == "P")
-    return {
-        "orders": orders.select(
-            F.col("o_orderkey").alias("order_id"),
-            F.col("o_custkey").alias("cust_id"),
-            (F.col("o_custkey") % 27).alias("store_id"),
-            placed.alias("order_date"),
-            _status().alias("order_status"),
-            _money(price).alias("net_total"),
-            _money(price * 0.05).alias("discount_amount"),
-            (F.col("o_orderkey") % 4).alias("payment_mode_id"),
-        ),
-        "finance_payments": orders.select(
-            F.col("o_orderkey").alias("payment_id"),
-            _status().alias("status"),
-            _money(price).alias("amount"),
-            F.when(F.col("o_orderstatus") == "P", placed).alias("refunded_at"),
-            F.col("o_orderpriority").alias("refund_reason"),
-        ),
-        "refund_log": refunded.select(
-            F.col("o_orderkey").alias("refund_id"),
-            F.col("o_orderpriority").alias("reason"),
-            _money(price).alias("amount"),
-            placed.alias("refunded_at"),
-        ),
-        "pay_slips": orders.select(
-            F.col("o_custkey").alias("employee_id"),
-            _money(price).alias("gross_salary"),
-            _money(price * 0.8).alias("net_salary"),
-            _money(price * 0.1).alias("pf"),
-            _money(price * 0.02).alias("professional_tax"),
-            _money(price * 0.08).alias("income_tax"),
-            placed.alias("payment_date"),
-        ),
-        "salary_history": orders.select(
-            F.col("o_orderkey").alias("payment_id"),
-            F.col("o_orderstatus").alias("status"),
-            _money(price).alias("amount"),
-            placed.alias("payment_date"),
-        ),
-    }
-
-
-def _from_events(events: DataFrame) -> dict[str, DataFrame]:
-    kind = F.col("event_type")
-    return {
-        "support_tickets": events.select(
-            F.col("event_id").alias("ticket_id"),
-            kind.alias("category"),
-            F.col("ts").alias("created_date"),
-            _minutes_later().alias("resolved_date"),
-        ),
-        "email_clicks": events.select(
-            (F.col("user_id") % 120).alias("campaign_id"),
-            F.lit(1).cast("long").alias("emails_sent"),
-            kind.isin("view", "click", "purchase").cast("long").alias("emails_opened"),
-            kind.isin("click", "purchase").cast("long").alias("emails_clicked"),
-            F.col("ts").alias("sent_date"),
-        ),
-        "page_views": events.select(
-            F.col("event_id").alias("view_id"),
-            F.concat_ws("-", "user_id", F.col("ts").cast("date").cast("string")).alias("session_id"),
-            F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("customer_id"),
-            F.col("ts").alias("view_timestamp"),
-        ),
-        "attendance": events.select(
-            F.col("event_id").alias("attendance_id"),
-            F.col("user_id").alias("employee_id"),
-            F.col("ts").alias("attendance_date"),
-            F.col("ts").alias("check_in"),
-            _minutes_later().alias("check_out"),
-        ),
-        "api_requests": events.select(
-            F.col("event_id").alias("request_id"),
-            F.concat(F.lit("/ep"), F.col("user_id") % 10).alias("endpoint"),
-            F.when(kind == "error", 500)
-            .when(kind != "signup", 200)
-            .cast("long")
-            .alias("status_code"),
-            F.col("value").alias("response_time_ms"),
-            F.col("ts").alias("timestamp"),
-        ),
-    }
-
-
-def _from_dimensions(spark: SparkSession, read) -> dict[str, DataFrame]:
-    customer, supplier, part = read("customer"), read("supplier"), read("part")
-    nation, region, labels = read("nation"), read("region"), read("labels")
-    brand_id = F.regexp_replace("p_brand", "Brand#", "").cast("long")
-    budget = F.when(F.col("s_acctbal") > 0, _money(F.col("s_acctbal") * 100)).otherwise(
-        F.lit(0).cast(MONEY)
-    )
-    kind = brand_id % 6
-    return {
-        "products": part.select(
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            brand_id.alias("brand_id"),
-            _money(F.col("p_retailprice") * 0.5).alias("cost_price"),
-        ),
-        "brand": part.select(
-            brand_id.alias("brand_id"),
-            F.col("p_brand").alias("brand_name"),
-            kind.alias("category_id"),
-        ).distinct(),
-        "category": part.select(
-            kind.alias("category_id"),
-            F.when(kind != 5, F.concat(F.lit("Category-"), kind)).alias("category_name"),
-        ).distinct(),
-        "inventory": part.select(
-            F.col("p_partkey").alias("product_id"),
-            (F.col("p_partkey") % 25).alias("store_id"),
-            _money("p_size").alias("quantity_on_hand"),
-            F.lit(25).cast(MONEY).alias("reorder_level"),
-        ),
-        "stores": nation.select(
-            F.col("n_nationkey").cast("long").alias("store_id"),
-            F.col("n_name").alias("store_name"),
-            F.col("n_regionkey").cast("long").alias("region_id"),
-        ),
-        "region": region.select(
-            F.col("r_regionkey").cast("long").alias("region_id"),
-            F.col("r_name").alias("region_name"),
-            F.concat(F.lit("State of "), "r_name").alias("state"),
-        ),
-        "warehouses": nation.join(
-            region, F.col("n_regionkey") == F.col("r_regionkey")
-        ).select(
-            F.col("n_nationkey").cast("long").alias("warehouse_id"),
-            F.col("n_name").alias("name"),
-            F.col("r_name").alias("region"),
-        ),
-        "department": region.select(
-            F.col("r_regionkey").cast("long").alias("dept_id"),
-            F.concat(F.lit("Dept "), "r_name").alias("dept_name"),
-        ),
-        "loyalty_tiers": region.select(
-            F.col("r_regionkey").cast("long").alias("tier_id"),
-            F.concat(F.lit("Tier "), "r_name").alias("tier_name"),
-        ),
-        "customers": customer.select(F.col("c_custkey").alias("customer_id")),
-        "loyalty_members": customer.select(
-            F.col("c_custkey").alias("customer_id"),
-            (F.col("c_nationkey") % 6).cast("long").alias("tier_id"),
-            _money("c_acctbal").alias("points_balance"),
-        ),
-        "store_employees": customer.select(
-            F.col("c_custkey").alias("employee_id"),
-            (F.col("c_nationkey") % 6).cast("long").alias("dept_id"),
-            F.concat_ws("-", "c_mktsegment", F.col("c_custkey") % 3).alias("role"),
-            _money("c_acctbal").alias("salary"),
-            (F.col("c_custkey") % 27).alias("store_id"),
-        ),
-        "campaigns": supplier.select(
-            F.col("s_suppkey").alias("campaign_id"),
-            F.col("s_name").alias("campaign_name"),
-            budget.alias("budget"),
-        ),
-        "suppliers": supplier.select(
-            F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name")
-        ),
-        "reviews": labels.select(
-            (F.col("quality") * 3 + F.col("toxic") + 1).cast("long").alias("rating")
-        ),
-        "expense_category": spark.range(1, 7).select(
-            F.col("id").alias("exp_cat_id"), F.concat(F.lit("Expense-"), "id").alias("category_name")
-        ),
-        "production_lines": spark.range(1, 8).select(
-            F.col("id").alias("line_id"), F.concat(F.lit("Line-"), "id").alias("line_name")
-        ),
-    }
-
-
-# Which builder makes which table, so that a query opens only the files it reads.
-_LINEITEM = (
-    "order_items sales_returns sales_shipments ads_spend finance_expenses "
-    "inbound_shipments work_orders"
-).split()
-_ORDERS = "orders finance_payments refund_log pay_slips salary_history".split()
-_EVENTS = "support_tickets email_clicks page_views attendance api_requests".split()
-_DIMENSIONS = (
-    "products brand category inventory stores region warehouses department loyalty_tiers "
-    "customers loyalty_members store_employees campaigns suppliers reviews "
-    "expense_category production_lines"
-).split()
+MONEY = "decimal(18,4)"
+
+_LINE_ID = "l_orderkey * 8 + l_linenumber"
+_PRODUCT_ID = "CASE WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN -1L ELSE l_partkey END"
+_STATUS = (
+    "CASE WHEN o_orderstatus = 'F' THEN 'Delivered' WHEN o_orderstatus = 'P' THEN 'Cancelled' "
+    "WHEN o_orderkey % 3 = 0 THEN 'Shipped' WHEN o_orderkey % 3 = 1 THEN 'Out for Delivery' "
+    "ELSE 'Processing' END"
+)
+# Whole seconds, so that both engines add exactly the same interval.
+_LATER = (
+    "CASE WHEN event_type <> 'error' THEN "
+    "ts + make_dt_interval(0, 0, 0, CAST(round(value * 60, 0) AS decimal(18,6))) END"
+)
+_BRAND_ID = "CAST(replace(p_brand, 'Brand#', '') AS bigint)"
+
+
+def _money(expr: str, name: str) -> str:
+    return f"CAST({expr} AS {MONEY}) AS {name}"
+
+
+_VIEWS: dict[str, tuple[str, list[str]]] = {
+    "order_items": ("lineitem", [
+        "l_orderkey AS order_id",
+        f"{_PRODUCT_ID} AS prod_id",
+        _money("l_quantity", "quantity"),
+        _money("l_extendedprice", "gross_amount"),
+        _money("l_extendedprice * l_discount", "discount_amount"),
+        _money("l_extendedprice * (1 - l_discount)", "net_amount"),
+    ]),
+    "sales_returns": ("lineitem", [
+        f"{_LINE_ID} AS return_id",
+        "l_orderkey AS order_id",
+        f"{_PRODUCT_ID} AS prod_id",
+        "elt(l_linenumber % 4 + 1, 'Damaged', 'Wrong item', 'Late', 'Changed mind') AS reason",
+        _money("l_extendedprice", "refund_amount"),
+        "l_shipdate AS return_date",
+    ]),
+    "sales_shipments": ("lineitem", [
+        f"{_LINE_ID} AS shipment_id",
+        "concat('Courier-', l_suppkey % 7) AS courier_name",
+        "CASE WHEN l_linestatus = 'F' THEN 'Delivered' ELSE 'In Transit' END AS status",
+        "l_shipdate AS shipped_date",
+        "CASE WHEN l_linestatus = 'F' THEN "
+        "l_shipdate + make_dt_interval(0, CAST(l_quantity * 5 AS int)) END AS delivered_date",
+    ]),
+    "ads_spend": ("lineitem", [
+        "l_suppkey AS campaign_id",
+        "concat(l_returnflag, l_linestatus) AS platform",
+        _money("l_extendedprice * l_tax", "amount"),
+        "l_shipdate AS spend_date",
+    ]),
+    "finance_expenses": ("lineitem", [
+        "CAST(l_linenumber AS bigint) AS exp_cat_id",
+        _money("l_extendedprice * l_tax", "amount"),
+        "l_shipdate AS expense_date",
+    ]),
+    "inbound_shipments": ("lineitem", [
+        f"{_LINE_ID} AS shipment_id",
+        "l_suppkey AS supplier_id",
+        "l_suppkey % 25 AS warehouse_id",
+        _money("l_quantity", "quantity"),
+        "l_shipdate AS shipped_date",
+        "l_shipdate + make_dt_interval(CAST(l_partkey % 40 AS int), l_linenumber) AS arrival_date",
+    ]),
+    "work_orders": ("lineitem", [
+        "CAST(l_linenumber AS bigint) AS line_id",
+        _money("l_quantity", "quantity_produced"),
+        _money("l_quantity * l_discount", "rejected_quantity"),
+        "l_shipdate AS start_timestamp",
+    ]),
+    "orders": ("orders", [
+        "o_orderkey AS order_id",
+        "o_custkey AS cust_id",
+        "o_custkey % 27 AS store_id",
+        "o_orderdate AS order_date",
+        f"{_STATUS} AS order_status",
+        _money("o_totalprice", "net_total"),
+        _money("o_totalprice * 0.05D", "discount_amount"),
+        "o_orderkey % 4 AS payment_mode_id",
+    ]),
+    "finance_payments": ("orders", [
+        "o_orderkey AS payment_id",
+        f"{_STATUS} AS status",
+        _money("o_totalprice", "amount"),
+        "CASE WHEN o_orderstatus = 'P' THEN o_orderdate END AS refunded_at",
+        "o_orderpriority AS refund_reason",
+    ]),
+    "refund_log": ("orders", [
+        "o_orderkey AS refund_id",
+        "o_orderpriority AS reason",
+        _money("o_totalprice", "amount"),
+        "o_orderdate AS refunded_at",
+    ]),
+    "pay_slips": ("orders", [
+        "o_custkey AS employee_id",
+        _money("o_totalprice", "gross_salary"),
+        _money("o_totalprice * 0.8D", "net_salary"),
+        _money("o_totalprice * 0.1D", "pf"),
+        _money("o_totalprice * 0.02D", "professional_tax"),
+        _money("o_totalprice * 0.08D", "income_tax"),
+        "o_orderdate AS payment_date",
+    ]),
+    "salary_history": ("orders", [
+        "o_orderkey AS payment_id",
+        "o_orderstatus AS status",
+        _money("o_totalprice", "amount"),
+        "o_orderdate AS payment_date",
+    ]),
+    "support_tickets": ("events", [
+        "event_id AS ticket_id",
+        "event_type AS category",
+        "ts AS created_date",
+        f"{_LATER} AS resolved_date",
+    ]),
+    "email_clicks": ("events", [
+        "user_id % 120 AS campaign_id",
+        "1L AS emails_sent",
+        "CAST(event_type IN ('view', 'click', 'purchase') AS bigint) AS emails_opened",
+        "CAST(event_type IN ('click', 'purchase') AS bigint) AS emails_clicked",
+        "ts AS sent_date",
+    ]),
+    "page_views": ("events", [
+        "event_id AS view_id",
+        "concat(user_id, '-', CAST(ts AS date)) AS session_id",
+        "CASE WHEN user_id % 3 <> 0 THEN user_id END AS customer_id",
+        "ts AS view_timestamp",
+    ]),
+    "attendance": ("events", [
+        "event_id AS attendance_id",
+        "user_id AS employee_id",
+        "ts AS attendance_date",
+        "ts AS check_in",
+        f"{_LATER} AS check_out",
+    ]),
+    "api_requests": ("events", [
+        "event_id AS request_id",
+        "concat('/ep', user_id % 10) AS endpoint",
+        "CASE WHEN event_type = 'error' THEN 500L WHEN event_type <> 'signup' THEN 200L END "
+        "AS status_code",
+        "value AS response_time_ms",
+        "ts AS timestamp",
+    ]),
+    "products": ("part", [
+        "p_partkey AS product_id",
+        "p_name AS product_name",
+        f"{_BRAND_ID} AS brand_id",
+        _money("p_retailprice * 0.5D", "cost_price"),
+    ]),
+    "brand": ("part", [
+        f"{_BRAND_ID} AS brand_id",
+        "p_brand AS brand_name",
+        f"{_BRAND_ID} % 6 AS category_id",
+    ]),
+    "category": ("part", [
+        f"{_BRAND_ID} % 6 AS category_id",
+        f"CASE WHEN {_BRAND_ID} % 6 <> 5 THEN concat('Category-', {_BRAND_ID} % 6) END "
+        "AS category_name",
+    ]),
+    "inventory": ("part", [
+        "p_partkey AS product_id",
+        "p_partkey % 25 AS store_id",
+        _money("p_size", "quantity_on_hand"),
+        _money("25", "reorder_level"),
+    ]),
+    "stores": ("nation", [
+        "CAST(n_nationkey AS bigint) AS store_id",
+        "n_name AS store_name",
+        "CAST(n_regionkey AS bigint) AS region_id",
+    ]),
+    "warehouses": ("nation", [
+        "CAST(n_nationkey AS bigint) AS warehouse_id",
+        "n_name AS name",
+        "concat('Zone-', n_regionkey) AS region",
+    ]),
+    "region": ("region", [
+        "CAST(r_regionkey AS bigint) AS region_id",
+        "r_name AS region_name",
+        "concat('State of ', r_name) AS state",
+    ]),
+    "department": ("region", [
+        "CAST(r_regionkey AS bigint) AS dept_id",
+        "concat('Dept ', r_name) AS dept_name",
+    ]),
+    "loyalty_tiers": ("region", [
+        "CAST(r_regionkey AS bigint) AS tier_id",
+        "concat('Tier ', r_name) AS tier_name",
+    ]),
+    "customers": ("customer", ["c_custkey AS customer_id"]),
+    "loyalty_members": ("customer", [
+        "c_custkey AS customer_id",
+        "CAST(c_nationkey % 6 AS bigint) AS tier_id",
+        _money("c_acctbal", "points_balance"),
+    ]),
+    "store_employees": ("customer", [
+        "c_custkey AS employee_id",
+        "CAST(c_nationkey % 6 AS bigint) AS dept_id",
+        "concat(c_mktsegment, '-', c_custkey % 3) AS role",
+        _money("c_acctbal", "salary"),
+        "c_custkey % 27 AS store_id",
+    ]),
+    "campaigns": ("supplier", [
+        "s_suppkey AS campaign_id",
+        "s_name AS campaign_name",
+        _money("CASE WHEN s_acctbal > 0 THEN s_acctbal * 100 ELSE 0D END", "budget"),
+    ]),
+    "suppliers": ("supplier", ["s_suppkey AS supplier_id", "s_name AS supplier_name"]),
+    "reviews": ("labels", ["CAST(quality * 3 + toxic + 1 AS bigint) AS rating"]),
+}
+
+_ROWS = {"sales_returns": "l_returnflag = 'R'", "refund_log": "o_orderstatus = 'P'"}
+_DISTINCT = {"brand", "category"}
+# Small code lists that the driver's tables only hold as numbers 1..n.
+_CODES = {
+    "expense_category": (6, "exp_cat_id", "category_name", "Expense-"),
+    "production_lines": (7, "line_id", "line_name", "Line-"),
+}
 
 
 def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -302,17 +237,18 @@ def dataset(spark: SparkSession, sf_dir: str) -> Dataset:
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    builders = [
-        (_LINEITEM, cache(lambda: _from_lineitem(read("lineitem")))),
-        (_ORDERS, cache(lambda: _from_orders(read("orders")))),
-        (_EVENTS, cache(lambda: _from_events(read("events")))),
-        (_DIMENSIONS, cache(lambda: _from_dimensions(spark, read))),
-    ]
-    return Dataset(
-        spark,
-        {
-            key: (lambda build=build, key=key: build()[key])
-            for keys, build in builders
-            for key in keys
-        },
-    )
+    def view(key: str) -> DataFrame:
+        source, columns = _VIEWS[key]
+        rows = read(source).where(_ROWS[key]) if key in _ROWS else read(source)
+        rows = rows.selectExpr(*columns)
+        return rows.distinct() if key in _DISTINCT else rows
+
+    def codes(key: str) -> DataFrame:
+        last, number, name, prefix = _CODES[key]
+        return spark.range(1, last + 1).selectExpr(
+            f"id AS {number}", f"concat('{prefix}', id) AS {name}"
+        )
+
+    views = {key: (lambda key=key: view(key)) for key in _VIEWS}
+    lists = {key: (lambda key=key: codes(key)) for key in _CODES}
+    return Dataset(spark, {**views, **lists})

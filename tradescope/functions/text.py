@@ -32,6 +32,11 @@ def grouped(value: Column | str, digits: int = 0) -> Column:
     return F.format_number(col(value), digits)
 
 
+def fixed(value: Column | str, digits: int) -> Column:
+    """A number without separators, rounded like the exact binary value, half to even."""
+    return F.call_function("format_number", col(value), F.lit("0." + "0" * digits))
+
+
 def currency(value: Column | str) -> Column:
     """Rupee amount in crore, lakh or thousand, by the size of its absolute value."""
     v = col(value).cast("double")
@@ -44,7 +49,7 @@ def currency(value: Column | str) -> Column:
 
 def percent_text(value: Column | str) -> Column:
     v = col(value).cast("double")
-    return F.when(_finite(v), F.format_string("%.2f%%", v)).otherwise(F.lit(_MISSING))
+    return F.when(_finite(v), F.concat(fixed(v, 2), F.lit("%"))).otherwise(F.lit(_MISSING))
 
 
 def html_escape(value: Column | str) -> Column:

@@ -55,13 +55,13 @@ def profile_table(df: DataFrame, key: str, json_columns: list[str] | None = None
         F.count_distinct("whole_row").alias("distinct_rows"),
     )
     cells = F.greatest(F.col("rows") * F.lit(len(df.columns)), F.lit(1))
+    missing = F.col("nulls").cast("double") / cells * F.lit(100.0)
     return measured.select(
         F.lit(key).alias("table_key"),
         "rows",
         F.lit(len(df.columns)).cast("long").alias("columns"),
-        F.bround(F.col("nulls").cast("double") / cells * F.lit(100.0), 2).alias(
-            "missing_cell_rate_pct"
-        ),
+        # rint rounds the binary value half to even; bround would round its printed form.
+        (F.rint(missing * F.lit(100.0)) / F.lit(100.0)).alias("missing_cell_rate_pct"),
         (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows_after_cleaning"),
     )
 

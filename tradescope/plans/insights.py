@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradescope.dataset import Dataset
-from tradescope.functions.text import RUPEE, grouped
+from tradescope.functions.text import RUPEE, fixed, grouped
 from tradescope.plans.cross import cross_functional_results
 from tradescope.plans.finance import expense_categories, expenses_in_scope
 from tradescope.plans.hr import headcount
@@ -89,7 +89,7 @@ def _at_risk(rfm: DataFrame) -> DataFrame:
 
 def _executive(fact: DataFrame) -> DataFrame:
     margin = F.when(F.col("margin_pct").isNull(), F.lit("nan")).otherwise(
-        F.format_string("%.1f", F.col("margin_pct"))
+        fixed("margin_pct", 1)
     )
     message = _sentence(
         EXECUTIVE,

@@ -471,8 +471,8 @@ def oracle_sql() -> dict[str, str]:
         "segment_counts": _sql("fact", "SELECT segment, COUNT(DISTINCT cust_id) AS customers FROM rfm GROUP BY segment",
             **_RFM_PARTS),
         "segment_summary": _sql("fact", """SELECT segment, COUNT(DISTINCT cust_id) AS customers,
-            CAST(SUM(CAST(monetary AS DECIMAL(38,4))) AS DOUBLE) AS monetary,
-            CAST(SUM(CAST(clv_proxy AS DECIMAL(38,4))) AS DOUBLE) AS clv_proxy FROM rfm GROUP BY segment""", **_RFM_PARTS),
+            CAST(SUM(CAST(CAST(monetary AS VARCHAR) AS DECIMAL(38,6))) AS DOUBLE) AS monetary,
+            CAST(SUM(CAST(CAST(clv_proxy AS VARCHAR) AS DECIMAL(38,6))) AS DOUBLE) AS clv_proxy FROM rfm GROUP BY segment""", **_RFM_PARTS),
         "at_risk_customers": _sql("fact", f"SELECT {_AT_RISK} AS at_risk_customers", **_RFM_PARTS),
         "repeat_purchase_rate": _sql("fact", f"""SELECT {_pct("COUNT(*) FILTER (WHERE frequency > 1)", "COUNT(*)")}
             AS repeat_purchase_rate_pct FROM per_customer""", per_customer=_RFM_PARTS["per_customer"]),
@@ -604,10 +604,10 @@ def oracle_sql() -> dict[str, str]:
         "api_health": _sql("api", f"""SELECT endpoint, COUNT(DISTINCT request_id) AS requests,
             {_pct("COUNT(*) FILTER (WHERE status_code >= 400)", "COUNT(*)")} AS error_rate_pct,
             MAX(p95) AS p95_latency_ms FROM api a LEFT JOIN placed_p95 USING (endpoint) WHERE endpoint IS NOT NULL
-            GROUP BY endpoint""", ordered="""SELECT endpoint, latency, 0.95::DOUBLE * (COUNT(*) OVER (PARTITION BY endpoint) - 1) AS at,
+            GROUP BY endpoint""", ordered="""SELECT endpoint, latency, 0.95::DOUBLE * (COUNT(*) OVER (PARTITION BY endpoint) - 1) AS place,
             ROW_NUMBER() OVER (PARTITION BY endpoint ORDER BY latency) - 1 AS i FROM api WHERE latency IS NOT NULL""",
-            ends="""SELECT endpoint, MAX(at - floor(at)) AS part, MAX(CASE WHEN i = floor(at) THEN latency END) AS low,
-            MAX(CASE WHEN i = ceil(at) THEN latency END) AS high FROM ordered GROUP BY endpoint""",
+            ends="""SELECT endpoint, MAX(place - floor(place)) AS part, MAX(CASE WHEN i = floor(place) THEN latency END) AS low,
+            MAX(CASE WHEN i = ceil(place) THEN latency END) AS high FROM ordered GROUP BY endpoint""",
             placed_p95="""SELECT endpoint, CASE WHEN part < 0.5 THEN low + (high - low) * part
             ELSE high - (high - low) * (1.0::DOUBLE - part) END AS p95 FROM ends"""),
         "operations_cards": _sql("stock outbound work line_names inbound", f"""SELECT

@@ -7,6 +7,8 @@ handling may split a hot key on the left.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 
 from tradescope.dataset import Dataset
@@ -19,14 +21,16 @@ def lookup(
     columns: list[str] | None = None,
     suffix: str = "_right",
     right_key: str | None = None,
+    taken: Collection[str] = (),
 ) -> DataFrame:
     """Left join ``right`` by key, keeping ``columns`` of it (all of them by default).
 
-    A name that both sides share stays with the left; the right one gets ``suffix``.
+    A name that both sides share, or that is ``taken`` elsewhere, gets ``suffix`` on the
+    right.
     """
     key = right_key or on
     wanted = [c for c in right.columns if c != key and (columns is None or c in columns)]
-    renamed = {c: c + suffix for c in wanted if c in left.columns}
+    renamed = {c: c + suffix for c in wanted if c in left.columns or c in taken}
     side = right.select(key, *wanted).withColumnsRenamed(renamed)
     if key == on:
         return left.join(side, on, "left")
@@ -43,8 +47,9 @@ def lookup_table(
     on: str,
     columns: list[str] | None = None,
     suffix: str = "_right",
+    taken: Collection[str] = (),
 ) -> DataFrame:
     """``lookup`` into a table of the dataset; a no-op when table or key is missing."""
     if key not in ds or on not in left.columns or on not in ds[key].columns:
         return left
-    return lookup(left, ds[key], on, columns, suffix)
+    return lookup(left, ds[key], on, columns, suffix, taken=taken)

@@ -47,10 +47,26 @@ def categorised_products(ds: Dataset) -> DataFrame:
     return products.join(brands, "brand_id").join(categories, "category_id")
 
 
-def _order_side(ds: Dataset) -> DataFrame:
+def _item_side(ds: Dataset, dimensions: Collection[str]) -> DataFrame:
+    """Order items with their product; an unknown product leaves its columns null."""
+    items = ds.table("order_items").withColumnRenamed("discount_amount", "item_discount_amount")
+    if "products" not in ds or "prod_id" not in items.columns:
+        return items
+    products = product_dimension(ds, dimensions)
+    return lookup(items, products, "prod_id", suffix="_product", right_key="product_id")
+
+
+def _order_side(ds: Dataset, dimensions: Collection[str], taken: list[str]) -> DataFrame:
+    """Valid orders with their store and region; names the items use get a suffix."""
     orders = valid_orders(ds.table("orders"))
-    kept = orders.select(*[c for c in ORDER_COLUMNS if c in orders.columns])
-    return kept.withColumnRenamed("discount_amount", "order_discount_amount")
+    orders = orders.select(*[c for c in ORDER_COLUMNS if c in orders.columns])
+    orders = orders.withColumnRenamed("discount_amount", "order_discount_amount")
+    if "stores" in dimensions or "region" in dimensions:
+        orders = lookup_table(orders, ds, "stores", "store_id", suffix="_store", taken=taken)
+    if "region" in dimensions:
+        orders = lookup_table(orders, ds, "region", "region_id", suffix="_region", taken=taken)
+    clashes = {c: f"{c}_order" for c in orders.columns if c in taken and c != "order_id"}
+    return orders.withColumnsRenamed(clashes)
 
 
 def _amount(df: DataFrame, name: str) -> Column:
@@ -60,27 +76,14 @@ def _amount(df: DataFrame, name: str) -> Column:
 def sales_fact(ds: Dataset, dimensions: Collection[str] = DIMENSIONS) -> DataFrame:
     """Items of valid orders with product, store and region attributes.
 
-    Items and orders meet on ``order_id`` in one shuffle, after the status filter and with
-    only the columns a later step asks for.  An item whose product is unknown keeps its
-    revenue and gets cost zero.  ``dimensions`` names the lookups that are wanted beside
-    the product itself; leaving out unused ones saves their joins.
+    Every lookup happens on the side that owns its key, and items meet orders last.  The
+    fact therefore leaves this function partitioned by order, and a distinct count of
+    orders per group needs no second shuffle of the items.  An item whose product is
+    unknown keeps its revenue and gets cost zero.  ``dimensions`` names the lookups that
+    are wanted beside the product itself; leaving out unused ones saves their joins.
     """
-    items = ds.table("order_items").withColumnRenamed("discount_amount", "item_discount_amount")
-    orders = _order_side(ds)
-    clashes = {c: f"{c}_order" for c in orders.columns if c in items.columns and c != "order_id"}
-    fact = items.join(orders.withColumnsRenamed(clashes), "order_id")
-    if "products" in ds and "prod_id" in fact.columns:
-        fact = lookup(
-            fact,
-            product_dimension(ds, dimensions),
-            "prod_id",
-            suffix="_product",
-            right_key="product_id",
-        )
-    if "stores" in dimensions or "region" in dimensions:
-        fact = lookup_table(fact, ds, "stores", "store_id", suffix="_store")
-    if "region" in dimensions:
-        fact = lookup_table(fact, ds, "region", "region_id", suffix="_region")
+    items = _item_side(ds, dimensions)
+    fact = items.join(_order_side(ds, dimensions, items.columns), "order_id")
     fact = with_numbers(fact, ZERO_FILLED)
     cost = _amount(fact, "quantity") * _amount(fact, "cost_price")
     fact = fact.withColumn("cost", cost)
@@ -100,8 +103,7 @@ def inner_sales(ds: Dataset, products: DataFrame | None = None) -> DataFrame:
     orders = valid_orders(ds.table("orders"))
     orders = orders.select("order_id", "cust_id", "store_id", "order_date")
     items = ds.table("order_items").select("order_id", "prod_id", "quantity", "net_amount")
-    return (
-        items.join(orders, "order_id")
-        .join(products.withColumnRenamed("product_id", "prod_id"), "prod_id")
-        .withColumn("cost", F.col("quantity") * F.col("cost_price"))
+    priced = items.join(products.withColumnRenamed("product_id", "prod_id"), "prod_id")
+    return priced.join(orders, "order_id").withColumn(
+        "cost", F.col("quantity") * F.col("cost_price")
     )

@@ -59,7 +59,10 @@ def inventory_positions(ds: Dataset) -> DataFrame:
 
 
 def inventory_risk(ds: Dataset) -> DataFrame:
-    return inventory_positions(ds).orderBy(F.col("inventory_value").desc_nulls_last())
+    """Inventory by value, ties by product and store, so that many equal values still spread."""
+    rows = inventory_positions(ds)
+    ties = [c for c in ("product_id", "store_id") if c in rows.columns]
+    return rows.orderBy(F.col("inventory_value").desc_nulls_last(), *ties)
 
 
 def inventory_by_category(ds: Dataset) -> DataFrame:
@@ -249,7 +252,12 @@ def inventory_below_reorder(ds: Dataset) -> DataFrame:
             (F.col("quantity_on_hand") < F.col("reorder_level")).alias("below_reorder"),
             (F.col("quantity_on_hand") * F.col("cost_price")).cast("double").alias("inventory_value"),
         )
-        .orderBy(F.col("below_reorder").desc_nulls_first(), F.col("inventory_value").desc_nulls_first())
+        .orderBy(
+            F.col("below_reorder").desc_nulls_first(),
+            F.col("inventory_value").desc_nulls_first(),
+            "product_name",
+            "store_id",
+        )
     )
 
 

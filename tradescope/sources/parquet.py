@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tradescope.dataset import Dataset
-from tradescope.registry import TableSpec
+from tradescope.registry import TableSpec, table_specs
+from tradescope.sources.catalog import clustered_by_date
 
 
 class ParquetSource:
@@ -22,8 +23,15 @@ class ParquetSource:
         return self.spark.read.parquet(self.path(spec))
 
 
-def write_lake(ds: Dataset, root: str, specs: dict[str, TableSpec]) -> None:
-    """Write cleaned tables once, so that later runs scan Parquet with pushed filters."""
+def write_lake(ds: Dataset, root: str, by_date: bool = True) -> None:
+    """Write cleaned tables once; later runs scan them with pushed filters and no clean-up.
+
+    With ``by_date`` each dated table is laid out by its first date column.
+    """
     for key, df in ds.items():
-        spec = specs[key]
-        df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{spec.namespace}/{spec.name}")
+        spec = table_specs()[key]
+        dates = [c for c in spec.date_columns if c in df.columns]
+        laid_out = clustered_by_date(df, dates[0]) if by_date and dates else df
+        laid_out.write.mode("overwrite").parquet(
+            f"{root.rstrip('/')}/{spec.namespace}/{spec.name}"
+        )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradescope.functions.text import html_escape
@@ -34,16 +34,16 @@ def write_text(lines: DataFrame, path: str) -> None:
     _in_one_file(lines).write.mode("overwrite").text(path)
 
 
-def html_lines(lines: DataFrame, spark_seq: str = "seq") -> DataFrame:
-    """The report lines escaped inside a ``pre`` block."""
-    edges = lines.agg(F.min(spark_seq).alias("first"), F.max(spark_seq).alias("last"))
-    head = F.when(
-        F.col(spark_seq) == edges.select("first").scalar(), F.lit("<html><body><pre>")
-    ).otherwise(F.lit(""))
-    tail = F.when(
-        F.col(spark_seq) == edges.select("last").scalar(), F.lit("</pre></body></html>")
-    ).otherwise(F.lit(""))
-    return lines.select(F.col(spark_seq).alias("seq"), F.concat(head, html_escape("line"), tail).alias("line"))
+def html_lines(lines: DataFrame) -> DataFrame:
+    """The report lines escaped inside a ``pre`` block; pass staged lines, they are read twice."""
+    edges = lines.agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+    def at(edge: str, tags: str) -> Column:
+        here = F.col("seq") == edges.select(edge).scalar()
+        return F.when(here, F.lit(tags)).otherwise(F.lit(""))
+
+    head, tail = at("first", "<html><body><pre>"), at("last", "</pre></body></html>")
+    return lines.select("seq", F.concat(head, html_escape("line"), tail).alias("line"))
 
 
 def write_html(lines: DataFrame, path: str) -> None:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradescope.dataset import Dataset
-from tradescope.functions.exprs import number_or_zero, to_timestamp
+from tradescope.functions.exprs import number_or_zero
 from tradescope.functions.text import currency, html_escape, percent_text
 from tradescope.operators import clean, filters, quality, ranking
 from tradescope.operators.filters import Filters
 from tradescope.operators.staging import stage
 from tradescope.plans import cross, fact, finance, hr, insights, marketing, operations, report, rfm, sales
+from tradescope.session import prepare
 from tradescope.sources.sinks import html_lines
 from verification.tables import dataset
 
@@ -38,7 +39,11 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 def _query(name: str):
     def register(build: Callable[[Dataset], DataFrame]):
-        _QUERIES[name] = lambda spark, sf_dir: _doubles(build(dataset(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return _doubles(build(dataset(spark, sf_dir)))
+
+        _QUERIES[name] = run
         return build
 
     return register
@@ -452,7 +457,8 @@ def _(ds):
 
 @_query("report_html")
 def _(ds):
-    return html_lines(report.build_report(ds, _staged_fact(ds), Filters()).lines)
+    lines = report.build_report(ds, _staged_fact(ds), Filters()).lines
+    return html_lines(stage(lines, "report_lines"))
 
 
 # --- Cleaning and validation ---------------------------------------------------------------

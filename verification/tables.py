@@ -31,7 +31,13 @@ _BRAND_ID = "CAST(replace(p_brand, 'Brand#', '') AS bigint)"
 
 
 def _money(expr: str, name: str) -> str:
-    return f"CAST({expr} AS {MONEY}) AS {name}"
+    """A double amount as a decimal, by way of whole ten-thousandths.
+
+    Every amount here has at most four decimals, so this equals the plain cast, which is
+    twice as slow because it prints and parses each double.
+    """
+    units = f"CAST(CAST(rint(({expr}) * 10000) AS bigint) AS decimal(18,0))"
+    return f"CAST({units} * 0.0001BD AS {MONEY}) AS {name}"
 
 
 _VIEWS: dict[str, tuple[str, list[str]]] = {

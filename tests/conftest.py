@@ -14,6 +14,8 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "8")
         # Not UTC on purpose: no result may depend on the session time zone.
         .config("spark.sql.session.timeZone", "America/New_York")
+        # Whole pushed filters in printed plans.
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )

@@ -10,24 +10,6 @@ from verification.catalog import queries
 from verification.tables import dataset
 
 SF = "/root/testdata/sf0.001"
-FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"]
-
-
-@pytest.fixture
-def no_broadcast(spark):
-    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
-    old = {k: spark.conf.get(k, None) for k in keys}
-    for k in keys:
-        spark.conf.set(k, "-1")
-    yield
-    for k, v in old.items():
-        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-@pytest.mark.parametrize("name", list(queries()))
-def test_no_cross_join_and_no_python_in_the_plan(spark, name, no_broadcast):
-    plan = physical_plan(queries()[name](spark, SF))
-    assert not [node for node in FORBIDDEN if node in plan]
 
 
 def test_no_window_over_the_whole_table(spark):

@@ -1,8 +1,10 @@
 import glob
+from pathlib import Path
+from urllib.parse import urlparse
 
 from tests.helpers import dataset, physical_plan, rows
 from tradescope.operators.filters import Filters, by_years
-from tradescope.operators.staging import stage, stage_root
+from tradescope.operators.staging import drop_staged, stage, stage_root
 from tradescope.plans.fact import sales_fact
 from tradescope.plans.report import export_report
 from tradescope.registry import selected_specs, table_specs
@@ -102,6 +104,15 @@ def test_staging_uses_the_shared_folder(spark):
     assert staged.inputFiles()[0].removeprefix("file://").removeprefix("file:").startswith(stage_root(spark))
 
 
+def test_dropping_staged_tables_leaves_other_applications_alone(spark, tmp_path):
+    own = Path(urlparse(stage(spark.range(3), "numbers").inputFiles()[0]).path)
+    foreign = own.parents[2] / "other-application" / "numbers"
+    foreign.mkdir(parents=True, exist_ok=True)
+    drop_staged(spark)
+    assert not own.exists() and foreign.exists()
+    foreign.rmdir()
+
+
 def test_csv_sink(spark, tmp_path):
     sinks.write_csv(spark.range(2), str(tmp_path / "out"))
     text = "".join(open(f).read() for f in glob.glob(f"{tmp_path}/out/*.csv"))

@@ -55,9 +55,9 @@ def drop_duplicate_rows(df: DataFrame, json_columns: list[str] | None = None) ->
     return keyed.dropDuplicates([*plain, *keys]).drop(*keys)
 
 
-def row_key(df: DataFrame, json_columns: list[str] | None = None) -> Column:
-    """The whole row as one comparable value."""
-    return F.struct(*[_duplicate_key(df, c, json_columns or []).alias(c) for c in df.columns])
+def row_keys(df: DataFrame, json_columns: list[str] | None = None) -> DataFrame:
+    """The same rows with every column in a form that can be grouped by."""
+    return df.select(*[_duplicate_key(df, c, json_columns or []).alias(c) for c in df.columns])
 
 
 def clean_table(

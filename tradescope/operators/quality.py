@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradescope.dataset import Dataset
-from tradescope.operators.clean import row_key
+from tradescope.operators.clean import row_keys
 from tradescope.registry import table_specs
 
 # Status labels of the required-table check.
@@ -46,13 +46,16 @@ def _null_cells(df: DataFrame) -> Column:
 
 
 def profile_table(df: DataFrame, key: str, json_columns: list[str] | None = None) -> DataFrame:
-    """Rows, columns, missing-cell rate and remaining duplicates, in one pass."""
-    measured = df.select(
-        _null_cells(df).alias("nulls"), row_key(df, json_columns).alias("whole_row")
-    ).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum("nulls"), F.lit(0)).alias("nulls"),
-        F.count_distinct("whole_row").alias("distinct_rows"),
+    """Rows, columns, missing-cell rate and remaining duplicates, in one pass.
+
+    Equal rows are folded into one with a count before the shuffle, so copies of a row do
+    not travel.
+    """
+    folded = row_keys(df, json_columns).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    measured = folded.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(_null_cells(df) * F.col("_copies")), F.lit(0)).alias("nulls"),
+        F.count(F.lit(1)).alias("distinct_rows"),
     )
     cells = F.greatest(F.col("rows") * F.lit(len(df.columns)), F.lit(1))
     missing = F.col("nulls").cast("double") / cells * F.lit(100.0)

@@ -30,10 +30,19 @@ def stage_root(spark: SparkSession) -> str:
     raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder that all executors can reach")
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{stage_root(spark)}/tradescope/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return a scan of it."""
     spark = df.sparkSession
-    application = spark.conf.get("spark.app.id", "session")
-    path = f"{stage_root(spark)}/tradescope/{application}/{label}-{uuid4().hex}"
+    path = f"{_application_folder(spark)}/{label}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete everything this application has staged; frames built on it become unreadable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

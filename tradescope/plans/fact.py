@@ -61,11 +61,15 @@ def _order_side(ds: Dataset, dimensions: Collection[str], taken: list[str]) -> D
     orders = valid_orders(ds.table("orders"))
     orders = orders.select(*[c for c in ORDER_COLUMNS if c in orders.columns])
     orders = orders.withColumnRenamed("discount_amount", "order_discount_amount")
+    if "order_date" in orders.columns:
+        # Here rather than on the items, of which there are several per order.
+        orders = orders.withColumn("month", month_start("order_date"))
     if "stores" in dimensions or "region" in dimensions:
         orders = lookup_table(orders, ds, "stores", "store_id", suffix="_store", taken=taken)
     if "region" in dimensions:
         orders = lookup_table(orders, ds, "region", "region_id", suffix="_region", taken=taken)
-    clashes = {c: f"{c}_order" for c in orders.columns if c in taken and c != "order_id"}
+    own = ("order_id", "month")
+    clashes = {c: f"{c}_order" for c in orders.columns if c in taken and c not in own}
     return orders.withColumnsRenamed(clashes)
 
 
@@ -82,26 +86,33 @@ def sales_fact(ds: Dataset, dimensions: Collection[str] = DIMENSIONS) -> DataFra
     unknown keeps its revenue and gets cost zero.  ``dimensions`` names the lookups that
     are wanted beside the product itself; leaving out unused ones saves their joins.
     """
-    items = _item_side(ds, dimensions)
+    items = _item_side(ds, dimensions).drop("month")
     fact = items.join(_order_side(ds, dimensions, items.columns), "order_id")
     fact = with_numbers(fact, ZERO_FILLED)
     cost = _amount(fact, "quantity") * _amount(fact, "cost_price")
-    fact = fact.withColumn("cost", cost)
-    fact = fact.withColumn("profit", _amount(fact, "net_amount") - F.col("cost"))
-    fact = fact.withColumn(
-        "profit_margin_pct", percent(F.col("profit"), _amount(fact, "net_amount"))
+    profit = _amount(fact, "net_amount") - cost
+    return fact.withColumns(
+        {
+            "cost": cost,
+            "profit": profit,
+            "profit_margin_pct": percent(profit, _amount(fact, "net_amount")),
+        }
     )
-    if "order_date" in fact.columns:
-        fact = fact.withColumn("month", month_start("order_date"))
-    return fact
 
 
-def inner_sales(ds: Dataset, products: DataFrame | None = None) -> DataFrame:
-    """The narrow fact of the SQL reports: items whose product is unknown are left out."""
+def inner_sales(
+    ds: Dataset, products: DataFrame | None = None, places: DataFrame | None = None
+) -> DataFrame:
+    """The narrow fact of the SQL reports: items whose product is unknown are left out.
+
+    With ``places`` (by store_id), orders of unknown stores are left out as well.
+    """
     if products is None:
         products = ds.table("products")
     orders = valid_orders(ds.table("orders"))
     orders = orders.select("order_id", "cust_id", "store_id", "order_date")
+    if places is not None:
+        orders = orders.join(places, "store_id")
     items = ds.table("order_items").select("order_id", "prod_id", "quantity", "net_amount")
     priced = items.join(products.withColumnRenamed("product_id", "prod_id"), "prod_id")
     return priced.join(orders, "order_id").withColumn(

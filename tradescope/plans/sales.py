@@ -191,8 +191,7 @@ def region_state_sales(ds: Dataset) -> DataFrame:
         .join(ds.table("region").select("region_id", "region_name", "state"), "region_id")
     )
     return (
-        inner_sales(ds)
-        .join(places, "store_id")
+        inner_sales(ds, places=places)
         .groupBy("region_name", "state")
         .agg(
             _order_count(),

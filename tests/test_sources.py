@@ -10,7 +10,7 @@ from tradescope.plans.report import export_report
 from tradescope.registry import selected_specs, table_specs
 from tradescope.sources import sinks
 from tradescope.sources.catalog import CatalogSource, save_bucketed
-from tradescope.sources.jdbc import PostgresConnection, PostgresSource, Split, probe_session
+from tradescope.sources.jdbc import PostgresConnection, PostgresSource, Split, probe_session, split_column
 from tradescope.sources.loader import load, ready_for_sales
 from tradescope.sources.parquet import ParquetSource, write_lake
 from tradescope.validate import validate
@@ -78,11 +78,17 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
 def test_postgres_options(spark):
     connection = PostgresConnection("db.example", 5432, "my db", "me@x", "p:w/d")
     source = PostgresSource(spark, connection, {"orders": Split("order_id", "0", "900", 9)})
-    options = source.options(table_specs()["orders"])
+    orders = table_specs()["orders"]
+    options = source.options(orders, source.split(orders))
     assert options["url"] == "jdbc:postgresql://db.example:5432/my%20db?sslmode=require"
     assert options["dbtable"] == '"sales"."orders"' and options["password"] == "p:w/d"
     assert options["partitionColumn"] == "order_id" and options["numPartitions"] == "9"
     assert "partitionColumn" not in source.options(table_specs()["stores"])
+    assert split_column(table_specs()["inventory"]) == "product_id"
+    assert split_column(table_specs()["transcripts"]) is None
+    assert source.split(table_specs()["transcripts"]) is None
+    expected = 'SELECT min("order_id") AS low, max("order_id") AS high FROM "sales"."orders"'
+    assert source.bounds_query(orders, "order_id") == expected
     assert "p:w/d" not in repr(connection)
 
 

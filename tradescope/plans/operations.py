@@ -108,13 +108,17 @@ def courier_performance(outbound: DataFrame) -> DataFrame:
 
 
 def inbound_in_scope(
-    ds: Dataset, years: Sequence[int] | None = None, warehouse_regions: Sequence[str] | None = None
+    ds: Dataset,
+    years: Sequence[int] | None = None,
+    warehouse_regions: Sequence[str] | None = None,
+    with_warehouse: bool = True,
 ) -> DataFrame:
-    """Inbound shipments with warehouse attributes and lead time."""
+    """Inbound shipments with lead time and, unless nobody asks for them, warehouse attributes."""
     inbound = _shipments(ds, "inbound_shipments", years)
-    details = ["name", "region", "capacity_sqft"]
-    inbound = lookup_table(inbound, ds, "warehouses", "warehouse_id", details)
-    inbound = where_in(inbound, "region", warehouse_regions)
+    if with_warehouse or warehouse_regions:
+        details = ["name", "region", "capacity_sqft"]
+        inbound = lookup_table(inbound, ds, "warehouses", "warehouse_id", details)
+        inbound = where_in(inbound, "region", warehouse_regions)
     return inbound.withColumn("lead_seconds", seconds_between("shipped_date", "arrival_date"))
 
 

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from urllib.parse import quote, urlencode
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from tradescope.registry import TableSpec
 
@@ -51,54 +52,79 @@ class Split:
         }
 
 
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
 def quoted_name(spec: TableSpec) -> str:
-    def quoted(name: str) -> str:
-        return '"' + name.replace('"', '""') + '"'
+    return f"{_quoted(spec.namespace)}.{_quoted(spec.name)}"
+
 
-    return f"{quoted(spec.namespace)}.{quoted(spec.name)}"
+def split_column(spec: TableSpec) -> str | None:
+    """The id by which a table can be read in ranges: its first integer column."""
+    ids = [f.name for f in spec.schema if isinstance(f.dataType, T.LongType)]
+    return ids[0] if ids else None
 
 
 class PostgresSource:
-    """Whole-table reads; filters and column lists of the plan are pushed to the server."""
+    """Whole-table reads; filters and column lists of the plan are pushed to the server.
+
+    A table is read in ``parts`` id ranges side by side, between the bounds the server
+    reports, unless ``splits`` says otherwise for it.
+    """
 
     def __init__(
         self,
         spark: SparkSession,
         connection: PostgresConnection,
         splits: dict[str, Split] | None = None,
+        parts: int = 64,
         fetch_size: int = 10_000,
     ):
         self.spark = spark
         self.connection = connection
         self.splits = splits or {}
+        self.parts = parts
         self.fetch_size = fetch_size
 
-    def options(self, spec: TableSpec) -> dict[str, str]:
+    def _query(self, text: str) -> DataFrame:
+        reader = self.spark.read.format("jdbc").options(**self.connection.options())
+        return reader.option("query", text).load()
+
+    def bounds_query(self, spec: TableSpec, column: str) -> str:
+        name = _quoted(column)
+        return f"SELECT min({name}) AS low, max({name}) AS high FROM {quoted_name(spec)}"
+
+    def split(self, spec: TableSpec) -> Split | None:
+        """The split of a table, from one row of bounds; none for an empty table."""
+        column = split_column(spec)
+        if spec.key in self.splits or column is None:
+            return self.splits.get(spec.key)
+        bounds = self._query(self.bounds_query(spec, column)).first()
+        if bounds is None or bounds["low"] is None:
+            return None
+        return Split(column, str(bounds["low"]), str(bounds["high"]), self.parts)
+
+    def options(self, spec: TableSpec, split: Split | None = None) -> dict[str, str]:
         chosen = {
             **self.connection.options(),
             "dbtable": quoted_name(spec),
             "fetchsize": str(self.fetch_size),
             "preferTimestampNTZ": "true",
         }
-        if spec.key in self.splits:
-            chosen.update(self.splits[spec.key].options())
+        if split:
+            chosen.update(split.options())
         return chosen
 
     def read(self, spec: TableSpec) -> DataFrame:
-        return self.spark.read.format("jdbc").options(**self.options(spec)).load()
+        return self.spark.read.format("jdbc").options(**self.options(spec, self.split(spec))).load()
 
     def probe(self) -> DataFrame:
         """Database, user and server time, as one row."""
-        query = (
+        return self._query(
             "SELECT current_database() AS database, current_user AS db_user, "
             "CURRENT_TIMESTAMP AS server_time"
         )
-        return (
-            self.spark.read.format("jdbc")
-            .options(**self.connection.options())
-            .option("query", query)
-            .load()
-        )
 
 
 def probe_session(spark: SparkSession) -> DataFrame:

@@ -363,12 +363,12 @@ _query("courier_status_shipments")(operations.courier_status_shipments)
 
 @_query("supplier_lead_time")
 def _(ds):
-    return operations.supplier_lead_time(ds, operations.inbound_in_scope(ds))
+    return operations.supplier_lead_time(ds, operations.inbound_in_scope(ds, with_warehouse=False))
 
 
 @_query("fastest_12_suppliers")
 def _(ds):
-    by_supplier = operations.supplier_lead_time(ds, operations.inbound_in_scope(ds))
+    by_supplier = operations.supplier_lead_time(ds, operations.inbound_in_scope(ds, with_warehouse=False))
     return sales.leading(by_supplier, "avg_lead_days", "supplier_name", 12, descending=False)
 
 
@@ -396,7 +396,7 @@ def _(ds):
         ds,
         operations.courier_performance(operations.outbound_shipments(ds)),
         operations.production_quality(ds),
-        operations.supplier_lead_time(ds, operations.inbound_in_scope(ds)),
+        operations.supplier_lead_time(ds, operations.inbound_in_scope(ds, with_warehouse=False)),
     )
 
 

@@ -2,47 +2,63 @@
 
 A staged table cuts the lineage in a way that survives the loss of executors, and lets
 several later steps scan only the columns they need instead of recomputing a join.
+``staging`` is the scope of a computation that ends inside it: what is staged there is
+deleted on the way out.
 """
 
 from __future__ import annotations
 
-import tempfile
-from functools import cache
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
-
-
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="tradescope-")
+_scope: ContextVar[str] = ContextVar("staging_scope", default="")
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only in local mode."""
+    """The shared folder the session names, else one beside the session's warehouse."""
     configured = spark.conf.get(_CHECKPOINT_DIR, None)
     if configured:
         return configured.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_folder()
-    raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder that all executors can reach")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 
 def _application_folder(spark: SparkSession) -> str:
     return f"{stage_root(spark)}/tradescope/{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and return a scan of it."""
     spark = df.sparkSession
-    path = f"{_application_folder(spark)}/{label}-{uuid4().hex}"
+    path = f"{_application_folder(spark)}{_scope.get()}/{label}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside on leaving, also after an error.
+
+    Frames built inside read the staged files, so their results must be written or
+    collected before the end.  Scopes nest.
+    """
+    token = _scope.set(f"{_scope.get()}/scope-{uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _application_folder(spark) + _scope.get())
+        _scope.reset(token)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete everything this application has staged; frames built on it become unreadable."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _application_folder(spark))

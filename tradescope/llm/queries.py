@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tradescope.llm.common import table
 from tradescope.llm.simhash_dedup import near_duplicates
 from tradescope.llm.token_counts import token_counts
+from tradescope.llm.toxicity import fit_toxicity, remainder, score_toxicity
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +24,16 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), train_on=remainder("doc_id", 4) != 2)
+    return score_toxicity(docs, model).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "offending"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op7_near_duplicates)}
+    return {f.__name__: f for f in (op1_token_counts, op7_near_duplicates, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

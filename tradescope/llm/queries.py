@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tradescope.llm.common import table
+from tradescope.llm.language_id import fit_language_filters, identify_languages
 from tradescope.llm.simhash_dedup import near_duplicates
 from tradescope.llm.token_counts import token_counts
 from tradescope.llm.toxicity import fit_toxicity, remainder, score_toxicity
@@ -20,6 +21,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    filters = fit_language_filters(docs, train_on=~held_out)
+    return identify_languages(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
@@ -33,7 +41,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op7_near_duplicates, op8_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op7_near_duplicates, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

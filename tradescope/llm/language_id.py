@@ -108,6 +108,16 @@ class LanguageFilters:
             out[:, k] = np.clip((hits - chance) / max(1e-9, 1 - chance), 0, 1)
         return out
 
+    def identify(self, strings: list[str]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each string."""
+        gram, owner, lettered = ngrams(strings)
+        if not self.languages:
+            return [UNDETERMINED] * len(strings), np.zeros(len(strings))
+        share = self.shares(gram, owner, len(strings))
+        best = zip(share.argmax(axis=1), lettered, strict=True)
+        names = [self.languages[b] if k else UNDETERMINED for b, k in best]
+        return names, np.where(lettered, share.max(axis=1), 0.0)
+
 
 def _slot(grams: np.ndarray, multiplier: np.uint64, slots: int) -> np.ndarray:
     return (grams * multiplier) >> np.uint64(64 - (slots.bit_length() - 1))
@@ -230,20 +240,29 @@ def identify_languages(
         for batch in batches:
             strings = texts(batch, text_col)
             for i, j in chunks(strings):
-                gram, owner, lettered = ngrams(strings[i:j])
-                best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
-                if filters.languages:
-                    share = filters.shares(gram, owner, j - i)
-                    best, score = share.argmax(axis=1), share.max(axis=1)
-                else:
-                    lettered[:] = False
+                names, score = filters.identify(strings[i:j])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(id_col).slice(i, j - i),
-                        pa.array([filters.languages[b] if k else UNDETERMINED for b, k in zip(best, lettered, strict=True)], pa.string()),
-                        pa.array(np.where(lettered, score, 0.0)),
-                    ],
+                    [batch.column(id_col).slice(i, j - i), pa.array(names, pa.string()), pa.array(score)],
                     names=[id_col, "lang_pred", "score"],
                 )
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind(docs, id_col)}, lang_pred string, score double")
+
+
+def keep_identified(
+    docs: DataFrame, filters: LanguageFilters, least_score: float = 0.3, text_col: str = "text"
+) -> DataFrame:
+    """The rows, with all their columns, whose text a learned language explains.
+
+    Goes: what ``identify_languages`` calls ``und`` and what scores below ``least_score``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings = texts(batch, text_col)
+            for i, j in chunks(strings):
+                names, score = filters.identify(strings[i:j])
+                keep = (score >= least_score) & np.array([n != UNDETERMINED for n in names])
+                yield batch.slice(i, j - i).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

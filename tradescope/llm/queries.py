@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradescope.llm.common import table
 from tradescope.llm.language_id import fit_language_filters, identify_languages
+from tradescope.llm.packing import pack
 from tradescope.llm.simhash_dedup import near_duplicates
 from tradescope.llm.token_counts import token_counts
 from tradescope.llm.toxicity import fit_toxicity, remainder, score_toxicity
@@ -28,6 +29,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
@@ -41,7 +46,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op7_near_duplicates, op8_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op6_packing, op7_near_duplicates, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradescope.llm.common import kind, texts
 from tradescope.llm.components import components
@@ -241,6 +242,17 @@ def near_links(
     return placed.groupBy("tree", "leaf", "task").applyInArrow(join, "a long, b long")
 
 
+def _class_components(prints: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """(fingerprint, component_id) of every distinct fingerprint of ``prints``."""
+    classes = stage(prints.groupBy("fingerprint").agg(F.min(id_col).alias("_least")), "classes")
+    tied = components(near_links(classes.select("fingerprint"), radius))
+    rooted = classes.join(tied.withColumnsRenamed({"a": "fingerprint", "b": "_root"}), "fingerprint", "left").select(
+        "fingerprint", "_least", F.coalesce("_root", "fingerprint").alias("_root")
+    )
+    named = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    return rooted.join(named, "_root").select("fingerprint", "_root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     width: int = 5,
@@ -255,13 +267,33 @@ def near_duplicates(
     is null.  An empty table gives no row.  Other columns are not read.
     """
     prints = stage(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = stage(prints.groupBy("fingerprint").agg(F.min(id_col).alias("_least")), "classes")
-    tied = components(near_links(classes.select("fingerprint"), radius))
-    rooted = classes.join(tied.withColumnsRenamed({"a": "fingerprint", "b": "_root"}), "fingerprint", "left").select(
-        "fingerprint", "_least", F.coalesce("_root", "fingerprint").alias("_root")
-    )
-    named = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    component = rooted.join(named, "_root").select("fingerprint", "component_id")
+    component = _class_components(prints, id_col, radius).drop("_root")
     return prints.join(component, "fingerprint").select(
         id_col, F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(
+    docs: DataFrame, width: int = 5, radius: int = 7, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows, with all their columns, less all but one row of every group of near copies.
+
+    The row with the least id stays (ids before nulls, equal ids in input order), so of
+    repeated rows one stays as well.  Rows are written down once with their number and
+    fingerprint; groups are decided on those two alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = pa.array([simhash(t, width) for t in texts(batch, text_col)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "_print"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_print", T.LongType())])
+    numbered = stage(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    prints = numbered.select(F.col("_print").alias("fingerprint"), F.col(id_col), "_row")
+    component = _class_components(prints, id_col, radius).drop("component_id")
+    ranked = prints.join(component, "fingerprint").select(
+        "_root", "_row", F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("_row").alias("c")).alias("_rank")
+    )
+    first = ranked.groupBy("_root").agg(F.min("_rank").getField("c").alias("_row"))
+    return numbered.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)

@@ -258,3 +258,17 @@ def score_toxicity(
         "offending array<struct<begin: int, end: int, score: double>>"
     )
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``threshold``.
+
+    The same scores and the same defined cases as ``score_toxicity``, without a join.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([score(t)[0] < threshold for t in texts(batch, text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

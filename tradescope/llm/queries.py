@@ -10,6 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tradescope.llm.bpe_codec import bpe_round_trip
 from tradescope.llm.common import table
 from tradescope.llm.language_id import fit_language_filters, identify_languages
 from tradescope.llm.packing import pack
@@ -29,6 +30,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
 
@@ -46,7 +51,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op6_packing, op7_near_duplicates, op8_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_bpe_codec, op6_packing, op7_near_duplicates, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

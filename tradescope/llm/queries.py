@@ -6,6 +6,7 @@ Each applies its operator with production parameters to its whole table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from tradescope.llm.common import table
 from tradescope.llm.language_id import fit_language_filters, identify_languages
 from tradescope.llm.packing import pack
 from tradescope.llm.simhash_dedup import near_duplicates
+from tradescope.llm.token_shards import read_documents, write_shards
 from tradescope.llm.token_counts import token_counts
 from tradescope.llm.toxicity import fit_toxicity, remainder, score_toxicity
+from tradescope.operators.staging import stage_root
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +37,12 @@ def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{stage_root(spark)}/token-shards-{uuid4().hex}"
+    write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_documents(spark, folder)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("ids")
 
@@ -51,7 +60,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_bpe_codec, op6_packing, op7_near_duplicates, op8_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_bpe_codec, op5_token_shards, op6_packing, op7_near_duplicates, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

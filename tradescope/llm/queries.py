@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradescope.llm.bpe_codec import bpe_round_trip
 from tradescope.llm.common import table
+from tradescope.llm.fingerprints import compare_with_next
 from tradescope.llm.language_id import fit_language_filters, identify_languages
 from tradescope.llm.packing import pack
 from tradescope.llm.simhash_dedup import near_duplicates
@@ -59,8 +60,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_bpe_codec, op5_token_shards, op6_packing, op7_near_duplicates, op8_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_bpe_codec, op5_token_shards, op6_packing, op7_near_duplicates, op8_toxicity, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

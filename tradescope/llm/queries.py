@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tradescope.llm.bpe_codec import bpe_round_trip
+from tradescope.llm.chat_format import format_chats, read_back
 from tradescope.llm.common import table
 from tradescope.llm.fingerprints import compare_with_next
 from tradescope.llm.language_id import fit_language_filters, identify_languages
@@ -34,6 +35,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs, filters).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', :said), (-1L, 1L, 'assistant', :said) AS t(conv_id, turn, role, text)",
+        {"said": said},
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return read_back(format_chats(turns, path), path)
+
+
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -65,7 +77,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op4_bpe_codec, op5_token_shards, op6_packing, op7_near_duplicates, op8_toxicity, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_chat_format, op4_bpe_codec, op5_token_shards, op6_packing, op7_near_duplicates, op8_toxicity, op9_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,6 +21,7 @@ from tradescope.llm.simhash_dedup import near_duplicates
 from tradescope.llm.token_shards import read_documents, write_shards
 from tradescope.llm.token_counts import token_counts
 from tradescope.llm.toxicity import fit_toxicity, remainder, score_toxicity
+from tradescope.llm.vector_search import nearest
 from tradescope.operators.staging import stage_root
 
 
@@ -76,8 +77,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_chat_format, op4_bpe_codec, op5_token_shards, op6_packing, op7_near_duplicates, op8_toxicity, op9_fingerprints)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_chat_format, op4_bpe_codec, op5_token_shards, op6_packing, op7_near_duplicates, op8_toxicity, op9_fingerprints, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:

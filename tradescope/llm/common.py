@@ -47,6 +47,14 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that the frame does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def forget(memory: dict) -> None:
     """Empty a worker's memory once it is full, so that it stays bounded."""
     if len(memory) > MEMORY_ENTRIES:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradescope.llm.common import kind, texts
+from tradescope.llm.common import fresh, kind, texts
 from tradescope.llm.components import components
 from tradescope.operators.staging import stage
 
@@ -283,17 +283,20 @@ def keep_one(
     fingerprint; groups are decided on those two alone.
     """
 
+    mark, row = fresh("_print", docs), fresh("_row", docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = pa.array([simhash(t, width) for t in texts(batch, text_col)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "_print"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("_print", T.LongType())])
-    numbered = stage(docs.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    prints = numbered.select(F.col("_print").alias("fingerprint"), F.col(id_col), "_row")
-    component = _class_components(prints, id_col, radius).drop("component_id")
-    ranked = prints.join(component, "fingerprint").select(
-        "_root", "_row", F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col("_row").alias("c")).alias("_rank")
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, mark])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
+    numbered = stage(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    prints = numbered.select(
+        F.col(mark).alias("fingerprint"), F.col(id_col).alias("id"), F.col(row).alias("row")
     )
-    first = ranked.groupBy("_root").agg(F.min("_rank").getField("c").alias("_row"))
-    return numbered.join(first.select("_row"), "_row", "left_semi").select(*docs.columns)
+    component = _class_components(prints, "id", radius).drop("component_id")
+    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
+    ranked = prints.join(component, "fingerprint").groupBy("_root").agg(F.min(rank).alias("rank"))
+    first = ranked.select(F.col("rank.c").alias(row))
+    return numbered.join(first, row, "left_semi").select(*docs.columns)

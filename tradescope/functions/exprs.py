@@ -10,25 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradescope.registry import MONEY
-
+# Any number written as text: 28 digits before the point and 10 behind it.
+NUMBER = T.DecimalType(38, 10)
 NTZ = "timestamp_ntz"
 # Digits kept when a per-row rate is averaged exactly.
-_RATE = T.DecimalType(28, 10)
+RATE = T.DecimalType(28, 10)
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def number_or_zero(c: Column | str, dtype: T.DataType = MONEY) -> Column:
-    """Numeric value of ``c``; text that is not a number, and null, count as zero."""
-    return F.coalesce(col(c).try_cast(dtype), F.lit(0).cast(dtype))
+def number_or_zero(c: Column | str, dtype: T.DataType = NUMBER) -> Column:
+    """Numeric value of ``c``; text that is not a number, and null, count as zero.
+
+    A number that does not fit ``dtype`` is an error, never a zero.
+    """
+    value = col(c).try_cast("double")
+    no_number = value.isNull() | F.isnan(value)
+    too_large = F.raise_error(F.concat(F.lit("number out of range: "), col(c).cast("string")))
+    wide = F.coalesce(col(c).try_cast(NUMBER), too_large.cast(NUMBER))
+    fitting = F.coalesce(wide.try_cast(dtype), too_large.cast(dtype))
+    return F.when(no_number, F.lit(0).cast(dtype)).otherwise(fitting)
+
+
+def numeric(df: DataFrame, name: str, dtype: T.DataType = NUMBER) -> Column:
+    """The column with zero for null; numbers keep their type, everything else is converted."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.DecimalType, T.IntegralType)):
+        return F.coalesce(F.col(name), F.lit(0).cast(kind))
+    return number_or_zero(name, dtype)
 
 
-def with_numbers(df: DataFrame, columns: list[str], dtype: T.DataType = MONEY) -> DataFrame:
+def with_numbers(df: DataFrame, columns: list[str], dtype: T.DataType = NUMBER) -> DataFrame:
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: number_or_zero(c, dtype) for c in present})
+    return df.withColumns({c: numeric(df, c, dtype) for c in present})
 
 
 def to_timestamp(df: DataFrame, name: str) -> Column:
@@ -69,7 +85,7 @@ def mean(c: Column | str) -> Column:
 
 def mean_rate(c: Column | str) -> Column:
     """Mean of a double column whose value does not depend on the order of addition."""
-    return mean(col(c).cast(_RATE))
+    return mean(col(c).cast(RATE))
 
 
 def share(condition: Column) -> Column:

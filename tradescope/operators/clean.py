@@ -20,23 +20,47 @@ def canonical_json(c: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(c)), c)
 
 
-def _duplicate_key(df: DataFrame, name: str, json_columns: list[str]) -> Column:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(name)))
+def _unordered(dtype: T.DataType) -> bool:
+    """Whether values of the type cannot be grouped by as they are, at any depth."""
+    if isinstance(dtype, (T.MapType, T.VariantType)):
+        return True
+    if isinstance(dtype, T.ArrayType):
+        return _unordered(dtype.elementType)
+    return isinstance(dtype, T.StructType) and any(_unordered(f.dataType) for f in dtype)
+
+
+def _grouping_form(value: Column, dtype: T.DataType) -> Column:
+    """A value that can be grouped by and is equal for equal content.
+
+    Maps become sorted arrays of entries and variants text, inside arrays and structs too.
+    """
+    if not _unordered(dtype):
+        return value
     if isinstance(dtype, T.VariantType):
-        return F.to_json(name)
+        return F.to_json(value)
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(value, lambda x: _grouping_form(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [_grouping_form(value[f.name], f.dataType).alias(f.name) for f in dtype]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    entries = F.transform(
+        F.map_entries(value),
+        lambda e: F.struct(
+            _grouping_form(e["key"], dtype.keyType).alias("key"),
+            _grouping_form(e["value"], dtype.valueType).alias("value"),
+        ),
+    )
+    return F.array_sort(entries)
+
+
+def _duplicate_key(df: DataFrame, name: str, json_columns: list[str]) -> Column:
     if name in json_columns:
         return canonical_json(F.col(name))
-    return F.col(name)
+    return _grouping_form(F.col(name), df.schema[name].dataType)
 
 
 def _needs_key(df: DataFrame, json_columns: list[str]) -> list[str]:
-    return [
-        f.name
-        for f in df.schema
-        if isinstance(f.dataType, (T.MapType, T.VariantType)) or f.name in json_columns
-    ]
+    return [f.name for f in df.schema if _unordered(f.dataType) or f.name in json_columns]
 
 
 def drop_duplicate_rows(df: DataFrame, json_columns: list[str] | None = None) -> DataFrame:

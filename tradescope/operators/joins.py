@@ -40,6 +40,18 @@ def lookup(
     return left.join(side, left[on] == side["_key"], "left").drop("_key")
 
 
+def named_by(
+    left: DataFrame,
+    ds: Dataset,
+    key: str,
+    on: str,
+    columns: list[str] | None = None,
+    suffix: str = "_right",
+) -> DataFrame:
+    """``lookup_table``, but a table without rows counts as missing, so the id stays the name."""
+    return lookup_table(left, ds, key, on, columns, suffix) if ds.has_rows(key) else left
+
+
 def lookup_table(
     left: DataFrame,
     ds: Dataset,

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradescope.dataset import Dataset
 from tradescope.operators.clean import row_keys
@@ -42,7 +43,15 @@ def validate_required(ds: Dataset, profile: str = "validation") -> DataFrame:
 
 
 def _null_cells(df: DataFrame) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in df.columns])
+    """Cells of a row that hold nothing, NaN included."""
+
+    def missing(field: T.StructField) -> Column:
+        empty = F.col(field.name).isNull()
+        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+            empty = empty | F.isnan(field.name)
+        return empty.cast("long")
+
+    return reduce(lambda a, b: a + b, map(missing, df.schema))
 
 
 def profile_table(df: DataFrame, key: str, json_columns: list[str] | None = None) -> DataFrame:

@@ -42,18 +42,29 @@ def _earlier_slots(slotted: DataFrame, group: list[str], size: Column) -> DataFr
     )
 
 
+def _with_offsets(slotted: DataFrame, offsets: DataFrame, group: list[str]) -> DataFrame:
+    """Every row with the offsets of its group and slot; a null group finds its own."""
+    renamed = offsets.withColumnsRenamed({c: f"_group_{i}" for i, c in enumerate(group)})
+    renamed = renamed.withColumnRenamed(_SLOT, "_offset_slot")
+    same = slotted[_SLOT] == renamed["_offset_slot"]
+    for i, c in enumerate(group):
+        same = same & slotted[c].eqNullSafe(renamed[f"_group_{i}"])
+    return slotted.join(renamed, same).drop("_offset_slot", *(f"_group_{i}" for i in range(len(group))))
+
+
 def position_in_group(
     df: DataFrame, group: list[str], order: list[str], out: str = "position", slots: int | None = None
 ) -> DataFrame:
     """Add the 1-based position of each row in its group, ascending by ``order``.
 
-    ``order`` must be unique inside a group and the group columns must not be null.
+    ``order`` must be unique inside a group.  Rows whose group is null form a group, as in
+    a SQL window.
     """
     slotted = _sorted_slots(df, [*group, *order], slots)
     offsets = _earlier_slots(slotted, group, F.count(F.lit(1)))
     position = F.col("_before") + F.col(_ROW) - F.col("_first") + F.lit(1)
     return (
-        slotted.join(offsets, [*group, _SLOT])
+        _with_offsets(slotted, offsets, group)
         .withColumn(out, position)
         .drop(_ROW, _SLOT, "_before", "_first")
     )
@@ -69,7 +80,7 @@ def running_total(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        slotted.join(offsets, [*group, _SLOT])
+        _with_offsets(slotted, offsets, group)
         .withColumn(out, F.col("_before") + F.sum(weight).over(inside))
         .drop(_ROW, _SLOT, "_before", "_first")
     )
@@ -93,18 +104,33 @@ def group_percentile(
         .groupBy(group, value)
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    ranked = running_total(counted, [group], [value], "_copies", "_upto", slots)
-    sizes = ranked.groupBy(group).agg(F.max("_upto").alias("_n"))
+    slotted = _sorted_slots(counted, [group, value], slots)
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    per_slot = slotted.groupBy(group, _SLOT).agg(F.sum("_copies").alias("_size")).select(
+        group,
+        _SLOT,
+        F.col("_size"),
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_size").over(whole).alias("_n"),
+    )
     place = F.lit(float(share)) * (F.col("_n") - F.lit(1))
     low, high = F.floor(place), F.ceil(place)
+    # Only the one or two slots of a group that hold the wanted places are sorted again.
+    wanted = per_slot.where((F.col("_before") <= high) & (low < F.col("_before") + F.col("_size")))
+    inside = Window.partitionBy(group, _SLOT).orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    ranked = slotted.join(wanted, [group, _SLOT]).withColumn(
+        "_upto", F.col("_before") + F.sum("_copies").over(inside)
+    )
 
     def value_at(index: Column) -> Column:
         covers = (F.col("_upto") - F.col("_copies") <= index) & (index < F.col("_upto"))
         return F.max(F.when(covers, F.col(value)))
 
     return (
-        ranked.join(sizes, group)
-        .groupBy(group)
+        ranked.groupBy(group)
         .agg(
             value_at(low).cast("double").alias("_low"),
             value_at(high).cast("double").alias("_high"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradescope.dataset import Dataset
+from tradescope.dataset import Dataset, Results
 from tradescope.functions.exprs import mean, percent_2dp, ratio, sql_total, total
 from tradescope.operators.joins import lookup, lookup_table
 from tradescope.plans.fact import categorised_products, inner_sales
@@ -48,18 +48,18 @@ def cross_functional_results(
     fact: DataFrame,
     years: Sequence[int] | None = None,
     platforms: Sequence[str] | None = None,
-) -> dict[str, DataFrame]:
+) -> Results:
     spend = ad_spend(ds, years, platforms) if "ads_spend" in ds else None
     results = {
-        "marketing_sales_profit": spend_sales_trend(fact, spend),
-        "profit_cost": finance_results(ds, fact, years)["pnl"],
+        "marketing_sales_profit": lambda: spend_sales_trend(fact, spend),
+        "profit_cost": lambda: finance_results(ds, fact, years)["pnl"],
     }
     staffed = all(key in ds for key in ("store_employees", "stores", "region"))
     if staffed and "region_name" in fact.columns:
-        results["region_sales_staff"] = region_sales_staff(ds, fact)
+        results["region_sales_staff"] = lambda: region_sales_staff(ds, fact)
     if "inventory" in ds and "category_name" in fact.columns:
-        results["category_margin_inventory"] = category_margin_inventory(ds, fact)
-    return results
+        results["category_margin_inventory"] = lambda: category_margin_inventory(ds, fact)
+    return Results(results)
 
 
 def overview_cards(

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradescope.dataset import Dataset
+from tradescope.dataset import Dataset, Results
 from tradescope.functions.exprs import month_start, percent, sql_total, total, with_numbers
 from tradescope.operators.filters import by_years
 from tradescope.operators.joins import lookup, lookup_table
-from tradescope.plans.sales import monthly_sales
+from tradescope.plans.sales import monthly_revenue_profit, monthly_sales
 
 _EXACT = "decimal(38,4)"
 
@@ -22,7 +22,7 @@ def expenses_in_scope(ds: Dataset, years: Sequence[int] | None = None) -> DataFr
 
 def expense_categories(ds: Dataset, expenses: DataFrame) -> DataFrame:
     """Expense per category, added up per id before the name is looked up."""
-    if "expense_category" not in ds or "exp_cat_id" not in expenses.columns:
+    if not ds.has_rows("expense_category") or "exp_cat_id" not in expenses.columns:
         key = "category_name" if "category_name" in expenses.columns else "exp_cat_id"
         named = expenses
     else:
@@ -107,36 +107,45 @@ def refund_log(ds: Dataset, years: Sequence[int] | None = None) -> DataFrame:
 
 def finance_results(
     ds: Dataset, fact: DataFrame, years: Sequence[int] | None = None
-) -> dict[str, DataFrame]:
-    results: dict[str, DataFrame] = {}
-    if "finance_expenses" in ds:
-        expenses = expenses_in_scope(ds, years)
-        results["expense_categories"] = expense_categories(ds, expenses)
-        results["monthly_expenses"] = monthly_expenses(expenses)
-    results["pnl"] = profit_and_loss(fact, results.get("monthly_expenses"))
+) -> Results:
+    results: dict[str, Callable[[], DataFrame]] = {}
+    expenses = expenses_in_scope(ds, years) if "finance_expenses" in ds else None
+    opex = monthly_expenses(expenses) if expenses is not None else None
+    if expenses is not None:
+        results["expense_categories"] = lambda: expense_categories(ds, expenses)
+        results["monthly_expenses"] = lambda: opex
+    results["pnl"] = lambda: profit_and_loss(fact, opex)
     if "finance_payments" in ds:
-        results["payment_status"] = payment_status(ds)
+        results["payment_status"] = lambda: payment_status(ds)
         if "refunded_at" in ds["finance_payments"].columns:
-            results["refund_reasons"] = refund_reasons(ds)
+            results["refund_reasons"] = lambda: refund_reasons(ds)
     if "refund_log" in ds:
-        results["refund_log"] = refund_log(ds, years)
-    return results
+        results["refund_log"] = lambda: refund_log(ds, years)
+    return Results(results)
 
 
-def finance_cards(
-    opex: DataFrame, pnl: DataFrame, refunds: DataFrame, kpis: DataFrame
-) -> DataFrame:
-    """Operating expense, EBITDA proxy, cost-to-revenue and refund value, as one row."""
+def finance_cards(opex: DataFrame, fact: DataFrame, refunds: DataFrame) -> DataFrame:
+    """Operating expense, EBITDA proxy, cost-to-revenue and refund value, as one row.
 
-    def sum_of(df: DataFrame, name: str):
-        return df.agg(total(F.col(name).cast(_EXACT)).alias("v")).select("v").scalar()
+    All but the refunds follow from one monthly aggregate of the fact.  Sales without a
+    month count as revenue but not in the EBITDA proxy, months without sales only as
+    expense.
+    """
 
-    return kpis.select(
-        sum_of(opex, "opex").alias("opex"),
-        sum_of(pnl, "ebitda_proxy").alias("ebitda_proxy"),
-        F.col("revenue"),
-        sum_of(refunds, "refund_value").alias("refund_value"),
-    ).select(
+    def exact(value: Column) -> Column:
+        return total(value.cast(_EXACT))
+
+    sold = monthly_revenue_profit(fact).withColumn("sold", F.lit(True))
+    margin = F.when(
+        F.col("sold") & F.col("month").isNotNull(),
+        F.col("profit") - F.coalesce("opex", F.lit(0.0)),
+    )
+    returned = refunds.agg(exact(F.col("refund_value")).alias("v")).select("v").scalar()
+    return sold.join(opex, "month", "full_outer").agg(
+        exact(F.col("opex")).alias("opex"),
+        exact(margin).alias("ebitda_proxy"),
+        exact(F.col("revenue")).alias("revenue"),
+    ).withColumn("refund_value", returned).select(
         "opex",
         "ebitda_proxy",
         percent(F.col("opex"), F.col("revenue")).alias("cost_to_revenue_pct"),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradescope.dataset import Dataset
+from tradescope.dataset import Dataset, Results
 from tradescope.functions.exprs import (
     mean,
     mean_hours,
@@ -22,7 +22,7 @@ from tradescope.functions.exprs import (
     with_numbers,
 )
 from tradescope.operators.filters import by_years
-from tradescope.operators.joins import lookup, lookup_table
+from tradescope.operators.joins import lookup, lookup_table, named_by
 
 _PAY_COLUMNS = ["gross_salary", "net_salary", "pf", "professional_tax", "income_tax"]
 _DEDUCTIONS = ["pf", "professional_tax", "income_tax"]
@@ -32,6 +32,11 @@ def employees_with_department(ds: Dataset) -> DataFrame:
     return lookup_table(ds.table("store_employees"), ds, "department", "dept_id", suffix="_dept")
 
 
+def _employees_by_name(ds: Dataset) -> DataFrame:
+    """Employees with their department's name, or its id while no department is known."""
+    return named_by(ds.table("store_employees"), ds, "department", "dept_id", suffix="_dept")
+
+
 def _department_column(df: DataFrame, fallback: str = "dept_id") -> str:
     for name in ("dept_name", "dept_id"):
         if name in df.columns:
@@ -51,7 +56,7 @@ def _staff_by(employees: DataFrame, key: str) -> DataFrame:
 
 
 def headcount(ds: Dataset) -> DataFrame:
-    employees = employees_with_department(ds)
+    employees = _employees_by_name(ds)
     key = _department_column(employees)
     return _staff_by(employees, key).orderBy(F.col("headcount").desc(), key)
 
@@ -99,8 +104,8 @@ def attendance_summary(ds: Dataset, years: Sequence[int] | None = None) -> DataF
     records = by_years(ds.table("attendance"), ["attendance_date"], years).withColumn(
         "worked_seconds", seconds_between("check_in", "check_out")
     )
-    if "store_employees" in ds:
-        staff = employees_with_department(ds)
+    if ds.has_rows("store_employees"):
+        staff = _employees_by_name(ds)
         records = lookup(records, staff, "employee_id", ["dept_name", "dept_id"])
     key = _department_column(records, "employee_id")
     return (
@@ -128,19 +133,19 @@ def salary_payment_status(ds: Dataset, years: Sequence[int] | None = None) -> Da
 
 def hr_results(
     ds: Dataset, kpis: DataFrame, years: Sequence[int] | None = None
-) -> dict[str, DataFrame]:
-    results: dict[str, DataFrame] = {}
+) -> Results:
+    results: dict[str, Callable[[], DataFrame]] = {}
     if "store_employees" in ds:
-        results["headcount"] = headcount(ds)
-        results["role_salary"] = role_salary(ds)
-        results["revenue_per_employee"] = revenue_per_employee(ds, kpis)
+        results["headcount"] = lambda: headcount(ds)
+        results["role_salary"] = lambda: role_salary(ds)
+        results["revenue_per_employee"] = lambda: revenue_per_employee(ds, kpis)
     if "pay_slips" in ds:
-        results["payroll_monthly"] = payroll_monthly(ds, years)
+        results["payroll_monthly"] = lambda: payroll_monthly(ds, years)
     if "attendance" in ds:
-        results["attendance"] = attendance_summary(ds, years)
+        results["attendance"] = lambda: attendance_summary(ds, years)
     if "salary_history" in ds:
-        results["salary_payment_status"] = salary_payment_status(ds, years)
-    return results
+        results["salary_payment_status"] = lambda: salary_payment_status(ds, years)
+    return Results(results)
 
 
 def hr_cards(ds: Dataset, departments: DataFrame, payroll: DataFrame) -> DataFrame:

@@ -137,12 +137,18 @@ def build_insights(
         )
     for df, measure, group, rule, template in named:
         rows.append(_row(_leader(df, measure), group, 1, rule, _sentence(template, name=F.col("name"))))
+    # Both sentences only ask whether their result has a row, that is, its key in the fact.
     cross = cross_functional_results(ds, fact, years, platforms)
-    for seq, (key, sentence) in enumerate(
-        [("marketing_sales_profit", SPEND_REVIEW), ("category_margin_inventory", CAPITAL_REVIEW)], 1
+    for seq, (key, column, sentence) in enumerate(
+        [
+            ("marketing_sales_profit", "month", SPEND_REVIEW),
+            ("category_margin_inventory", "category_name", CAPITAL_REVIEW),
+        ],
+        1,
     ):
         if key in cross:
-            rows.append(_row(cross[key].limit(1), "Cross-Functional", seq, key, F.lit(sentence)))
+            any_row = fact.where(F.col(column).isNotNull()).limit(1)
+            rows.append(_row(any_row, "Cross-Functional", seq, key, F.lit(sentence)))
     return _stack(rows).orderBy("group_no", "seq")
 
 

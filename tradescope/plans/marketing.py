@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradescope.dataset import Dataset
+from tradescope.dataset import Dataset, Results
 from tradescope.functions.exprs import (
     mean,
     mean_rate,
@@ -21,7 +21,7 @@ from tradescope.functions.exprs import (
     with_numbers,
 )
 from tradescope.operators.filters import by_years, where_in
-from tradescope.operators.joins import lookup, lookup_table
+from tradescope.operators.joins import lookup, lookup_table, named_by
 from tradescope.plans.fact import inner_sales
 from tradescope.plans.sales import monthly_sales
 
@@ -82,7 +82,7 @@ def email_performance(ds: Dataset, years: Sequence[int] | None = None) -> DataFr
     )
     # Counts are added up per campaign before the campaign name is looked up.
     per_campaign = emails.groupBy("campaign_id").agg(*[F.sum(c).alias(c) for c in _EMAIL_COUNTS])
-    named = lookup_table(per_campaign, ds, "campaigns", "campaign_id", ["campaign_name"])
+    named = named_by(per_campaign, ds, "campaigns", "campaign_id", ["campaign_name"])
     key = "campaign_name" if "campaign_name" in named.columns else "campaign_id"
     sent, opened, clicked = F.col("sent"), F.col("opened"), F.col("clicked")
     return (
@@ -140,20 +140,19 @@ def marketing_results(
     fact: DataFrame,
     years: Sequence[int] | None = None,
     platforms: Sequence[str] | None = None,
-) -> dict[str, DataFrame]:
-    results: dict[str, DataFrame] = {}
-    spend = None
-    if "ads_spend" in ds:
-        spend = ad_spend(ds, years, platforms)
-        results["platform_spend"] = platform_spend(spend)
-        results["monthly_spend"] = monthly_spend(spend)
-        results["campaign_pacing"] = campaign_pacing(ds, spend)
+) -> Results:
+    results: dict[str, Callable[[], DataFrame]] = {}
+    spend = ad_spend(ds, years, platforms) if "ads_spend" in ds else None
+    if spend is not None:
+        results["platform_spend"] = lambda: platform_spend(spend)
+        results["monthly_spend"] = lambda: monthly_spend(spend)
+        results["campaign_pacing"] = lambda: campaign_pacing(ds, spend)
     if "email_clicks" in ds:
-        results["email_performance"] = email_performance(ds, years)
-    results["spend_sales_trend"] = spend_sales_trend(fact, spend)
+        results["email_performance"] = lambda: email_performance(ds, years)
+    results["spend_sales_trend"] = lambda: spend_sales_trend(fact, spend)
     if "page_views" in ds:
-        results["web_engagement"] = web_engagement(ds, years)
-    return results
+        results["web_engagement"] = lambda: web_engagement(ds, years)
+    return Results(results)
 
 
 def marketing_cards(

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradescope.dataset import Dataset
+from tradescope.dataset import Dataset, Results
 from tradescope.functions.exprs import (
+    RATE,
     days_between_dates,
     mean,
     mean_days,
     mean_rate,
-    number_or_zero,
+    numeric,
     percent,
     percent_2dp,
+    ratio,
     seconds_between,
     share,
     sql_total,
@@ -23,7 +25,7 @@ from tradescope.functions.exprs import (
     with_numbers,
 )
 from tradescope.operators.filters import by_years, where_in
-from tradescope.operators.joins import lookup, lookup_table
+from tradescope.operators.joins import lookup, lookup_table, named_by
 from tradescope.operators.ranking import group_percentile
 from tradescope.plans.fact import categorised_products, product_dimension
 
@@ -49,7 +51,7 @@ def inventory_positions(ds: Dataset) -> DataFrame:
         details = ["product_name", "category_name", "cost_price"]
         rows = lookup(rows, product_dimension(ds), "product_id", details)
     rows = with_numbers(rows, ["quantity_on_hand", "reorder_level"])
-    price = number_or_zero("cost_price") if "cost_price" in rows.columns else F.lit(0)
+    price = numeric(rows, "cost_price") if "cost_price" in rows.columns else F.lit(0)
     return rows.withColumns(
         {
             "below_reorder": F.col("quantity_on_hand") < F.col("reorder_level"),
@@ -123,7 +125,7 @@ def inbound_in_scope(
 
 
 def supplier_lead_time(ds: Dataset, inbound: DataFrame) -> DataFrame:
-    named = lookup_table(inbound, ds, "suppliers", "supplier_id", ["supplier_name"])
+    named = named_by(inbound, ds, "suppliers", "supplier_id", ["supplier_name"])
     key = "supplier_name" if "supplier_name" in named.columns else "supplier_id"
     return (
         _known(named, key)
@@ -138,6 +140,7 @@ def supplier_lead_time(ds: Dataset, inbound: DataFrame) -> DataFrame:
 
 
 def warehouse_flow(inbound: DataFrame) -> DataFrame:
+    """Units and mean lead time per region of shipments that already know their warehouse."""
     return (
         _known(inbound, "region")
         .groupBy("region")
@@ -148,22 +151,53 @@ def warehouse_flow(inbound: DataFrame) -> DataFrame:
     )
 
 
+def region_flow(
+    ds: Dataset, years: Sequence[int] | None = None, warehouse_regions: Sequence[str] | None = None
+) -> DataFrame:
+    """Units and mean lead time per warehouse region, added up per warehouse before the lookup."""
+    inbound = _shipments(ds, "inbound_shipments", years).withColumn(
+        "lead_seconds", seconds_between("shipped_date", "arrival_date")
+    )
+    per_warehouse = inbound.groupBy("warehouse_id").agg(
+        F.sum("quantity").alias("quantity"),
+        F.sum("lead_seconds").alias("lead_seconds"),
+        F.count("lead_seconds").alias("timed"),
+    )
+    placed = lookup_table(per_warehouse, ds, "warehouses", "warehouse_id", ["region"])
+    return (
+        _known(where_in(placed, "region", warehouse_regions), "region")
+        .groupBy("region")
+        .agg(
+            total("quantity").alias("inbound_units"),
+            (ratio(F.sum("lead_seconds"), F.sum("timed")) / F.lit(86400.0)).alias("avg_lead_days"),
+        )
+    )
+
+
 def production_quality(ds: Dataset, years: Sequence[int] | None = None) -> DataFrame:
     """Output per line with the mean of the work orders' own rejection and yield rates."""
     orders = by_years(ds.table("work_orders"), ["start_timestamp"], years)
-    orders = lookup_table(
-        orders, ds, "production_lines", "line_id", ["line_name", "capacity_per_hour"]
-    )
-    key = "line_name" if "line_name" in orders.columns else "line_id"
     produced, rejected = F.col("quantity_produced"), F.col("rejected_quantity")
+    rates = {
+        "rejection": percent(rejected, produced).cast(RATE),
+        "yield": percent(produced - rejected, produced).cast(RATE),
+    }
+    # Added up per line id before the line's name is looked up.
+    sums = [F.sum(c).alias(name) for name, c in rates.items()]
+    counts = [F.count(c).alias(f"{name}_n") for name, c in rates.items()]
+    per_line = orders.groupBy("line_id").agg(
+        F.sum(produced).alias("made"), F.sum(rejected).alias("bad"), *sums, *counts
+    )
+    named = named_by(per_line, ds, "production_lines", "line_id", ["line_name"])
+    key = "line_name" if "line_name" in named.columns else "line_id"
     return (
-        _known(orders, key)
+        _known(named, key)
         .groupBy(key)
         .agg(
-            total(produced).alias("produced"),
-            total(rejected).alias("rejected"),
-            mean_rate(percent(rejected, produced)).alias("rejection_rate_pct"),
-            mean_rate(percent(produced - rejected, produced)).alias("yield_pct"),
+            total("made").alias("produced"),
+            total("bad").alias("rejected"),
+            ratio(F.sum("rejection"), F.sum("rejection_n")).alias("rejection_rate_pct"),
+            ratio(F.sum("yield"), F.sum("yield_n")).alias("yield_pct"),
         )
         .orderBy(F.col("produced").desc(), key)
     )
@@ -199,26 +233,26 @@ def operations_results(
     years: Sequence[int] | None = None,
     shipment_statuses: Sequence[str] | None = None,
     warehouse_regions: Sequence[str] | None = None,
-) -> dict[str, DataFrame]:
-    results: dict[str, DataFrame] = {}
+) -> Results:
+    results: dict[str, Callable[[], DataFrame]] = {}
     if "inventory" in ds:
-        results["inventory_risk"] = inventory_risk(ds)
-        if "category_name" in results["inventory_risk"].columns:
-            results["inventory_by_category"] = inventory_by_category(ds)
+        results["inventory_risk"] = lambda: inventory_risk(ds)
+        if "category_name" in inventory_positions(ds).columns:
+            results["inventory_by_category"] = lambda: inventory_by_category(ds)
     if "sales_shipments" in ds:
         outbound = outbound_shipments(ds, years, shipment_statuses)
-        results["outbound_status"] = outbound_status(outbound)
-        results["courier"] = courier_performance(outbound)
+        results["outbound_status"] = lambda: outbound_status(outbound)
+        results["courier"] = lambda: courier_performance(outbound)
     if "inbound_shipments" in ds:
         inbound = inbound_in_scope(ds, years, warehouse_regions)
-        results["supplier_lead"] = supplier_lead_time(ds, inbound)
+        results["supplier_lead"] = lambda: supplier_lead_time(ds, inbound)
         if "region" in inbound.columns:
-            results["warehouse_flow"] = warehouse_flow(inbound)
+            results["warehouse_flow"] = lambda: region_flow(ds, years, warehouse_regions)
     if "work_orders" in ds:
-        results["production"] = production_quality(ds, years)
+        results["production"] = lambda: production_quality(ds, years)
     if "api_requests" in ds:
-        results["api_health"] = api_health(ds, years)
-    return results
+        results["api_health"] = lambda: api_health(ds, years)
+    return Results(results)
 
 
 def operations_cards(

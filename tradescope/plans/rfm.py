@@ -38,7 +38,7 @@ def customer_values(sales: DataFrame) -> DataFrame:
     )
 
 
-def _scores(customers: DataFrame, slots: int | None) -> DataFrame:
+def _scores(customers: DataFrame, overall: Column, slots: int | None) -> DataFrame:
     """The three scores of each customer, from exact positions by (value, cust_id).
 
     The three measures become rows of one narrow table, so all positions come out of a
@@ -57,11 +57,7 @@ def _scores(customers: DataFrame, slots: int | None) -> DataFrame:
         return F.max(F.when(F.col("measure") == measure, F.col("position")))
 
     ranked = placed.groupBy("cust_id").agg(*[position(m).alias(m) for m in "rfm"])
-    sizes = customers.agg(
-        F.count("recency_days").alias("dated"), F.count(F.lit(1)).alias("customers")
-    )
-    dated = sizes.select("dated").scalar()
-    everyone = sizes.select("customers").scalar()
+    dated, everyone = overall["dated"], overall["customers"]
     return ranked.select(
         "cust_id",
         score_1_to_5(F.lit(1.0) - ratio(F.col("r"), dated)).alias("r_score"),
@@ -81,23 +77,33 @@ def _segment() -> Column:
     )
 
 
-def rfm_segments(fact: DataFrame, slots: int | None = None) -> DataFrame:
+def rfm_segments(fact: DataFrame, slots: int | None = None, by_monetary: bool = False) -> DataFrame:
     """Scores 1..5 by rank share, segment and lifetime-value proxy per customer.
 
+    ``by_monetary`` sorts the customers by spend, the largest first.
+
     The per-customer values are staged, because they are read three times and cost the
     fact's shuffle.  A customer without an order date gets no recency score.
     """
     values = stage(customer_values(fact), "customers")
-    # Orders without a customer still move the reference date.
-    latest = values.agg(F.max("last_order").alias("latest")).select("latest").scalar()
-    values = values.where(F.col("cust_id").isNotNull())
-    customers = values.withColumn(
-        "recency_days", whole_days(seconds_between("last_order", latest))
+    known = F.col("cust_id").isNotNull()
+    # One row for everything the customers are measured against.  Orders without a customer
+    # still move the reference date.
+    overall = values.agg(
+        F.struct(
+            F.max("last_order").alias("latest"),
+            F.max(F.when(known, F.col("frequency"))).alias("most_orders"),
+            F.count_if(known & F.col("last_order").isNotNull()).alias("dated"),
+            F.count_if(known).alias("customers"),
+        ).alias("overall")
+    ).scalar()
+    customers = values.where(known).withColumn(
+        "recency_days", whole_days(seconds_between("last_order", overall["latest"]))
     )
-    most_orders = values.agg(F.max("frequency").alias("n")).select("n").scalar()
-    weight = F.lit(1.0) + F.col("frequency") / F.greatest(most_orders, F.lit(1)).cast("double")
-    scored = customers.join(_scores(customers, slots), "cust_id", "left")
-    return scored.select(
+    most_orders = F.greatest(overall["most_orders"], F.lit(1))
+    weight = F.lit(1.0) + F.col("frequency") / most_orders.cast("double")
+    scored = customers.join(_scores(customers, overall, slots), "cust_id", "left")
+    segments = scored.select(
         "cust_id",
         "last_order",
         "frequency",
@@ -110,6 +116,9 @@ def rfm_segments(fact: DataFrame, slots: int | None = None) -> DataFrame:
         _segment().alias("segment"),
         (F.col("monetary").cast("double") * weight).alias("clv_proxy"),
     )
+    if by_monetary:
+        return segments.orderBy(F.col("monetary").desc_nulls_last(), "cust_id")
+    return segments
 
 
 def segment_counts(rfm: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradescope.dataset import Dataset
+from tradescope.dataset import Dataset, Results
 from tradescope.functions.exprs import (
     mean_hours,
     month_start,
@@ -16,8 +16,8 @@ from tradescope.functions.exprs import (
     sql_total,
     total,
 )
-from tradescope.operators.joins import lookup_table
-from tradescope.plans.fact import inner_sales
+from tradescope.operators.joins import named_by
+from tradescope.plans.fact import inner_sales, product_dimension
 from tradescope.plans.rfm import rfm_segments
 
 
@@ -60,6 +60,11 @@ def monthly_sales(fact: DataFrame) -> DataFrame:
     return _with_margin(_by(fact, "month", *_revenue_profit(), _order_count())).orderBy("month")
 
 
+def monthly_revenue_profit(fact: DataFrame) -> DataFrame:
+    """Revenue and profit per month, sales without a month as a row of their own."""
+    return fact.groupBy("month").agg(*_revenue_profit())
+
+
 def product_contribution(fact: DataFrame) -> DataFrame:
     by_product = _by(fact, "product_name", *_revenue_profit(), total("quantity").alias("units"))
     return by_product.orderBy(F.col("revenue").desc(), "product_name")
@@ -79,14 +84,30 @@ def return_reasons(ds: Dataset, fact: DataFrame) -> DataFrame:
     """Refund value and distinct returns by reason.
 
     Returns are matched to the distinct products sold in their order; a return keeps
-    counting when the filtered fact does not hold its order.
+    counting when the filtered fact does not hold its order.  A match changes something
+    only where one product id has several names, so the fact is read for such ids alone.
     """
-    sold = fact.select("order_id", "prod_id", "category_name", "product_name").dropDuplicates()
-    matched = ds.table("sales_returns").join(sold, ["order_id", "prod_id"], "left")
+    returns = ds.table("sales_returns").withColumn("copies", F.lit(1))
+    named = ["category_name", "product_name"]
+    ambiguous = (
+        product_dimension(ds, ("category",))
+        .select(F.col("product_id").alias("prod_id"), *named)
+        .distinct()
+        .groupBy("prod_id")
+        .agg(F.count(F.lit(1)).alias("names"))
+        .where(F.col("names") > 1)
+        .select("prod_id")
+    )
+    if not ambiguous.isEmpty():
+        sold = fact.join(ambiguous, "prod_id", "left_semi").select("order_id", "prod_id", *named)
+        times = sold.distinct().groupBy("order_id", "prod_id").agg(F.count(F.lit(1)).alias("times"))
+        returns = returns.join(times, ["order_id", "prod_id"], "left").withColumn(
+            "copies", F.coalesce("times", F.lit(1))
+        )
     return _by(
-        matched,
+        returns,
         "reason",
-        total("refund_amount").alias("refund_value"),
+        total(F.col("refund_amount") * F.col("copies")).alias("refund_value"),
         F.count_distinct("return_id").alias("return_count"),
     ).orderBy(F.col("refund_value").desc(), "reason")
 
@@ -98,9 +119,7 @@ def review_distribution(ds: Dataset) -> DataFrame:
 
 
 def loyalty_by_tier(ds: Dataset) -> DataFrame:
-    members = lookup_table(
-        ds.table("loyalty_members"), ds, "loyalty_tiers", "tier_id", ["tier_name"]
-    )
+    members = named_by(ds.table("loyalty_members"), ds, "loyalty_tiers", "tier_id", ["tier_name"])
     key = "tier_name" if "tier_name" in members.columns else "tier_id"
     return _by(
         members.withColumnRenamed(key, "tier"),
@@ -122,23 +141,23 @@ def ticket_resolution(ds: Dataset) -> DataFrame:
     ).orderBy(F.col("ticket_count").desc(), "category")
 
 
-def sales_customer_results(ds: Dataset, fact: DataFrame) -> dict[str, DataFrame]:
-    results = {"monthly": monthly_sales(fact), "rfm": rfm_segments(fact)}
+def sales_customer_results(ds: Dataset, fact: DataFrame) -> Results:
+    results = {"monthly": lambda: monthly_sales(fact), "rfm": lambda: rfm_segments(fact)}
     if "product_name" in fact.columns:
-        results["products"] = product_contribution(fact)
+        results["products"] = lambda: product_contribution(fact)
     if "category_name" in fact.columns:
-        results["categories"] = category_contribution(fact)
+        results["categories"] = lambda: category_contribution(fact)
     if "region_name" in fact.columns:
-        results["regions"] = regional_contribution(fact)
+        results["regions"] = lambda: regional_contribution(fact)
     if "sales_returns" in ds:
-        results["return_reasons"] = return_reasons(ds, fact)
+        results["return_reasons"] = lambda: return_reasons(ds, fact)
     if "reviews" in ds:
-        results["reviews"] = review_distribution(ds)
+        results["reviews"] = lambda: review_distribution(ds)
     if "loyalty_members" in ds:
-        results["loyalty"] = loyalty_by_tier(ds)
+        results["loyalty"] = lambda: loyalty_by_tier(ds)
     if "support_tickets" in ds:
-        results["tickets"] = ticket_resolution(ds)
-    return results
+        results["tickets"] = lambda: ticket_resolution(ds)
+    return Results(results)
 
 
 # --- Top-N slices ----------------------------------------------------------------------

@@ -57,7 +57,7 @@ page_views            | web_events.page_views             | L | view_id long, se
 web_events            | web_events.events                 | L | event_timestamp ts
 api_requests          | audit.api_requests                |   | request_id long, endpoint string, status_code long, response_time_ms double, timestamp ts
 application_logs      | audit.application_logs            |   | timestamp ts
-procedure_calls       | audit.procedure_calls             |   | called_at ts
+procedure_calls       | audit.procedure_calls             |   | called_at ts, status string
 """
 
 # The smaller table set used by the validation run: the first five are required there.

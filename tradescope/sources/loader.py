@@ -14,8 +14,7 @@ from tradescope.operators.clean import clean_dataset
 from tradescope.registry import TableSpec, selected_specs, table_specs
 
 REPORT_SCHEMA = "table_key string, severity string, message string"
-# Message for a key that the registry does not know.
-UNMAPPED = "Table key is not mapped in TABLE_SPECS."
+UNMAPPED = "no table of the registry has this key"
 
 # The tables without which no sales fact can be built.
 GATE_TABLES = ("orders", "order_items", "products")
@@ -53,11 +52,11 @@ def load(
             opened[key] = source.read(spec)
         except (PySparkException, Py4JError) as problem:
             severity = "error" if spec.required else "warning"
-            notes.append((key, severity, f"Unable to load {spec.qualified_name}: {problem}"))
+            notes.append((key, severity, f"{spec.qualified_name} could not be opened: {problem}"))
     report = source.spark.createDataFrame(notes, REPORT_SCHEMA)
     return clean_dataset(Dataset(source.spark, opened), dedup, json_columns), report
 
 
-def ready_for_sales(ds: Dataset) -> bool:
-    """Whether the tables of the sales fact are there."""
-    return all(key in ds for key in GATE_TABLES)
+def ready_for_sales(ds: Dataset, with_rows: bool = False) -> bool:
+    """Whether the tables of the sales fact are there and, if asked, none of them is empty."""
+    return all(ds.has_rows(key) if with_rows else key in ds for key in GATE_TABLES)

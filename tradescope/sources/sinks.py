@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradescope.functions.text import html_escape
 
-# Fixed value: longest name a spreadsheet tab may have.
-SHEET_NAME_LIMIT = 31
-
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_frames(frames: dict[str, DataFrame], root: str, fmt: str = "parquet") -> None:
-    """Each frame under ``root/<name>``, names cut like spreadsheet tabs."""
+def write_frames(frames: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> None:
+    """Each frame under ``root/<name>``; names that differ only in case are refused."""
+    folded = [name.lower() for name in frames]
+    if len(set(folded)) < len(folded):
+        raise ValueError(f"frame names would share a folder: {sorted(frames)}")
     for name, df in frames.items():
         writer = df.write.mode("overwrite").format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True)
-        writer.save(f"{root.rstrip('/')}/{name[:SHEET_NAME_LIMIT]}")
+        writer.save(f"{root.rstrip('/')}/{name}")
 
 
 def _in_one_file(lines: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def _in_one_file(lines: DataFrame) -> DataFrame:
 
 
 def write_text(lines: DataFrame, path: str) -> None:
-    """``lines`` has columns seq and line."""
+    """``lines`` has columns seq and line; all of it goes through one task, so only for reports."""
     _in_one_file(lines).write.mode("overwrite").text(path)
 
 

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradescope.dataset import Dataset
+from tradescope.dataset import Dataset, Results
 from tradescope.functions.exprs import number_or_zero
 from tradescope.functions.text import currency, html_escape, percent_text
 from tradescope.operators import clean, filters, quality, ranking
 from tradescope.operators.filters import Filters
 from tradescope.operators.staging import stage
-from tradescope.plans import cross, fact, finance, hr, insights, marketing, operations, report, rfm, sales
+from tradescope.plans import cross, fact, finance, hr, insights, kpis, marketing, operations, report, rfm, sales
 from tradescope.session import prepare
 from tradescope.sources.sinks import html_lines
 from verification.tables import dataset
@@ -169,8 +170,7 @@ def _(ds):
 
 @_query("rfm_segments_by_monetary")
 def _(ds):
-    ranked = rfm.rfm_segments(_fact(ds))
-    return ranked.orderBy(F.col("monetary").desc_nulls_last(), "cust_id")
+    return rfm.rfm_segments(_fact(ds), by_monetary=True)
 
 
 @_query("segment_counts")
@@ -310,11 +310,8 @@ _query("refund_totals")(finance.refund_totals)
 
 @_query("finance_cards")
 def _(ds):
-    sold = _fact(ds)
     opex = finance.monthly_expenses(finance.expenses_in_scope(ds))
-    return finance.finance_cards(
-        opex, finance.profit_and_loss(sold, opex), finance.refund_log(ds), sales.executive_kpis(sold)
-    )
+    return finance.finance_cards(opex, _fact(ds), finance.refund_log(ds))
 
 
 # --- Workforce -----------------------------------------------------------------------------
@@ -377,12 +374,12 @@ _query("supplier_shipments")(operations.supplier_shipments)
 
 @_query("warehouse_flow")
 def _(ds):
-    return operations.warehouse_flow(operations.inbound_in_scope(ds))
+    return operations.region_flow(ds)
 
 
 @_query("warehouse_flow_filtered")
 def _(ds):
-    return operations.warehouse_flow(operations.inbound_in_scope(ds, YEARS, WAREHOUSE_ZONES))
+    return operations.region_flow(ds, YEARS, WAREHOUSE_ZONES)
 
 
 _query("production_quality")(operations.production_quality)
@@ -432,6 +429,105 @@ def _(ds):
     return cross.overview_cards(ds, _fact(ds))
 
 
+# --- Documented indicators -----------------------------------------------------------------
+
+
+_query("units_per_order")(lambda ds: kpis.units_per_order(_fact(ds)))
+_query("new_and_returning_revenue")(lambda ds: kpis.new_and_returning_revenue(ds, _fact(ds)))
+_query("return_rate")(kpis.return_rate)
+_query("refund_rate")(kpis.refund_rate)
+_query("failed_refunds")(kpis.failed_refunds)
+_query("payroll_to_revenue")(lambda ds: kpis.payroll_to_revenue(ds, _fact(ds)))
+_query("sales_velocity")(lambda ds: kpis.sales_velocity(ds, _category_fact(ds)))
+_query("web_conversion")(kpis.web_conversion)
+_query("blended_acquisition_cost")(kpis.blended_acquisition_cost)
+_query("campaign_period_trend")(lambda ds: kpis.campaign_period_trend(ds, _fact(ds)))
+_query("promotion_uplift")(lambda ds: kpis.promotion_uplift(ds, _fact(ds)))
+_query("loyalty_redemption_rate")(kpis.loyalty_redemption_rate)
+_query("procedure_failures")(kpis.procedure_failures)
+
+
+# --- Unfiltered forms, and whole bundles in long form --------------------------------------
+
+_query("monthly_expenses_all")(lambda ds: finance.monthly_expenses(finance.expenses_in_scope(ds)))
+_query("payroll_monthly_all")(hr.payroll_monthly)
+_query("refund_log_all")(finance.refund_log)
+_query("salary_payment_status_all")(hr.salary_payment_status)
+_query("outbound_status_all")(lambda ds: operations.outbound_status(operations.outbound_shipments(ds)))
+
+# bundle: result -> (registered query with the same rows, key column, measures); shared with the oracle.
+BUNDLES = {
+    "sales_bundle": {
+        "monthly": ("monthly_sales", "month", "revenue profit orders"),
+        "rfm": ("rfm_segments", "cust_id", "frequency monetary rfm_total"),
+        "products": ("product_contribution", "product_name", "revenue units"),
+        "categories": ("category_contribution", "category_name", "revenue profit"),
+        "regions": ("regional_contribution", "region_name", "revenue orders"),
+        "return_reasons": ("return_reasons", "reason", "refund_value return_count"),
+        "reviews": ("review_distribution", "rating", "review_count"),
+        "loyalty": ("loyalty_by_tier", "tier", "members points_balance"),
+        "tickets": ("ticket_resolution", "category", "ticket_count avg_resolution_hours"),
+    },
+    "marketing_bundle": {
+        "platform_spend": ("platform_spend", "platform", "spend"),
+        "monthly_spend": ("monthly_spend", "month", "marketing_spend"),
+        "campaign_pacing": ("campaign_pacing", "campaign_id", "actual_spend budget_variance"),
+        "email_performance": ("email_performance", "campaign_name", "sent opened clicked ctr_pct"),
+        "spend_sales_trend": ("spend_sales_trend", "month", "revenue marketing_spend"),
+        "web_engagement": ("web_engagement", "'all'", "identified_sessions avg_pages_per_session"),
+    },
+    "hr_bundle": {
+        "headcount": ("headcount", "dept_name", "headcount avg_salary"),
+        "role_salary": ("role_salary", "role", "headcount avg_salary"),
+        "revenue_per_employee": ("revenue_per_employee", "'all'", "revenue_per_employee"),
+        "payroll_monthly": ("payroll_monthly_all", "month", "gross_payroll net_payroll deductions"),
+        "attendance": ("attendance_summary", "dept_name", "attendance_days avg_worked_hours"),
+        "salary_payment_status": ("salary_payment_status_all", "status", "payment_count amount"),
+    },
+    "operations_bundle": {
+        "inventory_risk": ("inventory_risk", "product_id", "inventory_value"),
+        "inventory_by_category": ("inventory_by_category", "category_name", "inventory_units inventory_value"),
+        "outbound_status": ("outbound_status_all", "status", "shipments avg_delivery_days"),
+        "courier": ("courier_performance", "courier_name", "shipments avg_delivery_days"),
+        "supplier_lead": ("supplier_lead_time", "supplier_name", "inbound_units avg_lead_days"),
+        "warehouse_flow": ("warehouse_flow", "region", "inbound_units avg_lead_days"),
+        "production": ("production_quality", "line_name", "produced rejected yield_pct"),
+        "api_health": ("api_health", "endpoint", "requests error_rate_pct p95_latency_ms"),
+    },
+}
+
+
+def _long(results: Results, bundle: str) -> DataFrame:
+    """(result, key, measure, value) rows of every result of a bundle."""
+    parts = []
+    for name, (_, key, measures) in BUNDLES[bundle].items():
+        cells = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures.split()]
+        part = results[name].select(F.lit(name).alias("result"), F.expr(key).cast("string").alias("key"), F.inline(F.array(*cells)))
+        parts.append(part)
+    assert set(BUNDLES[bundle]) == set(results)
+    return reduce(DataFrame.unionByName, parts)
+
+
+@_query("sales_bundle")
+def _(ds):
+    return _long(sales.sales_customer_results(ds, _staged_fact(ds)), "sales_bundle")
+
+
+@_query("marketing_bundle")
+def _(ds):
+    return _long(marketing.marketing_results(ds, _fact(ds)), "marketing_bundle")
+
+
+@_query("hr_bundle")
+def _(ds):
+    return _long(hr.hr_results(ds, sales.executive_kpis(_fact(ds))), "hr_bundle")
+
+
+@_query("operations_bundle")
+def _(ds):
+    return _long(operations.operations_results(ds), "operations_bundle")
+
+
 # --- Observations and report ---------------------------------------------------------------
 
 
@@ -524,8 +620,7 @@ def _(ds):
 
 @_query("quality_profile")
 def _(ds):
-    keys = ["orders", "order_items", "sales_shipments", "support_tickets", "products", "page_views"]
-    return quality.quality_profile(Dataset(ds.spark, {key: ds[key] for key in keys}))
+    return quality.quality_profile(ds)
 
 
 @_query("order_row_count")

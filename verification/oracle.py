@@ -6,7 +6,7 @@ is written from the meaning of the result, not from the Spark plan.
 
 from __future__ import annotations
 
-from verification.catalog import CATEGORIES, PLATFORMS, REGIONS, WAREHOUSE_ZONES, YEARS
+from verification.catalog import BUNDLES, CATEGORIES, PLATFORMS, REGIONS, WAREHOUSE_ZONES, YEARS
 
 
 def _money(expr: str) -> str:
@@ -412,6 +412,121 @@ def _options(label: str, expr: str, source: str) -> str:
         FROM {source} WHERE {expr} IS NOT NULL"""
 
 
+# Every logical table: key, table expression and columns.
+_PROFILED = [
+    ("orders", "orders_all", "order_id cust_id store_id order_date order_status net_total discount payment_mode_id"),
+    ("order_items", "items", "order_id prod_id quantity gross_amount item_discount_amount net_amount"),
+    ("sales_returns", "returned_dated", "return_id order_id prod_id reason refund_amount return_date"),
+    ("sales_shipments", "outbound", "shipment_id courier_name status shipped_date delivered_date"),
+    ("ads_spend", "ads", "campaign_id platform amount spend_date"),
+    ("finance_expenses", "expenses", "exp_cat_id amount expense_date"),
+    ("inbound_shipments", "inbound", "shipment_id supplier_id warehouse_id quantity shipped_date arrival_date"),
+    ("work_orders", "work_dated", "line_id produced rejected start_timestamp"),
+    ("finance_payments", "payments", "payment_id status amount refunded_at refund_reason"),
+    ("refund_log", "refunds", "refund_id reason amount refunded_at"),
+    ("pay_slips", "slips", "employee_id gross_salary net_salary pf professional_tax income_tax payment_date"),
+    ("salary_history", "salaries", "payment_id status amount payment_date"),
+    ("support_tickets", "tickets", "ticket_id category created_date resolved_date"),
+    ("email_clicks", "emails_dated", "campaign_id sent opened clicked sent_date"),
+    ("page_views", "views", "view_id session_id customer_id view_timestamp"),
+    ("attendance", "attended_dated", "attendance_id employee_id attendance_date check_in check_out"),
+    ("api_requests", "api_dated", "request_id endpoint status_code latency called"),
+    ("products", "products", "product_id product_name brand_id cost_price"),
+    ("brand", "brands", "brand_id brand_name category_id"),
+    ("category", "categories", "category_id category_name"),
+    ("inventory", "stock", "product_id store_id quantity_on_hand reorder_level"),
+    ("stores", "stores", "store_id store_name region_id"),
+    ("warehouses", "zones_named", "warehouse_id name region"),
+    ("region", "regions", "region_id region_name state"),
+    ("department", "depts", "dept_id dept_name"),
+    ("loyalty_tiers", "tiers", "tier_id tier_name"),
+    ("customers", "customer_ids", "customer_id"),
+    ("loyalty_members", "members", "customer_id tier_id points_balance"),
+    ("store_employees", "staff", "employee_id dept_id role salary store_id"),
+    ("campaigns", "campaigns", "campaign_id campaign_name budget"),
+    ("suppliers", "supplier_names", "supplier_id supplier_name"),
+    ("promotions", "promos", "start_date end_date"),
+    ("loyalty_redemptions", "redeemed", "redemption_date"),
+    ("refund_failures", "failures", "failed_at"),
+    ("procedure_calls", "procedures", "called_at status"),
+    ("reviews", "ratings", "rating"),
+    ("expense_category", "exp_names", "exp_cat_id category_name"),
+    ("production_lines", "line_names", "line_id line_name"),
+]
+
+_FIRST = "SELECT cust_id, MIN(order_date) AS first_date FROM valid WHERE cust_id IS NOT NULL GROUP BY cust_id"
+_SPEND_CAMPAIGNS = f"""SELECT {_MONTH.format("spend_date")} AS month, {_sum("amount")} AS marketing_spend,
+    COUNT(DISTINCT campaign_id) AS active_campaigns FROM ads WHERE spend_date IS NOT NULL GROUP BY 1"""
+_SOLD_MONTHS = f"SELECT month, {_REVENUE} AS revenue FROM fact WHERE month IS NOT NULL GROUP BY month"
+
+
+def _indicators() -> dict[str, str]:
+    """The documented indicators."""
+    return {
+        "units_per_order": _sql("fact", f"""SELECT {_sum("quantity")} AS units, {_ORDERS} AS orders,
+            {_div(_sum("quantity"), _ORDERS)} AS units_per_order FROM fact"""),
+        "new_and_returning_revenue": _sql("fact valid", f"""SELECT month,
+            {_sum("CASE WHEN f.cust_id IS NOT NULL AND f.order_date = w.first_date THEN net_amount END")} AS new_revenue,
+            {_sum("CASE WHEN f.cust_id IS NOT NULL AND f.order_date <> w.first_date THEN net_amount END")} AS returning_revenue,
+            {_sum("CASE WHEN f.cust_id IS NULL THEN net_amount END")} AS unknown_revenue
+            FROM fact f LEFT JOIN won w ON w.cust_id = f.cust_id WHERE month IS NOT NULL GROUP BY month""", won=_FIRST),
+        "return_rate": _sql("valid returned", f"""SELECT COUNT(DISTINCT v.order_id) AS orders, COUNT(DISTINCT r.order_id) AS returned_orders,
+            {_pct("COUNT(DISTINCT r.order_id)", "COUNT(DISTINCT v.order_id)")} AS return_rate_pct
+            FROM valid v LEFT JOIN returned r ON r.order_id = v.order_id"""),
+        "refund_rate": _sql("payments", f"""SELECT COUNT(*) AS payments, COUNT(refunded_at) AS refunds, {_sum("amount")} AS amount,
+            {_sum("CASE WHEN refunded_at IS NOT NULL THEN amount END")} AS refunded_amount,
+            {_pct("COUNT(refunded_at)", "COUNT(*)")} AS refund_rate_pct,
+            {_pct(_sum("CASE WHEN refunded_at IS NOT NULL THEN amount END"), _sum("amount"))} AS refunded_amount_pct FROM payments"""),
+        "failed_refunds": _sql("failures", f"""SELECT {_MONTH.format("failed_at")} AS month, COUNT(*) AS failed_refunds
+            FROM failures GROUP BY 1"""),
+        "payroll_to_revenue": _sql("fact slips", f"""SELECT COALESCE(m.month, p.month) AS month, revenue, gross_payroll,
+            {_pct("gross_payroll", "revenue")} AS payroll_to_revenue_pct
+            FROM sold_months m FULL JOIN paid p ON p.month = m.month""",
+            sold_months=_SOLD_MONTHS, paid=_payroll("payment_date IS NOT NULL")),
+        "sales_velocity": _sql("fact stock catalogue", f"""SELECT v.*, units / days AS units_per_day, inventory_value
+            FROM velocity v LEFT JOIN by_category c ON c.category_name = v.category_name""",
+            held=_STOCK, by_category=_STOCK_CATEGORY, velocity=f"""SELECT category_name, {_sum("quantity")} AS units,
+            CAST(MAX(order_date) AS DATE) - CAST(MIN(order_date) AS DATE) + 1 AS days
+            FROM fact WHERE category_name IS NOT NULL GROUP BY category_name"""),
+        "web_conversion": _sql("views valid", f"""SELECT COUNT(*) AS visitors, COUNT(w.cust_id) AS buyers,
+            {_pct("COUNT(w.cust_id)", "COUNT(*)")} AS conversion_pct
+            FROM (SELECT DISTINCT customer_id FROM views WHERE customer_id IS NOT NULL) v
+            LEFT JOIN won w ON w.cust_id = v.customer_id""", won=_FIRST),
+        "blended_acquisition_cost": _sql("ads valid", f"""SELECT s.month, marketing_spend, COALESCE(n, 0) AS new_customers,
+            {_div("marketing_spend", "n")} AS cost_per_new_customer FROM spent s LEFT JOIN (
+            SELECT {_MONTH.format("first_date")} AS month, COUNT(*) AS n FROM won WHERE first_date IS NOT NULL GROUP BY 1) w
+            ON w.month = s.month""", spent=_SPEND_CAMPAIGNS, won=_FIRST),
+        "campaign_period_trend": _sql("ads fact", """SELECT s.*, revenue FROM spent s LEFT JOIN sold_months m ON m.month = s.month""",
+            spent=_SPEND_CAMPAIGNS, sold_months=_SOLD_MONTHS),
+        "promotion_uplift": _sql("fact promos", f"""SELECT *, {_pct("promoted_daily_revenue - other_daily_revenue", "other_daily_revenue")}
+            AS uplift_pct FROM (SELECT {_avg("CASE WHEN p THEN revenue END")} AS promoted_daily_revenue,
+            {_avg("CASE WHEN NOT p THEN revenue END")} AS other_daily_revenue FROM (SELECT SUM(net_amount) AS revenue,
+            EXISTS (SELECT 1 FROM promos o WHERE day BETWEEN CAST(o.start_date AS DATE) AND CAST(o.end_date AS DATE)) AS p
+            FROM (SELECT *, CAST(order_date AS DATE) AS day FROM fact) d WHERE day IS NOT NULL GROUP BY day) q) r"""),
+        "loyalty_redemption_rate": _sql("members redeemed", f"""SELECT COUNT(DISTINCT customer_id) AS members,
+            (SELECT COUNT(*) FROM redeemed) AS redemptions,
+            {_pct("(SELECT COUNT(*) FROM redeemed)", "COUNT(DISTINCT customer_id)")} AS redemptions_per_100_members FROM members"""),
+        "procedure_failures": _sql("procedures", f"""SELECT COUNT(*) AS calls, COUNT(*) FILTER (WHERE status = 'FAILED') AS failures,
+            {_pct("COUNT(*) FILTER (WHERE status = 'FAILED')", "COUNT(*)")} AS failure_rate_pct FROM procedures"""),
+        "monthly_expenses_all": _sql("expenses", _OPEX),
+        "payroll_monthly_all": _sql("slips", _payroll("payment_date IS NOT NULL")),
+        "refund_log_all": _sql("refunds", _refund_log("TRUE")),
+        "salary_payment_status_all": f"""SELECT o_orderstatus AS status, COUNT(DISTINCT o_orderkey) AS payment_count,
+            {_sum(_money("o_totalprice"))} AS amount FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1""",
+        "outbound_status_all": _sql("outbound", _delivery("status")),
+    }
+
+
+def _bundle(sql: dict[str, str], results: dict[str, tuple[str, str, str]]) -> str:
+    """The rows of several queries as (result, key, measure, value)."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS result, CAST({key} AS VARCHAR) AS key, '{measure}' AS measure, "
+        f"CAST({measure} AS DOUBLE) AS value FROM ({sql[query]}) q"
+        for name, (query, key, measures) in results.items()
+        for measure in measures.split()
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     monthly = {"monthly": _monthly()}
     sql = {
@@ -668,13 +783,8 @@ def oracle_sql() -> dict[str, str]:
             _required("orders", "sales.orders", "placed"), _required("order_items", "sales.order_items", "items"),
             _required("products", "products.products", "products"), _required("brand", "core.dim_brand", "brands"),
             _required("category", "core.dim_category", "categories")])),
-        "quality_profile": _sql("orders_all items outbound tickets products views", " UNION ALL ".join([
-            _profile("orders", "orders_all", "order_id cust_id store_id order_date order_status net_total discount payment_mode_id".split()),
-            _profile("order_items", "items", "order_id prod_id quantity gross_amount item_discount_amount net_amount".split()),
-            _profile("sales_shipments", "outbound", "shipment_id courier_name status shipped_date delivered_date".split()),
-            _profile("support_tickets", "tickets", "ticket_id category created_date resolved_date".split()),
-            _profile("products", "products", "product_id product_name brand_id cost_price".split()),
-            _profile("page_views", "views", "view_id session_id customer_id view_timestamp".split())])),
+        "quality_profile": _sql(" ".join(sorted({t for _, t, _ in _PROFILED})), " UNION ALL ".join(
+            _profile(key, t, columns.split()) for key, t, columns in _PROFILED)),
         "order_row_count": "SELECT COUNT(*) AS order_count FROM orders",
         "order_date_coverage": """SELECT MIN(o_orderdate) AS first_order_date, MAX(o_orderdate) AS last_order_date
             FROM orders""",
@@ -688,10 +798,37 @@ def oracle_sql() -> dict[str, str]:
             THEN printf('%.2f%%', CAST({_money("o_totalprice * 0.05::DOUBLE")} AS DOUBLE) / 1000) ELSE 'N/A' END AS share_text FROM orders""",
         "html_text": f"""SELECT p_partkey AS product_id,
             {_escaped("'<b>' || p_name || '''s " + '"new" & ' + "' || p_name || '</b>'")} AS html FROM part""",
-    }
-    return sql
+    } | _indicators()
+    return sql | {name: _bundle(sql, results) for name, results in BUNDLES.items()}
 
 
 _TABLES["orders_all"] = f"""SELECT o_orderkey AS order_id, o_custkey AS cust_id, o_custkey % 27 AS store_id,
     o_orderdate AS order_date, {_STATUS} AS order_status, {_money("o_totalprice")} AS net_total,
     {_money("o_totalprice * 0.05::DOUBLE")} AS discount, o_orderkey % 4 AS payment_mode_id FROM orders"""
+_TABLES |= {
+    "returned_dated": f"""SELECT l_orderkey * 8 + l_linenumber AS return_id, l_orderkey AS order_id, {_PRODUCT} AS prod_id,
+        l_linenumber % 4 AS reason, {_money("l_extendedprice")} AS refund_amount, l_shipdate AS return_date
+        FROM lineitem WHERE l_returnflag = 'R'""",
+    "work_dated": f"""SELECT l_linenumber AS line_id, {_money("l_quantity")} AS produced,
+        {_money("l_quantity * l_discount")} AS rejected, l_shipdate AS start_timestamp FROM lineitem""",
+    "salaries": f"""SELECT o_orderkey AS payment_id, o_orderstatus AS status, {_money("o_totalprice")} AS amount,
+        o_orderdate AS payment_date FROM orders""",
+    "emails_dated": """SELECT user_id % 120 AS campaign_id, 1 AS sent, event_type IN ('view', 'click', 'purchase') AS opened,
+        event_type IN ('click', 'purchase') AS clicked, ts AS sent_date FROM events""",
+    "attended_dated": f"""SELECT event_id AS attendance_id, user_id AS employee_id, ts AS attendance_date, ts AS check_in,
+        {_LATER} AS check_out FROM events""",
+    "api_dated": """SELECT event_id AS request_id, user_id % 10 AS endpoint,
+        CASE WHEN event_type = 'error' THEN 500 WHEN event_type <> 'signup' THEN 200 END AS status_code,
+        value AS latency, ts AS called FROM events""",
+    "zones_named": "SELECT n_nationkey AS warehouse_id, n_name AS name, n_regionkey AS region FROM nation",
+    "tiers": "SELECT r_regionkey AS tier_id, r_name AS tier_name FROM region",
+    "customer_ids": "SELECT c_custkey AS customer_id FROM customer",
+    "supplier_names": "SELECT s_suppkey AS supplier_id, s_name AS supplier_name FROM supplier",
+    "ratings": "SELECT quality * 3 + toxic + 1 AS rating FROM labels",
+    "promos": """SELECT TIMESTAMP '1995-01-01' + to_days(n_nationkey * 90) AS start_date,
+        TIMESTAMP '1995-01-11' + to_days(n_nationkey * 90) AS end_date FROM nation""",
+    "redeemed": "SELECT o_orderdate AS redemption_date FROM orders WHERE o_orderkey % 20 = 0",
+    "failures": "SELECT o_orderdate AS failed_at FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0",
+    "procedures": """SELECT ts AS called_at, CASE WHEN event_type = 'error' THEN 'FAILED'
+        WHEN event_type <> 'signup' THEN 'OK' END AS status FROM events""",
+}

@@ -226,10 +226,22 @@ _VIEWS: dict[str, tuple[str, list[str]]] = {
         _money("CASE WHEN s_acctbal > 0 THEN s_acctbal * 100 ELSE 0D END", "budget"),
     ]),
     "suppliers": ("supplier", ["s_suppkey AS supplier_id", "s_name AS supplier_name"]),
+    "promotions": ("nation", [
+        "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(n_nationkey * 90) AS start_date",
+        "timestamp_ntz'1995-01-11 00:00:00' + make_dt_interval(n_nationkey * 90) AS end_date",
+    ]),
+    "loyalty_redemptions": ("orders", ["o_orderdate AS redemption_date"]),
+    "refund_failures": ("orders", ["o_orderdate AS failed_at"]),
+    "procedure_calls": ("events", [
+        "ts AS called_at",
+        "CASE WHEN event_type = 'error' THEN 'FAILED' WHEN event_type <> 'signup' THEN 'OK' END AS status",
+    ]),
     "reviews": ("labels", ["CAST(quality * 3 + toxic + 1 AS bigint) AS rating"]),
 }
 
-_ROWS = {"sales_returns": "l_returnflag = 'R'", "refund_log": "o_orderstatus = 'P'"}
+_ROWS = {"sales_returns": "l_returnflag = 'R'", "refund_log": "o_orderstatus = 'P'",
+    "refund_failures": "o_orderstatus = 'P' AND o_orderkey % 5 = 0", "loyalty_redemptions": "o_orderkey % 20 = 0",
+}
 _DISTINCT = {"brand", "category"}
 # Small code lists that the driver's tables only hold as numbers 1..n.
 _CODES = {

@@ -108,10 +108,14 @@ def encoded(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Ids of each text with ``end_id`` behind them (packed little-endian) and curve key."""
+    """Ids of each text with ``end_id`` behind them and curve key.
+
+    The ids are packed little-endian, in 16 bits each where the vocabulary allows it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, special)
+        packing = "<u2" if max(encode.max_token_value, end_id) < 1 << 16 else "<u4"
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 rows = [np.array(encode.encode(t, allowed_special="all"), np.uint32) for t in texts(part, text_col)]
@@ -120,7 +124,7 @@ def encoded(
                         part.column(id_col),
                         pa.array([curve_key(r) for r in rows], pa.int64()),
                         pa.array([len(r) + 1 for r in rows], pa.int64()),
-                        pa.array([np.append(r, np.uint32(end_id)).tobytes() for r in rows], pa.binary()),
+                        pa.array([np.append(r, np.uint32(end_id)).astype(packing).tobytes() for r in rows], pa.binary()),
                     ],
                     names=[id_col, "_curve", "doc_tokens", "_ids"],
                 )
@@ -161,6 +165,8 @@ def pack(
             row, begin, size, crc, ids, sequence, offset = ([] for _ in range(7))
             for i, (at, n, raw) in enumerate(zip(ats.tolist(), sizes.tolist(), batch.column("_ids").to_pylist(), strict=True)):
                 done = 0
+                if len(raw) == 2 * n:
+                    raw = np.frombuffer(raw, "<u2").astype("<u4").tobytes()
                 while done < n:
                     took = min(n - done, length - (at + done) % length)
                     piece = raw[4 * done : 4 * (done + took)]

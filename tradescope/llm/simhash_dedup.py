@@ -48,7 +48,11 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
 
 def simhash(text: str, width: int) -> int:
     """The bits set in more than half of the shingle hashes; 0 for no word."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in more than half of the hashes, as a signed 64-bit integer."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _SHINGLES_AT_ONCE):
         octets = hashes[i : i + _SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8)
@@ -164,9 +168,16 @@ def leaf_links(row: np.ndarray, column: np.ndarray, radius: int) -> list[tuple[i
 
 
 def _places(
-    trees: list[VantageTree], sizes: dict[tuple[int, int], tuple[int, int]] | None, block: int
+    trees: list[VantageTree],
+    sizes: dict[tuple[int, int], tuple[int, int]] | None,
+    block: int,
+    carried: tuple[str, ...] = (),
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Deals fingerprints out to leaves; with ``sizes``, to tasks of a bounded number of values."""
+    """Deals fingerprints out to leaves; with ``sizes``, to tasks of a bounded number of values.
+
+    ``carried`` columns travel along; with one named ``active``, only active values look for
+    neighbours where they live.
+    """
 
     def cut(n: int) -> int:
         return max(1, -(-n // block))
@@ -174,8 +185,12 @@ def _places(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64)
+            active = np.ones(len(values), bool)
+            if "active" in carried:
+                active = batch.column("active").to_numpy(zero_copy_only=False)
             for number, tree in enumerate(trees):
                 for leaf, at, lives in tree.route(values):
+                    lives = lives & active[at]  # noqa: PLW2901
                     living, staying = sizes.get((number, leaf), (0, 0)) if sizes else (0, 0)
                     rows, columns = cut(living), cut(staying)
                     here = values[at]
@@ -194,8 +209,9 @@ def _places(
                                         pa.array(here[some].view(np.int64)),
                                         pa.array(as_row[some]),
                                         pa.array(as_column[some]),
+                                        *(batch.column(c).take(pa.array(at[some])) for c in carried),
                                     ],
-                                    names=["tree", "leaf", "task", "fingerprint", "as_row", "as_column"],
+                                    names=["tree", "leaf", "task", "fingerprint", "as_row", "as_column", *carried],
                                 )
 
     return run
@@ -204,31 +220,41 @@ def _places(
 _PLACE = "tree int, leaf int, task int, fingerprint long, as_row boolean, as_column boolean"
 
 
-def near_links(
-    distinct: DataFrame, radius: int = 4, pieces: int = 4, sample: int = 20_000, leaf_size: int = 1_500, block: int = 8_192
-) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints within ``radius`` bits.
-
-    ``distinct`` has one column ``fingerprint``.  The trees are grown on a sample of at
-    most ``sample`` values, so the driver and each task hold no more than that; leaves that
-    turn out large are cut into blocks that meet pairwise.
-    """
-    total = distinct.count()
-    picked = distinct.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample)
+def _grown(frame: DataFrame, radius: int, pieces: int, sample: int, leaf_size: int) -> list[VantageTree]:
+    """One tree per part of the fingerprints, from a sample of at most ``sample`` values."""
+    total = frame.count()
+    picked = frame.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(sample)
     values = np.array([r.fingerprint for r in picked.collect()], np.int64).view(np.uint64)
     share = max(8, leaf_size * len(values) // max(1, total))
     edges = [64 * k // pieces for k in range(pieces + 1)]
-    trees = [
-        VantageTree.grown(values, low, (1 << (high - low)) - 1, radius // pieces, share)
+    return [
+        VantageTree.grown(values, low, (1 << (high - low)) - 1, radius, share)
         for low, high in zip(edges, edges[1:], strict=False)
     ]
+
+
+def _sizes(frame: DataFrame, trees: list[VantageTree], block: int, carried: tuple[str, ...] = ()) -> dict:
+    """(living, staying) values of each leaf; one row per leaf of the bounded trees."""
+    schema = _PLACE + "".join(f", {c} {kind(frame, c)}" for c in carried)
     counted = (
-        distinct.mapInArrow(_places(trees, None, block), _PLACE)
+        frame.mapInArrow(_places(trees, None, block, carried), schema)
         .groupBy("tree", "leaf")
         .agg(F.count_if("as_row").alias("living"), F.count(F.lit(1)).alias("staying"))
     )
-    # One row per leaf of the bounded trees.
-    sizes = {(r.tree, r.leaf): (r.living, r.staying) for r in counted.collect()}
+    return {(r.tree, r.leaf): (r.living, r.staying) for r in counted.collect()}
+
+
+def near_links(
+    distinct: DataFrame, radius: int = 4, pieces: int = 4, sample: int = 20_000, leaf_size: int = 1_500, block: int = 8_192
+) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints within ``radius`` bits.
+
+    ``distinct`` has one column ``fingerprint``.  The trees are grown on a sample of at
+    most ``sample`` values, so the driver and each task hold no more than that; leaves that
+    turn out large are cut into blocks that meet pairwise.
+    """
+    trees = _grown(distinct, radius // pieces, pieces, sample, leaf_size)
+    sizes = _sizes(distinct, trees, block)
 
     def join(_: tuple, group: pa.Table) -> pa.Table:
         value = group.column("fingerprint").to_numpy().view(np.uint64)
@@ -273,30 +299,132 @@ def near_duplicates(
     )
 
 
+def _neighbours(
+    classes: DataFrame, radius: int, skip: int, take: int, pieces: int = 4, sample: int = 20_000, leaf_size: int = 1_500, block: int = 8_192
+) -> DataFrame:
+    """(a, b, more): active classes with near ones, nearest first, from ``skip`` on.
+
+    ``classes`` has (cls, fingerprint, active).  Pairs within one bit in some part of the
+    fingerprint and ``radius`` bits overall are found.  ``more``: the class has further
+    neighbours in this leaf.
+    """
+    carried = ("cls", "active")
+    trees = _grown(classes, 1, pieces, sample, leaf_size)
+    sizes = _sizes(classes, trees, block, carried)
+
+    def join(_: tuple, group: pa.Table) -> pa.Table:
+        value = group.column("fingerprint").to_numpy().view(np.uint64)
+        cls = group.column("cls").to_numpy()
+        as_row = np.flatnonzero(group.column("as_row").to_numpy(zero_copy_only=False))
+        as_column = np.flatnonzero(group.column("as_column").to_numpy(zero_copy_only=False))
+        a, b, more = [], [], []
+        step = max(1, 1_000_000 // max(1, len(as_column)))
+        for i in range(0, len(as_row), step):
+            rows = as_row[i : i + step]
+            away = np.bitwise_count(value[rows, None] ^ value[None, as_column])
+            near = (away <= radius) & (cls[rows, None] != cls[None, as_column])
+            for k in np.flatnonzero(near.any(axis=1)):
+                found = np.flatnonzero(near[k])
+                order = found[np.lexsort((cls[as_column[found]], away[k, found]))][skip : skip + take]
+                a += [cls[rows[k]]] * len(order)
+                b += cls[as_column[order]].tolist()
+                more += [len(found) > skip + take] * len(order)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
+
+    placed = classes.mapInArrow(_places(trees, sizes, block, carried), _PLACE + ", cls long, active boolean")
+    return placed.groupBy("tree", "leaf", "task").applyInArrow(join, "a long, b long, more boolean")
+
+
+# Independent fingerprints of a set, by multiplying its hashes.
+_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+# How many neighbours per leaf each round looks at; the last takes all that are left.
+_ROUNDS = ((0, 4), (4, 28), (32, 480), (512, 1 << 40))
+
+
+def similar_links(prints: DataFrame, width: int, similarity: float, radius: int = 14) -> DataFrame:
+    """Links (a, b) between classes whose shingle sets have a Jaccard similarity of at least ``similarity``.
+
+    ``prints`` has (cls, text) with one text per class.  Candidates come from vantage-point
+    trees over three fingerprints of the shingle set, and every link is verified on whole
+    sets.  A class first meets its nearest candidates; only while none of them proves
+    similar does it meet more, so a crowd of near copies is not paired out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("cls"),
+                    *(pa.array([majority(_mixed(s, m)) for s in sets], pa.int64()) for m in _MIXERS),
+                ],
+                names=["cls", "f0", "f1", "f2"],
+            )
+
+    sketches = stage(prints.select("cls", "text").mapInArrow(run, "cls long, f0 long, f1 long, f2 long"), "sketches")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in texts(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.list_(pa.int32()))], names=["cls", "members"])
+
+    links, sets = None, None
+    active = sketches.select("cls")
+    for skip, take in _ROUNDS:
+        flagged = sketches.join(active.withColumn("active", F.lit(True)), "cls", "left").withColumn("active", F.coalesce("active", F.lit(False)))
+        found = [
+            _neighbours(flagged.select("cls", F.col(f).alias("fingerprint"), "active"), radius, skip, take) for f in ("f0", "f1", "f2")
+        ]
+        pairs = stage(found[0].unionByName(found[1]).unionByName(found[2]), "candidates")
+        if sets is None:
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+            sets = stage(prints.join(wanted, "cls", "left_semi").select("cls", "text").mapInArrow(shingled, "cls long, members array<int>"), "sets")
+        meeting = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        one, other = (sets.withColumnsRenamed({"cls": c, "members": f"of_{c}"}) for c in ("a", "b"))
+        shared = F.size(F.array_intersect("of_a", "of_b"))
+        whole = F.size("of_a") + F.size("of_b") - shared
+        proven = meeting.join(one, "a").join(other, "b").where(shared >= F.lit(similarity) * whole).select("a", "b")
+        proven = stage(proven, "proven")
+        links = proven if links is None else links.unionByName(proven)
+        done = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        active = stage(pairs.where("more").select(F.col("a").alias("cls")).distinct().join(done, "cls", "left_anti"), "active")
+        if active.isEmpty():
+            break
+    return links
+
+
+def _mixed(hashes: np.ndarray, multiplier: int) -> np.ndarray:
+    mixed = hashes * np.uint64(multiplier)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
 def keep_one(
-    docs: DataFrame, width: int = 5, radius: int = 7, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The rows, with all their columns, less all but one row of every group of near copies.
 
-    The row with the least id stays (ids before nulls, equal ids in input order), so of
-    repeated rows one stays as well.  Rows are written down once with their number and
-    fingerprint; groups are decided on those two alone.
+    Near copies have word-shingle sets (``width`` words, A-Z lower-cased) with a Jaccard
+    similarity of at least ``similarity``; groups are what such links connect, equal sets
+    included.  All texts without a word are one group.  The row with the least id stays
+    (ids before nulls, equal ids in input order), so of repeated rows one stays as well.
+    Rows are written down once with their number and the hash of their set; groups are
+    decided on those, and texts are read again only for one row per distinct set.
     """
-
-    mark, row = fresh("_print", docs), fresh("_row", docs)
+    mark, row = fresh("_set", docs), fresh("_row", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array([simhash(t, width) for t in texts(batch, text_col)], pa.int64())
+            sets = (np.unique(shingle_hashes(t, width)).tobytes() for t in texts(batch, text_col))
+            values = pa.array([np.array(xxhash.xxh64_intdigest(s), np.uint64).view(np.int64) for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, mark])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
     numbered = stage(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "numbered")
-    prints = numbered.select(
-        F.col(mark).alias("fingerprint"), F.col(id_col).alias("id"), F.col(row).alias("row")
-    )
-    component = _class_components(prints, "id", radius).drop("component_id")
-    rank = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("row").alias("c"))
-    ranked = prints.join(component, "fingerprint").groupBy("_root").agg(F.min(rank).alias("rank"))
-    first = ranked.select(F.col("rank.c").alias(row))
-    return numbered.join(first, row, "left_semi").select(*docs.columns)
+    rank = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c"))
+    classes = stage(numbered.groupBy(F.col(mark).alias("cls")).agg(F.min(rank).alias("rank")), "classes")
+    leaders = classes.select(F.col("rank.c").alias(row))
+    prints = numbered.join(leaders, row, "left_semi").select(F.col(mark).alias("cls"), F.col(text_col).alias("text"))
+    tied = components(similar_links(prints, width, similarity))
+    rooted = classes.join(tied.withColumnsRenamed({"a": "cls", "b": "root"}), "cls", "left")
+    first = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rank").alias("rank"))
+    return numbered.join(first.select(F.col("rank.c").alias(row)), row, "left_semi").select(*docs.columns)

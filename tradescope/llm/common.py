@@ -55,9 +55,9 @@ def fresh(name: str, df: DataFrame) -> str:
     return name
 
 
-def forget(memory: dict) -> None:
+def forget(memory: dict, most: int = MEMORY_ENTRIES) -> None:
     """Empty a worker's memory once it is full, so that it stays bounded."""
-    if len(memory) > MEMORY_ENTRIES:
+    if len(memory) > most:
         memory.clear()
 
 

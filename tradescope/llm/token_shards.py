@@ -7,6 +7,8 @@ ended well, so a lost executor leaves no half shard.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -25,6 +27,12 @@ from tradescope.llm.wavelet import WaveletMatrix
 
 # Fixed value: the pre-token pattern of the word vocabulary.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+# Printable and below U+0180: nothing is composed, lower-casing goes letter by letter.
+_PLAIN = re.compile("[!-~¡-¬®-įı-ſ]+").fullmatch
+# Units a worker remembers; about 200 bytes each.
+_UNITS = 800_000
+# Separators of Python's split that Unicode does not call white space.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
 SHARD_TOKENS = 1 << 20
 
 
@@ -44,37 +52,39 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.letters = byte_letters()
 
-    def _plain(self, unit: str) -> bool:
-        # Below U+0180 nothing is composed and lower-casing goes letter by letter.
-        return "<|" not in unit and max(unit) < "ƀ" and "İ" not in unit and unit.isprintable()
-
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            spelled = "".join(self.letters[b] for b in word.encode())
-            ids = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-            got = self.words[word] = np.array(ids, "<u4").tobytes()
-        return got
+    def _learn(self, words: list[str]) -> None:
+        tokenize = self.tokenizer.model.tokenize
+        for word in words:
+            if word not in self.words:
+                spelled = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
+                self.words[word] = _packed([t.id for t in tokenize(spelled)])
 
     def _unit(self, unit: str) -> bytes:
-        bare = unit.strip(" \n\t\r")
-        if not bare:
-            return b""
-        if self._plain(bare):
-            return b"".join(map(self._word, _WORDS(bare.lower())))
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        if _PLAIN(unit) and "<|" not in unit:
+            words = _WORDS(unit.lower())
+            try:
+                return b"".join([self.words[w] for w in words])
+            except KeyError:
+                self._learn(words)
+                return b"".join([self.words[w] for w in words])
+        return _packed(self.tokenizer.encode(unit, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed little-endian 32-bit integers."""
-        cut = units(text)
+        # White space only separates here, so a plain split will do where it means the same.
+        cut = units(text) if any(c in text for c in _NO_SPACE) else text.split()
         for unit in set(cut).difference(self.units):
             self.units[unit] = self._unit(unit)
         out = b"".join(map(self.units.__getitem__, cut))
-        forget(self.units)
+        forget(self.units, _UNITS)
         forget(self.words)
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 @lru_cache(1)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

@@ -29,6 +29,26 @@ def test_distinct_orders_need_no_second_shuffle_of_the_items(spark, no_broadcast
     assert plan.count("Exchange hashpartitioning") == 4
 
 
+def scans(plan: str, column: str) -> int:
+    return sum(column in line for line in plan.splitlines() if "ReadSchema" in line)
+
+
+def test_finance_cards_join_items_and_orders_once(spark, no_broadcast):
+    plan = physical_plan(queries()["finance_cards"](spark, SF))
+    # Line table: items of the fact and expenses; order table: the fact's and the refunds.
+    assert plan.count("FileScan parquet") <= 6 and scans(plan, "l_orderkey") == 1
+
+
+def test_return_reasons_leave_the_fact_alone_when_names_are_unique(spark, no_broadcast):
+    plan = physical_plan(queries()["return_reasons"](spark, SF))
+    assert "SortMergeJoin" not in plan and plan.count("FileScan parquet") == 1
+
+
+def test_constant_sentences_read_neither_spend_nor_inventory_again(spark, no_broadcast):
+    plan = physical_plan(queries()["insights"](spark, SF))
+    assert "p_size" not in plan and plan.count("l_tax") <= plan.count("l_extendedprice")
+
+
 def test_a_hot_order_is_split_at_run_time(spark, no_broadcast):
     """A third of all items in one order: the join splits it and the totals stay right."""
     settings = {

@@ -1,7 +1,10 @@
 import glob
+from datetime import datetime
 from pathlib import Path
 from urllib.parse import urlparse
 
+import duckdb
+
 from tests.helpers import dataset, physical_plan, rows
 from tradescope.operators.filters import Filters, by_years
 from tradescope.operators.staging import drop_staged, stage, stage_root
@@ -10,7 +13,7 @@ from tradescope.plans.report import export_report
 from tradescope.registry import selected_specs, table_specs
 from tradescope.sources import sinks
 from tradescope.sources.catalog import CatalogSource, save_bucketed
-from tradescope.sources.jdbc import PostgresConnection, PostgresSource, Split, probe_session, split_column
+from tradescope.sources.jdbc import DateSplit, PostgresConnection, PostgresSource, Split, probe_session
 from tradescope.sources.loader import load, ready_for_sales
 from tradescope.sources.parquet import ParquetSource, write_lake
 from tradescope.validate import validate
@@ -84,14 +87,29 @@ def test_postgres_options(spark):
     assert options["dbtable"] == '"sales"."orders"' and options["password"] == "p:w/d"
     assert options["partitionColumn"] == "order_id" and options["numPartitions"] == "9"
     assert "partitionColumn" not in source.options(table_specs()["stores"])
-    assert split_column(table_specs()["inventory"]) == "product_id"
-    assert split_column(table_specs()["transcripts"]) is None
+    assert table_specs()["inventory"].split == "product_id"
+    assert table_specs()["reviews"].split == "review_date"
+    assert table_specs()["web_events"].split == "event_timestamp"
+    bare = {key for key, spec in table_specs().items() if spec.split is None}
+    assert bare == {key for key, spec in table_specs().items() if not spec.schema}
+    for spec in table_specs().values():
+        assert spec.split is None or spec.split in spec.schema.names
     assert source.split(table_specs()["transcripts"]) is None
     expected = 'SELECT min("order_id") AS low, max("order_id") AS high FROM "sales"."orders"'
     assert source.bounds_query(orders, "order_id") == expected
     assert "p:w/d" not in repr(connection)
 
 
+def test_date_ranges_cover_every_row_once():
+    split = DateSplit("day", datetime(2024, 1, 1), datetime(2024, 1, 9), 4)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT CAST('2023-12-30' AS TIMESTAMP) + to_hours(range * 5) AS day FROM range(80)")
+    con.execute("INSERT INTO t VALUES (NULL), ('2024-01-01'), ('2024-01-09'), ('2024-01-03')")
+    counts = [con.execute(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in split.predicates()]
+    assert len(counts) == 4 and sum(counts) == 84 and all(counts)
+    assert DateSplit("day", datetime(2024, 1, 1), datetime(2024, 1, 1), 4).predicates() == ["1 = 1"]
+
+
 def test_an_unreachable_database_is_reported(spark):
     # No JDBC driver is installed here, so opening the table fails at once.
     source = PostgresSource(spark, PostgresConnection("nowhere.invalid", 1, "d", "u", "p"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from urllib.parse import quote, urlencode
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from tradescope.registry import TableSpec
 
@@ -52,6 +52,28 @@ class Split:
         }
 
 
+@dataclass(frozen=True)
+class DateSplit:
+    """How a table without an id is cut into parallel reads: by ranges of a date column.
+
+    Given to the reader as conditions, since its own ranges take no zone-less timestamps.
+    """
+
+    column: str
+    lower: datetime
+    upper: datetime
+    parts: int
+
+    def predicates(self) -> list[str]:
+        """One condition per read; the first also takes rows without a date."""
+        name, step = _quoted(self.column), (self.upper - self.lower) / self.parts
+        edges = [self.lower + step * k for k in range(1, self.parts)] if step else []
+        if not edges:
+            return ["1 = 1"]
+        inner = [f"{name} >= '{a}' AND {name} < '{b}'" for a, b in zip(edges, edges[1:], strict=False)]
+        return [f"{name} < '{edges[0]}' OR {name} IS NULL", *inner, f"{name} >= '{edges[-1]}'"]
+
+
 def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -60,24 +82,19 @@ def quoted_name(spec: TableSpec) -> str:
     return f"{_quoted(spec.namespace)}.{_quoted(spec.name)}"
 
 
-def split_column(spec: TableSpec) -> str | None:
-    """The id by which a table can be read in ranges: its first integer column."""
-    ids = [f.name for f in spec.schema if isinstance(f.dataType, T.LongType)]
-    return ids[0] if ids else None
-
-
 class PostgresSource:
     """Whole-table reads; filters and column lists of the plan are pushed to the server.
 
-    A table is read in ``parts`` id ranges side by side, between the bounds the server
-    reports, unless ``splits`` says otherwise for it.
+    A table is read in ``parts`` ranges of its registry's split column (an id or a date)
+    side by side, between the bounds the server reports, unless ``splits`` says otherwise
+    for it.  Spark puts rows without a value there into the first range.
     """
 
     def __init__(
         self,
         spark: SparkSession,
         connection: PostgresConnection,
-        splits: dict[str, Split] | None = None,
+        splits: dict[str, Split | DateSplit] | None = None,
         parts: int = 64,
         fetch_size: int = 10_000,
     ):
@@ -95,14 +112,16 @@ class PostgresSource:
         name = _quoted(column)
         return f"SELECT min({name}) AS low, max({name}) AS high FROM {quoted_name(spec)}"
 
-    def split(self, spec: TableSpec) -> Split | None:
+    def split(self, spec: TableSpec) -> Split | DateSplit | None:
         """The split of a table, from one row of bounds; none for an empty table."""
-        column = split_column(spec)
+        column = spec.split
         if spec.key in self.splits or column is None:
             return self.splits.get(spec.key)
         bounds = self._query(self.bounds_query(spec, column)).first()
         if bounds is None or bounds["low"] is None:
             return None
+        if isinstance(bounds["low"], datetime):
+            return DateSplit(column, bounds["low"], bounds["high"], self.parts)
         return Split(column, str(bounds["low"]), str(bounds["high"]), self.parts)
 
     def options(self, spec: TableSpec, split: Split | None = None) -> dict[str, str]:
@@ -117,7 +136,12 @@ class PostgresSource:
         return chosen
 
     def read(self, spec: TableSpec) -> DataFrame:
-        return self.spark.read.format("jdbc").options(**self.options(spec, self.split(spec))).load()
+        split = self.split(spec)
+        if isinstance(split, DateSplit):
+            options = self.options(spec)
+            place = options.pop("url"), options.pop("dbtable")
+            return self.spark.read.jdbc(*place, predicates=split.predicates(), properties=options)
+        return self.spark.read.format("jdbc").options(**self.options(spec, split)).load()
 
     def probe(self) -> DataFrame:
         """Database, user and server time, as one row."""

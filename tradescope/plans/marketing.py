@@ -35,6 +35,15 @@ def ad_spend(
     return where_in(by_years(ds.table("ads_spend"), ["spend_date"], years), "platform", platforms)
 
 
+def spend_cells(spend: DataFrame) -> DataFrame:
+    """The spend per platform and month, in the form of ad spend rows.
+
+    Results by platform and by month that both start from it share one pass over the spend.
+    """
+    dated = spend.withColumn("spend_date", month_start("spend_date"))
+    return dated.groupBy("platform", "spend_date").agg(F.sum("amount").alias("amount"))
+
+
 def platform_spend(spend: DataFrame) -> DataFrame:
     return (
         spend.where(F.col("platform").isNotNull())

@@ -263,7 +263,7 @@ _query("web_engagement")(marketing.web_engagement)
 
 @_query("marketing_cards")
 def _(ds):
-    spend = marketing.ad_spend(ds)
+    spend = marketing.spend_cells(marketing.ad_spend(ds))
     return marketing.marketing_cards(
         marketing.platform_spend(spend),
         marketing.email_performance(ds),

@@ -112,11 +112,13 @@ class VantageTree:
         self.leaves += 1
         return ~(self.leaves - 1)
 
-    def route(self, values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def route(self, values: np.ndarray, mutual: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each leaf: places in ``values`` that go there, and which of them live there.
 
         Of two values within the radius that part at a node, the inner one visits the
-        outer side: by the triangle inequality it lies less than the radius inside.
+        outer side: by the triangle inequality it lies less than the radius inside.  With
+        ``mutual`` the outer one visits the inner side too, so that every value has all its
+        neighbours in the leaf where it lives.
         """
         part = self._part(values)
         todo = [(self.root, np.arange(len(values)), np.ones(len(values), bool))]
@@ -128,10 +130,9 @@ class VantageTree:
             vantage, threshold, inner, outer = self.nodes[node]
             away = np.bitwise_count(part[at] ^ np.uint64(vantage)).astype(np.int64)
             inside = away <= threshold
-            to_inner = np.where(lives, inside, away <= threshold + self.radius)
-            to_outer = np.where(lives, ~inside, False) | (away > threshold - self.radius)
-            # An outer value stays where it lives; guests and inner ones may cross.
-            todo.append((inner, at[to_inner], lives[to_inner]))
+            to_inner = inside | ((away <= threshold + self.radius) & (mutual | ~lives))
+            to_outer = ~inside | (away > threshold - self.radius)
+            todo.append((inner, at[to_inner], (lives & inside)[to_inner]))
             todo.append((outer, at[to_outer], (lives & ~inside)[to_outer]))
 
 
@@ -172,6 +173,7 @@ def _places(
     sizes: dict[tuple[int, int], tuple[int, int]] | None,
     block: int,
     carried: tuple[str, ...] = (),
+    mutual: bool = False,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Deals fingerprints out to leaves; with ``sizes``, to tasks of a bounded number of values.
 
@@ -189,7 +191,7 @@ def _places(
             if "active" in carried:
                 active = batch.column("active").to_numpy(zero_copy_only=False)
             for number, tree in enumerate(trees):
-                for leaf, at, lives in tree.route(values):
+                for leaf, at, lives in tree.route(values, mutual):
                     lives = lives & active[at]  # noqa: PLW2901
                     living, staying = sizes.get((number, leaf), (0, 0)) if sizes else (0, 0)
                     rows, columns = cut(living), cut(staying)
@@ -233,11 +235,13 @@ def _grown(frame: DataFrame, radius: int, pieces: int, sample: int, leaf_size: i
     ]
 
 
-def _sizes(frame: DataFrame, trees: list[VantageTree], block: int, carried: tuple[str, ...] = ()) -> dict:
+def _sizes(
+    frame: DataFrame, trees: list[VantageTree], block: int, carried: tuple[str, ...] = (), mutual: bool = False
+) -> dict:
     """(living, staying) values of each leaf; one row per leaf of the bounded trees."""
     schema = _PLACE + "".join(f", {c} {kind(frame, c)}" for c in carried)
     counted = (
-        frame.mapInArrow(_places(trees, None, block, carried), schema)
+        frame.mapInArrow(_places(trees, None, block, carried, mutual), schema)
         .groupBy("tree", "leaf")
         .agg(F.count_if("as_row").alias("living"), F.count(F.lit(1)).alias("staying"))
     )
@@ -306,11 +310,11 @@ def _neighbours(
 
     ``classes`` has (cls, fingerprint, active).  Pairs within one bit in some part of the
     fingerprint and ``radius`` bits overall are found.  ``more``: the class has further
-    neighbours in this leaf.
+    neighbours in the leaf where it lives, which has all of them.
     """
     carried = ("cls", "active")
     trees = _grown(classes, 1, pieces, sample, leaf_size)
-    sizes = _sizes(classes, trees, block, carried)
+    sizes = _sizes(classes, trees, block, carried, mutual=True)
 
     def join(_: tuple, group: pa.Table) -> pa.Table:
         value = group.column("fingerprint").to_numpy().view(np.uint64)
@@ -331,7 +335,7 @@ def _neighbours(
                 more += [len(found) > skip + take] * len(order)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
-    placed = classes.mapInArrow(_places(trees, sizes, block, carried), _PLACE + ", cls long, active boolean")
+    placed = classes.mapInArrow(_places(trees, sizes, block, carried, mutual=True), _PLACE + ", cls long, active boolean")
     return placed.groupBy("tree", "leaf", "task").applyInArrow(join, "a long, b long, more boolean")
 
 

@@ -73,9 +73,17 @@ class WordEncoder:
         """Ids of a text as packed little-endian 32-bit integers."""
         # White space only separates here, so a plain split will do where it means the same.
         cut = units(text) if any(c in text for c in _NO_SPACE) else text.split()
-        for unit in set(cut).difference(self.units):
-            self.units[unit] = self._unit(unit)
-        out = b"".join(map(self.units.__getitem__, cut))
+        known = self.units.get
+        packed = list(map(known, cut))
+        try:
+            out = b"".join(packed)
+        except TypeError:  # a unit without ids yet
+            for i, (unit, ids) in enumerate(zip(cut, packed, strict=True)):
+                if ids is None:
+                    packed[i] = known(unit)
+                    if packed[i] is None:
+                        packed[i] = self.units[unit] = self._unit(unit)
+            out = b"".join(packed)
         forget(self.units, _UNITS)
         forget(self.words)
         return out

@@ -30,14 +30,14 @@ class WaveletMatrix:
         planes, zeros = [], []
         current = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         for level in range(levels - 1, -1, -1):
-            ones = ((current >> level) & 1).astype(bool)
+            ones = (current & current.dtype.type(1 << level)) != 0
             planes.append(np.packbits(ones).tobytes())
             zeros.append(int(len(ones) - ones.sum()))
-            current = np.concatenate([current[~ones], current[ones]])
+            current = np.concatenate([np.compress(~ones, current), np.compress(ones, current)])
         return cls(len(ids), planes, zeros)
 
     def _ones(self, level: int) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(self.planes[level], np.uint8), count=self.n).astype(bool)
+        return np.unpackbits(np.frombuffer(self.planes[level], np.uint8), count=self.n).view(bool)
 
     def rank(self, level: int, place: int) -> int:
         """Ones among the first ``place`` bits of a plane: one directory entry and one block."""
@@ -110,11 +110,12 @@ class WaveletMatrix:
         """All ids in order: the levels are undone from the last to the first."""
         levels = len(self.planes)
         # Behind the last level the ids are sorted by their reversed bits; only places count.
-        value = np.zeros(self.n, np.uint32)
+        width = np.uint16 if levels <= 16 else np.uint32
+        value = np.zeros(self.n, width)
         for level in range(levels - 1, -1, -1):
             ones = self._ones(level)
-            before = np.empty(self.n, np.uint32)
-            before[~ones] = value[: self.zeros[level]]
-            before[ones] = value[self.zeros[level] :] | np.uint32(1 << (levels - 1 - level))
+            before = np.empty(self.n, width)
+            before[np.flatnonzero(~ones)] = value[: self.zeros[level]]
+            before[np.flatnonzero(ones)] = value[self.zeros[level] :] | width(1 << (levels - 1 - level))
             value = before
         return value

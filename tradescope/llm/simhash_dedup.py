@@ -304,7 +304,7 @@ def near_duplicates(
 
 
 def _neighbours(
-    classes: DataFrame, radius: int, skip: int, take: int, pieces: int = 4, sample: int = 20_000, leaf_size: int = 1_500, block: int = 8_192
+    classes: DataFrame, radius: int, skip: int, take: int, pieces: int = 4, sample: int = 20_000, leaf_size: int = 4_000, block: int = 8_192
 ) -> DataFrame:
     """(a, b, more): active classes with near ones, nearest first, from ``skip`` on.
 
@@ -345,33 +345,31 @@ _MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 _ROUNDS = ((0, 4), (4, 28), (32, 480), (512, 1 << 40))
 
 
-def similar_links(prints: DataFrame, width: int, similarity: float, radius: int = 14) -> DataFrame:
+def similar_links(
+    sketches: DataFrame,
+    texts_of: Callable[[DataFrame], DataFrame],
+    width: int,
+    similarity: float,
+    radius: int = 12,
+    overall: int = 41,
+) -> DataFrame:
     """Links (a, b) between classes whose shingle sets have a Jaccard similarity of at least ``similarity``.
 
-    ``prints`` has (cls, text) with one text per class.  Candidates come from vantage-point
-    trees over three fingerprints of the shingle set, and every link is verified on whole
-    sets.  A class first meets its nearest candidates; only while none of them proves
-    similar does it meet more, so a crowd of near copies is not paired out.
+    ``sketches`` has (cls, f0, f1, f2): three fingerprints of each class's shingle set;
+    ``texts_of`` gives (cls, text), one text per class, for a frame of classes.  Candidates come from vantage-point
+    trees over each fingerprint and differ in at most ``overall`` bits of all three; every
+    link is verified on whole sets.  A class first meets its nearest candidates; only while
+    none of them proves similar does it meet more, so a crowd of near copies is not paired
+    out.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("cls"),
-                    *(pa.array([majority(_mixed(s, m)) for s in sets], pa.int64()) for m in _MIXERS),
-                ],
-                names=["cls", "f0", "f1", "f2"],
-            )
-
-    sketches = stage(prints.select("cls", "text").mapInArrow(run, "cls long, f0 long, f1 long, f2 long"), "sketches")
-
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in texts(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.list_(pa.int32()))], names=["cls", "members"])
 
+    prints = F.struct("f0", "f1", "f2")
+    bits = [F.bit_count(F.col(f"print_a.{f}").bitwiseXOR(F.col(f"print_b.{f}"))) for f in ("f0", "f1", "f2")]
     links, sets = None, None
     active = sketches.select("cls")
     for skip, take in _ROUNDS:
@@ -382,8 +380,11 @@ def similar_links(prints: DataFrame, width: int, similarity: float, radius: int
         pairs = stage(found[0].unionByName(found[1]).unionByName(found[2]), "candidates")
         if sets is None:
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-            sets = stage(prints.join(wanted, "cls", "left_semi").select("cls", "text").mapInArrow(shingled, "cls long, members array<int>"), "sets")
+            sets = stage(texts_of(wanted).mapInArrow(shingled, "cls long, members array<int>"), "sets")
         meeting = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for c in ("a", "b"):
+            meeting = meeting.join(sketches.select(F.col("cls").alias(c), prints.alias(f"print_{c}")), c)
+        meeting = stage(meeting.where(bits[0] + bits[1] + bits[2] <= overall).select("a", "b"), "meeting")
         one, other = (sets.withColumnsRenamed({"cls": c, "members": f"of_{c}"}) for c in ("a", "b"))
         shared = F.size(F.array_intersect("of_a", "of_b"))
         whole = F.size("of_a") + F.size("of_b") - shared
@@ -411,24 +412,40 @@ def keep_one(
     similarity of at least ``similarity``; groups are what such links connect, equal sets
     included.  All texts without a word are one group.  The row with the least id stays
     (ids before nulls, equal ids in input order), so of repeated rows one stays as well.
-    Rows are written down once with their number and the hash of their set; groups are
-    decided on those, and texts are read again only for one row per distinct set.
+    Rows are written down once with their number and fingerprints of their set; groups are
+    decided on those, and texts are read again only for one row of each set that has a
+    candidate.
     """
     mark, row = fresh("_set", docs), fresh("_row", docs)
+    sketch = [fresh(f"_f{k}", docs) for k in range(3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (np.unique(shingle_hashes(t, width)).tobytes() for t in texts(batch, text_col))
-            values = pa.array([np.array(xxhash.xxh64_intdigest(s), np.uint64).view(np.int64) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, mark])
+            made: list[list[int]] = [[], [], [], []]
+            for text in texts(batch, text_col):
+                members = np.unique(shingle_hashes(text, width))
+                made[0].append(int(np.array(xxhash.xxh64_intdigest(members.tobytes()), np.uint64).view(np.int64)))
+                for column, multiplier in zip(made[1:], _MIXERS, strict=True):
+                    column.append(majority(_mixed(members, multiplier)))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array(c, pa.int64()) for c in made)],
+                names=[*batch.schema.names, mark, *sketch],
+            )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
-    numbered = stage(docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    added = [T.StructField(c, T.LongType()) for c in (mark, *sketch)]
+    numbered = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    numbered = stage(numbered.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rank = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c"))
-    classes = stage(numbered.groupBy(F.col(mark).alias("cls")).agg(F.min(rank).alias("rank")), "classes")
-    leaders = classes.select(F.col("rank.c").alias(row))
-    prints = numbered.join(leaders, row, "left_semi").select(F.col(mark).alias("cls"), F.col(text_col).alias("text"))
-    tied = components(similar_links(prints, width, similarity))
+    # Equal sets have equal fingerprints.
+    prints = [F.min(c).alias(f"f{k}") for k, c in enumerate(sketch)]
+    classes = stage(numbered.groupBy(F.col(mark).alias("cls")).agg(F.min(rank).alias("rank"), *prints), "classes")
+    leaders = classes.select(F.col("cls"), F.col("rank.c").alias(row))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        asked = leaders.join(wanted, "cls", "left_semi")
+        return numbered.select(row, F.col(text_col).alias("text")).join(asked, row).select("cls", "text")
+
+    tied = components(similar_links(classes.select("cls", "f0", "f1", "f2"), texts_of, width, similarity))
     rooted = classes.join(tied.withColumnsRenamed({"a": "cls", "b": "root"}), "cls", "left")
     first = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rank").alias("rank"))
     return numbered.join(first.select(F.col("rank.c").alias(row)), row, "left_semi").select(*docs.columns)

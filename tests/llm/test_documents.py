@@ -112,6 +112,29 @@ def test_keep_one_in_a_crowd_of_near_copies(spark):
     assert multiset(r.doc_id for r in keep_one(docs).collect()) == brute_kept(list(enumerate(texts))) == [0, 100, 101]
 
 
+def reprinted(seed):
+    """Two tight clusters of eight texts, an original's and its revision's, with links of about 0.82 across."""
+    draw = np.random.default_rng(seed)
+    original = [f"w{i}" for i in range(1500)]
+    revision = list(original)
+    for i in draw.choice(300, 27, replace=False):
+        revision[5 * i] = f"r{i}"
+    texts = []
+    for version in (original, revision):
+        for k in range(8):
+            words = list(version)
+            words[5 * int(draw.integers(300)) + 2] = f"x{seed} {k} {len(texts)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_keep_one_joins_tight_clusters(spark):
+    rows = [(100 * seed + k, f"{text} s{seed}".replace("w", f"w{seed}q")) for seed in range(6) for k, text in enumerate(reprinted(seed))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert brute_kept(rows) == [0, 100, 200, 300, 400, 500]
+    assert multiset(r.doc_id for r in keep_one(docs).collect()) == brute_kept(rows)
+
+
 def test_op8_on_edge_cases(spark, edge_dir):
     got = queries.op8_toxicity(spark, edge_dir).collect()
     assert multiset(r.doc_id for r in got) == multiset(i for i, _ in DOCS)

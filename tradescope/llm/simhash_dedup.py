@@ -306,19 +306,20 @@ def near_duplicates(
 def _neighbours(
     classes: DataFrame, radius: int, skip: int, take: int, pieces: int = 4, sample: int = 20_000, leaf_size: int = 4_000, block: int = 8_192
 ) -> DataFrame:
-    """(a, b, more): active classes with near ones, nearest first, from ``skip`` on.
+    """(a, b, more): active classes with near ones of other components, nearest first, from ``skip`` on.
 
-    ``classes`` has (cls, fingerprint, active).  Pairs within one bit in some part of the
-    fingerprint and ``radius`` bits overall are found.  ``more``: the class has further
-    neighbours in the leaf where it lives, which has all of them.
+    ``classes`` has (cls, fingerprint, root, active).  Pairs within one bit in some part of
+    the fingerprint and ``radius`` bits overall are found.  ``more``: the class has further
+    neighbours of other components in the leaf where it lives, which has all of them; b is
+    null where only that is to be said.
     """
-    carried = ("cls", "active")
+    carried = ("cls", "root", "active")
     trees = _grown(classes, 1, pieces, sample, leaf_size)
     sizes = _sizes(classes, trees, block, carried, mutual=True)
 
     def join(_: tuple, group: pa.Table) -> pa.Table:
         value = group.column("fingerprint").to_numpy().view(np.uint64)
-        cls = group.column("cls").to_numpy()
+        cls, root = group.column("cls").to_numpy(), group.column("root").to_numpy()
         as_row = np.flatnonzero(group.column("as_row").to_numpy(zero_copy_only=False))
         as_column = np.flatnonzero(group.column("as_column").to_numpy(zero_copy_only=False))
         a, b, more = [], [], []
@@ -329,13 +330,17 @@ def _neighbours(
             near = (away <= radius) & (cls[rows, None] != cls[None, as_column])
             for k in np.flatnonzero(near.any(axis=1)):
                 found = np.flatnonzero(near[k])
-                order = found[np.lexsort((cls[as_column[found]], away[k, found]))][skip : skip + take]
-                a += [cls[rows[k]]] * len(order)
-                b += cls[as_column[order]].tolist()
-                more += [len(found) > skip + take] * len(order)
+                order = as_column[found[np.lexsort((cls[as_column[found]], away[k, found]))][skip:]]
+                abroad = root[order] != root[rows[k]]
+                met = cls[order[:take][abroad[:take]]].tolist()
+                further = bool(abroad[take:].any())
+                met += [None] * (further and not met)
+                a += [cls[rows[k]]] * len(met)
+                b += met
+                more += [further] * len(met)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
 
-    placed = classes.mapInArrow(_places(trees, sizes, block, carried, mutual=True), _PLACE + ", cls long, active boolean")
+    placed = classes.mapInArrow(_places(trees, sizes, block, carried, mutual=True), _PLACE + ", cls long, root long, active boolean")
     return placed.groupBy("tree", "leaf", "task").applyInArrow(join, "a long, b long, more boolean")
 
 
@@ -358,9 +363,9 @@ def similar_links(
     ``sketches`` has (cls, f0, f1, f2): three fingerprints of each class's shingle set;
     ``texts_of`` gives (cls, text), one text per class, for a frame of classes.  Candidates come from vantage-point
     trees over each fingerprint and differ in at most ``overall`` bits of all three; every
-    link is verified on whole sets.  A class first meets its nearest candidates; only while
-    none of them proves similar does it meet more, so a crowd of near copies is not paired
-    out.
+    link is verified on whole sets.  A class first meets its nearest candidates; then what
+    is proven is contracted, and it meets further ones as long as it has any outside its own
+    component, so a crowd of near copies is not paired out and no link between two is lost.
     """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,16 +376,19 @@ def similar_links(
     prints = F.struct("f0", "f1", "f2")
     bits = [F.bit_count(F.col(f"print_a.{f}").bitwiseXOR(F.col(f"print_b.{f}"))) for f in ("f0", "f1", "f2")]
     links, sets = None, None
-    active = sketches.select("cls")
+    flagged = sketches.withColumns({"root": F.col("cls"), "active": F.lit(True)})
     for skip, take in _ROUNDS:
-        flagged = sketches.join(active.withColumn("active", F.lit(True)), "cls", "left").withColumn("active", F.coalesce("active", F.lit(False)))
         found = [
-            _neighbours(flagged.select("cls", F.col(f).alias("fingerprint"), "active"), radius, skip, take) for f in ("f0", "f1", "f2")
+            _neighbours(flagged.select("cls", F.col(f).alias("fingerprint"), "root", "active"), radius, skip, take)
+            for f in ("f0", "f1", "f2")
         ]
-        pairs = stage(found[0].unionByName(found[1]).unionByName(found[2]), "candidates")
-        if sets is None:
-            wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-            sets = stage(texts_of(wanted).mapInArrow(shingled, "cls long, members array<int>"), "sets")
+        told = stage(found[0].unionByName(found[1]).unionByName(found[2]), "candidates")
+        pairs = told.where("b is not null")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
+        read = stage(texts_of(wanted).mapInArrow(shingled, "cls long, members array<int>"), "sets")
+        sets = read if sets is None else sets.unionByName(read)
         meeting = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for c in ("a", "b"):
             meeting = meeting.join(sketches.select(F.col("cls").alias(c), prints.alias(f"print_{c}")), c)
@@ -391,10 +399,16 @@ def similar_links(
         proven = meeting.join(one, "a").join(other, "b").where(shared >= F.lit(similarity) * whole).select("a", "b")
         proven = stage(proven, "proven")
         links = proven if links is None else links.unionByName(proven)
-        done = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        active = stage(pairs.where("more").select(F.col("a").alias("cls")).distinct().join(done, "cls", "left_anti"), "active")
+        active = told.where("more").select(F.col("a").alias("cls")).distinct()
         if active.isEmpty():
             break
+        tied = components(links).withColumnsRenamed({"a": "cls", "b": "root"})
+        flagged = (
+            sketches.join(tied, "cls", "left")
+            .join(active.withColumn("active", F.lit(True)), "cls", "left")
+            .withColumns({"root": F.coalesce("root", "cls"), "active": F.coalesce("active", F.lit(False))})
+        )
+        flagged = stage(flagged, "flagged")
     return links
 
 

@@ -12,6 +12,7 @@ from tradescope.llm import queries
 from tradescope.llm.fingerprints import deleted, fingerprint, inserted, likeness, written
 from tradescope.llm.language_id import fit_language_filters, identify_languages, keep_identified
 from tradescope.llm.simhash_dedup import VantageTree, keep_one, leaf_links, shingle_hashes, simhash
+from tradescope.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -149,6 +150,15 @@ def test_op8_on_edge_cases(spark, edge_dir):
     assert named and all("idiot" in s for s in named)
 
 
+def test_length_alone_is_not_toxic(spark, edge_dir):
+    docs, labels = (spark.read.parquet(f"{edge_dir}/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_toxicity(docs, labels)
+    long = spark.createDataFrame([(1, "A day of rain.\n" * 100_000), (2, "A day of rain.\nYou are an idiot.")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in score_toxicity(long, model).collect()}
+    assert score[1] == 0 and score[2] >= 0.3
+    assert [r.doc_id for r in drop_toxic(long, model).collect()] == [1]
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning.
 
 Only documents carry labels.  A sentence's score is a logistic function of the features of
-its words; a document's score is the noisy-or of its sentences, 1 - prod(1 - p).  Training
+its words; a document's score is the noisy-or of its sentences, 1 - prod(1 - p).  A sentence
+without a known feature says nothing and has p = 0, so no text scores by its length.  Training
 follows the likelihood of the document labels through the noisy-or, so the sentences that
 explain a label earn the weight, and scoring can point at them.
 """
@@ -39,7 +40,7 @@ def remainder(id_col: str, divisor: int) -> Column:
 
 @dataclass
 class ToxicityModel:
-    """Weights of at most ``vocabulary`` features, and the bias of every sentence."""
+    """Weights of at most ``vocabulary`` features, and the bias of every sentence that has any."""
 
     feature: dict[str, int]
     weight: np.ndarray
@@ -87,7 +88,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
 
 
 def _encoded(sample: DataFrame, features: dict[str, int]) -> DataFrame:
-    """Per document its label, sentence count, and the (sentence, feature) pairs."""
+    """Per document its label and the (sentence, feature) pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[int, ...]] = {}
@@ -97,14 +98,13 @@ def _encoded(sample: DataFrame, features: dict[str, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("label"),
-                    pa.array([len(r) for r in rows], pa.int32()),
                     pa.array([[i for i, s in enumerate(r) for _ in s] for r in rows], pa.list_(pa.int32())),
                     pa.array([[f for s in r for f in s] for r in rows], pa.list_(pa.int32())),
                 ],
-                names=["label", "sentences", "at", "feature"],
+                names=["label", "at", "feature"],
             )
 
-    return sample.mapInArrow(run, "label int, sentences int, at array<int>, feature array<int>")
+    return sample.mapInArrow(run, "label int, at array<int>, feature array<int>")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -114,7 +114,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _trained(rows: list, width: int, steps: int, decay: float) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the documents' likelihood, by Adam on all rows.
 
-    Sentences without features all score the bias and are only counted.
+    Sentences without features have no part in it.
     """
     label = np.array([r.label for r in rows], float)
     document = np.repeat(np.arange(len(rows)), [len(r.at) for r in rows])
@@ -122,19 +122,18 @@ def _trained(rows: list, width: int, steps: int, decay: float) -> tuple[np.ndarr
     feature = np.array([f for r in rows for f in r.feature], np.int64)
     sentence, place = np.unique(document * (1 << 32) + at, return_inverse=True)
     owner = sentence >> 32
-    plain = np.array([r.sentences for r in rows], float) - np.bincount(owner, minlength=len(rows))
     theta, mean, square = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     theta[-1] = -6.0
     for step in range(1, steps + 1):
         z = theta[-1] + np.bincount(place, theta[feature], minlength=len(sentence))
-        p, p0 = _sigmoid(z), float(_sigmoid(theta[-1:])[0])
+        p = _sigmoid(z)
         # -log prod(1 - p) of each document.
-        hazard = np.bincount(owner, np.logaddexp(0, z), minlength=len(rows)) + plain * np.logaddexp(0, theta[-1])
+        hazard = np.bincount(owner, np.logaddexp(0, z), minlength=len(rows))
         clear = np.exp(-hazard)
         pull = np.where(label > 0, -clear / np.maximum(1 - clear, 1e-9), 1.0)
         slope = pull[owner] * p
         gradient = np.bincount(feature, slope[place], minlength=width + 1).astype(float)
-        gradient[-1] = slope.sum() + (pull * plain).sum() * p0
+        gradient[-1] = slope.sum()
         gradient = gradient / len(rows) + decay * np.r_[theta[:-1], 0.0]
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
@@ -160,7 +159,7 @@ def fit_toxicity(
     The features are the ``vocabulary`` words and word beginnings that stand out most in
     toxic documents of the sample, by a z-value of at least ``least_z``.  Rows without
     label or text are left out, an id labelled twice counts as toxic if any label says so.
-    Without labelled rows, or without a standing-out feature, every text scores near 0.
+    Without labelled rows, or without a standing-out feature, every text scores 0.
     """
     labelled = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     if train_on is not None:
@@ -198,7 +197,6 @@ def fit_toxicity(
 def _scorer(model: ToxicityModel):  # noqa: ANN202
     """A function from a text to its score and the sentences' (begin, end, score)."""
     known: dict[str, tuple[int, ...]] = {}
-    base = float(np.logaddexp(0, model.bias))
 
     def features(word: str) -> tuple[int, ...]:
         got = known.get(word)
@@ -210,11 +208,11 @@ def _scorer(model: ToxicityModel):  # noqa: ANN202
     def score(text: str) -> tuple[float, list[tuple[int, int, float]]]:
         forget(known)
         if not any(map(features, set(_WORD.findall(text.lower())))):
-            return 1 - float(np.exp(-base * len(_SENTENCE.findall(text)))), []
+            return 0.0, []
         hazard, parts = 0.0, []
         for m in _SENTENCE.finditer(text):
-            z = model.bias + sum(model.weight[f] for w in _WORD.findall(m[0].lower()) for f in features(w))
-            part = float(np.logaddexp(0, z))
+            own = [model.weight[f] for w in _WORD.findall(m[0].lower()) for f in features(w)]
+            part = float(np.logaddexp(0, model.bias + sum(own))) if own else 0.0
             hazard += part
             parts.append((m.start(), m.end(), 1 - float(np.exp(-part))))
         return 1 - float(np.exp(-hazard)), parts

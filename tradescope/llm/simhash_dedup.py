@@ -5,12 +5,16 @@ Equal fingerprints are one class.  Two fingerprints that differ in at most ``rad
 one vantage-point tree per part deals the classes out by the Hamming distance of that
 part to vantage values; the triangle inequality says which values near a boundary have to
 visit the other side as guests.  Inside a leaf whole fingerprints are compared, exactly.
+
+``keep_one`` is about shingle sets instead: sets that share a band of least values are
+candidates, and whole sets are compared, exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -303,118 +307,108 @@ def near_duplicates(
     )
 
 
-def _neighbours(
-    classes: DataFrame, radius: int, skip: int, take: int, pieces: int = 4, sample: int = 20_000, leaf_size: int = 4_000, block: int = 8_192
-) -> DataFrame:
-    """(a, b, more): active classes with near ones of other components, nearest first, from ``skip`` on.
+# Rows of least values a band, and bands: sets with a similarity of 0.8 share no band with a
+# chance of (1 - 0.8**4)**32 = 5e-8.
+_BAND, _BANDS = 4, 32
+_MIXERS = np.random.default_rng(11).integers(0, 1 << 63, (2, _BANDS * _BAND), np.uint64) * np.uint64(2) + np.uint64(1)
+_MEMBERS_AT_ONCE = 1_000
+_PARITIES = 16
+
+
+def band_keys(members: np.ndarray) -> np.ndarray:
+    """A key for each band of the set's least values under independent orders; none for no member."""
+    if not len(members):
+        return np.empty(0, np.int64)
+    least = np.full(_BANDS * _BAND, ~np.uint64(0))
+    for i in range(0, len(members), _MEMBERS_AT_ONCE):
+        np.minimum(least, (members[i : i + _MEMBERS_AT_ONCE, None] * _MIXERS[0]).min(axis=0), out=least)
+    least ^= least >> np.uint64(32)
+    keys = (least * _MIXERS[1]).reshape(_BANDS, _BAND).sum(axis=1) + np.arange(_BANDS, dtype=np.uint64)
+    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
+
 
-    ``classes`` has (cls, fingerprint, root, active).  Pairs within one bit in some part of
-    the fingerprint and ``radius`` bits overall are found.  ``more``: the class has further
-    neighbours of other components in the leaf where it lives, which has all of them; b is
-    null where only that is to be said.
+def parities(members: np.ndarray) -> np.ndarray:
+    """For each of 1,024 slots whether an odd number of the (32-bit) members falls there.
+
+    Two sets differ in at least as many members as these differ in bits.
     """
-    carried = ("cls", "root", "active")
-    trees = _grown(classes, 1, pieces, sample, leaf_size)
-    sizes = _sizes(classes, trees, block, carried, mutual=True)
+    odd = np.bincount(members.view(np.uint32) >> np.uint32(22), minlength=64 * _PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
-    def join(_: tuple, group: pa.Table) -> pa.Table:
-        value = group.column("fingerprint").to_numpy().view(np.uint64)
-        cls, root = group.column("cls").to_numpy(), group.column("root").to_numpy()
-        as_row = np.flatnonzero(group.column("as_row").to_numpy(zero_copy_only=False))
-        as_column = np.flatnonzero(group.column("as_column").to_numpy(zero_copy_only=False))
-        a, b, more = [], [], []
-        step = max(1, 1_000_000 // max(1, len(as_column)))
-        for i in range(0, len(as_row), step):
-            rows = as_row[i : i + step]
-            away = np.bitwise_count(value[rows, None] ^ value[None, as_column])
-            near = (away <= radius) & (cls[rows, None] != cls[None, as_column])
-            for k in np.flatnonzero(near.any(axis=1)):
-                found = np.flatnonzero(near[k])
-                order = as_column[found[np.lexsort((cls[as_column[found]], away[k, found]))][skip:]]
-                abroad = root[order] != root[rows[k]]
-                met = cls[order[:take][abroad[:take]]].tolist()
-                further = bool(abroad[take:].any())
-                met += [None] * (further and not met)
-                a += [cls[rows[k]]] * len(met)
-                b += met
-                more += [further] * len(met)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more, pa.bool_())})
-
-    placed = classes.mapInArrow(_places(trees, sizes, block, carried, mutual=True), _PLACE + ", cls long, root long, active boolean")
-    return placed.groupBy("tree", "leaf", "task").applyInArrow(join, "a long, b long, more boolean")
-
-
-# Independent fingerprints of a set, by multiplying its hashes.
-_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-# How many neighbours per leaf each round looks at; the last takes all that are left.
-_ROUNDS = ((0, 4), (4, 28), (32, 480), (512, 1 << 40))
-
-
-def similar_links(
-    sketches: DataFrame,
-    texts_of: Callable[[DataFrame], DataFrame],
-    width: int,
-    similarity: float,
-    radius: int = 12,
-    overall: int = 41,
+
+def similar_components(
+    sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, similarity: float
 ) -> DataFrame:
-    """Links (a, b) between classes whose shingle sets have a Jaccard similarity of at least ``similarity``.
-
-    ``sketches`` has (cls, f0, f1, f2): three fingerprints of each class's shingle set;
-    ``texts_of`` gives (cls, text), one text per class, for a frame of classes.  Candidates come from vantage-point
-    trees over each fingerprint and differ in at most ``overall`` bits of all three; every
-    link is verified on whole sets.  A class first meets its nearest candidates; then what
-    is proven is contracted, and it meets further ones as long as it has any outside its own
-    component, so a crowd of near copies is not paired out and no link between two is lost.
+    """(cls, root): components of classes tied by a Jaccard similarity of at least ``similarity``; roots have no row.
+
+    ``sketches`` has (cls, bands), the keys of each class's shingle set; ``texts_of`` gives
+    (cls, text), one text per class, for a frame of classes.  Classes that share a key are
+    candidates, and every link is verified on whole sets.  As long as the keys hold many
+    pairs of different components, each key's members only meet one pivot and what is proven
+    is contracted, so a crowd of near copies is not paired out.  Then all pairs that share a
+    key and are of different components meet: none is left unexamined.
     """
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.list_(pa.int32()))], names=["cls", "members"])
-
-    prints = F.struct("f0", "f1", "f2")
-    bits = [F.bit_count(F.col(f"print_a.{f}").bitwiseXOR(F.col(f"print_b.{f}"))) for f in ("f0", "f1", "f2")]
-    links, sets = None, None
-    flagged = sketches.withColumns({"root": F.col("cls"), "active": F.lit(True)})
-    for skip, take in _ROUNDS:
-        found = [
-            _neighbours(flagged.select("cls", F.col(f).alias("fingerprint"), "root", "active"), radius, skip, take)
-            for f in ("f0", "f1", "f2")
-        ]
-        told = stage(found[0].unionByName(found[1]).unionByName(found[2]), "candidates")
-        pairs = told.where("b is not null")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("cls"), "cls", "left_anti")
-        read = stage(texts_of(wanted).mapInArrow(shingled, "cls long, members array<int>"), "sets")
-        sets = read if sets is None else sets.unionByName(read)
-        meeting = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, _PARITIES)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), pa.array(sets, pa.list_(pa.int32())), *(pa.array(odd[:, k]) for k in range(_PARITIES))],
+                names=["cls", "members", *slots],
+            )
+
+    slots = [f"p{k}" for k in range(_PARITIES)]
+    spread = sketches.select("cls", F.explode("bands").alias("key"))
+    several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
+    held = stage(spread.join(several, "key", "left_semi").select("key", "cls"), "keys")
+    schema = "cls long, members array<int>" + "".join(f", {p} long" for p in slots)
+    sets = stage(texts_of(held.select("cls").distinct()).mapInArrow(shingled, schema), "sets")
+    outline = sets.select("cls", F.struct(F.size("members").alias("n"), *slots).alias("outline"))
+
+    def proven(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for c in ("a", "b"):
-            meeting = meeting.join(sketches.select(F.col("cls").alias(c), prints.alias(f"print_{c}")), c)
-        meeting = stage(meeting.where(bits[0] + bits[1] + bits[2] <= overall).select("a", "b"), "meeting")
-        one, other = (sets.withColumnsRenamed({"cls": c, "members": f"of_{c}"}) for c in ("a", "b"))
+            pairs = pairs.join(outline.withColumnsRenamed({"cls": c, "outline": f"outline_{c}"}), c)
+        n_a, n_b = F.col("outline_a.n"), F.col("outline_b.n")
+        differing = sum(F.bit_count(F.col(f"outline_a.{p}").bitwiseXOR(F.col(f"outline_b.{p}"))) for p in slots)
+        # Exact bounds: what fails them cannot be similar enough.
+        possible = (F.least(n_a, n_b) >= (similarity - 1e-9) * F.greatest(n_a, n_b)) & (
+            differing * (1 + similarity) <= (n_a + n_b) * (1 - similarity + 1e-9)
+        )
+        meeting = stage(pairs.where(possible).select("a", "b"), "meeting")
+        one, other = (sets.select(F.col("cls").alias(c), F.col("members").alias(f"of_{c}")) for c in ("a", "b"))
         shared = F.size(F.array_intersect("of_a", "of_b"))
         whole = F.size("of_a") + F.size("of_b") - shared
-        proven = meeting.join(one, "a").join(other, "b").where(shared >= F.lit(similarity) * whole).select("a", "b")
-        proven = stage(proven, "proven")
-        links = proven if links is None else links.unionByName(proven)
-        active = told.where("more").select(F.col("a").alias("cls")).distinct()
-        if active.isEmpty():
-            break
-        tied = components(links).withColumnsRenamed({"a": "cls", "b": "root"})
-        flagged = (
-            sketches.join(tied, "cls", "left")
-            .join(active.withColumn("active", F.lit(True)), "cls", "left")
-            .withColumns({"root": F.coalesce("root", "cls"), "active": F.coalesce("active", F.lit(False))})
-        )
-        flagged = stage(flagged, "flagged")
-    return links
-
-
-def _mixed(hashes: np.ndarray, multiplier: int) -> np.ndarray:
-    mixed = hashes * np.uint64(multiplier)
-    return mixed ^ (mixed >> np.uint64(32))
+        return meeting.join(one, "a").join(other, "b").where(shared >= F.lit(similarity) * whole).select("a", "b")
+
+    tied = held.select("cls", F.col("cls").alias("root")).limit(0)
+    fresh_links = True
+    for turn in count():
+        placed = held.join(tied, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+        order = F.struct(F.xxhash64("cls", F.lit(turn)).alias("order"), "cls", "root")
+        mixed = placed.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most"), F.min(order).alias("pivot"))
+        held = stage(placed.join(mixed.where("_least <> _most").select("key", "pivot"), "key"), "open")
+        parts = held.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        crossing = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        size = crossing.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+        if not size.rows:
+            return tied
+        last = not fresh_links or size.pairs <= 4 * size.rows
+        if last:
+            one = held.select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"))
+            other = held.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"))
+            pairs = one.join(other, "key").where("root_a < root_b")
+        else:
+            pairs = held.where("root <> pivot.root").select(F.col("cls").alias("a"), F.col("pivot.cls").alias("b"))
+        links = stage(proven(pairs), "proven")
+        fresh_links = not links.isEmpty()
+        if fresh_links:
+            known = tied.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+            tied = components(links.unionByName(known)).withColumnsRenamed({"a": "cls", "b": "root"})
+        if last:
+            return tied
+        held = held.select("key", "cls")
 
 
 def keep_one(
@@ -426,40 +420,40 @@ def keep_one(
     similarity of at least ``similarity``; groups are what such links connect, equal sets
     included.  All texts without a word are one group.  The row with the least id stays
     (ids before nulls, equal ids in input order), so of repeated rows one stays as well.
-    Rows are written down once with their number and fingerprints of their set; groups are
+    Rows are written down once with their number and the band keys of their set; groups are
     decided on those, and texts are read again only for one row of each set that has a
-    candidate.
+    candidate.  A link exactly at 0.8 has no candidate with a chance of 5e-8, a closer one
+    with less; every candidate is compared unless it is in the same group already.
     """
     mark, row = fresh("_set", docs), fresh("_row", docs)
-    sketch = [fresh(f"_f{k}", docs) for k in range(3)]
+    bands = fresh("_bands", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[list[int]] = [[], [], [], []]
+            marks, keys = [], []
             for text in texts(batch, text_col):
                 members = np.unique(shingle_hashes(text, width))
-                made[0].append(int(np.array(xxhash.xxh64_intdigest(members.tobytes()), np.uint64).view(np.int64)))
-                for column, multiplier in zip(made[1:], _MIXERS, strict=True):
-                    column.append(majority(_mixed(members, multiplier)))
+                marks.append(int(np.array(xxhash.xxh64_intdigest(members.tobytes()), np.uint64).view(np.int64)))
+                keys.append(band_keys(members))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c, pa.int64()) for c in made)],
-                names=[*batch.schema.names, mark, *sketch],
+                [*batch.columns, pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=[*batch.schema.names, mark, bands],
             )
 
-    added = [T.StructField(c, T.LongType()) for c in (mark, *sketch)]
+    added = [T.StructField(mark, T.LongType()), T.StructField(bands, T.ArrayType(T.LongType()))]
     numbered = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
     numbered = stage(numbered.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rank = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c"))
-    # Equal sets have equal fingerprints.
-    prints = [F.min(c).alias(f"f{k}") for k, c in enumerate(sketch)]
-    classes = stage(numbered.groupBy(F.col(mark).alias("cls")).agg(F.min(rank).alias("rank"), *prints), "classes")
+    # Equal sets have equal keys.
+    keyed = numbered.groupBy(F.col(mark).alias("cls")).agg(F.min(rank).alias("rank"), F.first(bands).alias("bands"))
+    classes = stage(keyed, "classes")
     leaders = classes.select(F.col("cls"), F.col("rank.c").alias(row))
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         asked = leaders.join(wanted, "cls", "left_semi")
         return numbered.select(row, F.col(text_col).alias("text")).join(asked, row).select("cls", "text")
 
-    tied = components(similar_links(classes.select("cls", "f0", "f1", "f2"), texts_of, width, similarity))
-    rooted = classes.join(tied.withColumnsRenamed({"a": "cls", "b": "root"}), "cls", "left")
+    tied = similar_components(classes.select("cls", "bands"), texts_of, width, similarity)
+    rooted = classes.join(tied, "cls", "left")
     first = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rank").alias("rank"))
     return numbered.join(first.select(F.col("rank.c").alias(row)), row, "left_semi").select(*docs.columns)

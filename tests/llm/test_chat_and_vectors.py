@@ -105,6 +105,12 @@ def test_op10_on_edge_cases(spark, edge_dir):
     assert set(got) == set(brute)
 
 
+def test_ties_of_many_lengths_go_to_the_smaller_id(spark):
+    rows = [(1000 - i, [float(i), 2.0 * i, 2.0 * i]) for i in range(1, 100)] + [(2000 + i, [1.0, float(i), 0.5]) for i in range(20)]
+    found = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=950)
+    assert [r.vec_id for r in found.where("query_id = 950").orderBy("rank").collect()] == [901, 902, 903, 904, 905]
+
+
 def test_recall_of_the_index(spark):
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(40, 16))

@@ -244,7 +244,9 @@ def nearest(
         out: list[list] = [[], [], [], []]
         for q, name in zip(unit[query], cls[query], strict=True) if len(held) else ():
             like = held @ q
-            near = np.argpartition(-like, min(2 * k + 2, len(like)) - 1)[: 2 * k + 2]
+            # All that may tie with the last place; which tie goes first is settled below.
+            last = max(0, len(like) - k - 1)
+            near = np.flatnonzero(like >= np.partition(like, last)[last] - 1e-9)
             # Summed the same way in every list, so that equal pairs score alike.
             exact = np.minimum(1.0, np.maximum(-1.0, (held[near] * q).sum(axis=1)))
             order = np.lexsort((held_first[near], -exact))[: k + 1]

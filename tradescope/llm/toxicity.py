@@ -61,8 +61,11 @@ def _sentence_features(text: str, known: dict[str, tuple[int, ...]], model_featu
     return out
 
 
-def _feature_counts(sample: DataFrame) -> DataFrame:
-    """Documents of either label that hold each feature, added up before the shuffle."""
+def _feature_counts(labelled: DataFrame) -> DataFrame:
+    """Documents of either label that hold each feature, added up before the shuffle.
+
+    Every document holds the empty feature.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +73,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
                 seen: tuple[Counter, Counter] = (Counter(), Counter())
                 for text, label in zip(texts(part, "text"), part.column("label").to_pylist(), strict=True):
                     words = set(_WORD.findall(text.lower()))
-                    seen[label].update({f for w in words for f in word_features(w)})
+                    seen[label].update({"", *(f for w in words for f in word_features(w))})
                 names = list(seen[0] | seen[1])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -81,7 +84,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
                 )
 
     return (
-        sample.mapInArrow(run, "feature string, clean long, toxic long")
+        labelled.mapInArrow(run, "feature string, clean long, toxic long")
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     )
@@ -154,35 +157,31 @@ def fit_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> ToxicityModel:
-    """Fit on at most ``sample`` labelled documents, chosen by the hash of their id.
+    """Fit the weights on at most ``sample`` labelled documents, chosen by the hash of their id.
 
     The features are the ``vocabulary`` words and word beginnings that stand out most in
-    toxic documents of the sample, by a z-value of at least ``least_z``.  Rows without
+    toxic documents, by a z-value of at least ``least_z`` over all labelled rows.  Rows without
     label or text are left out, an id labelled twice counts as toxic if any label says so.
     Without labelled rows, or without a standing-out feature, every text scores 0.
     """
     labelled = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     if train_on is not None:
         labelled = labelled.where(train_on)
+    written = docs.select(id_col, F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    counted = _feature_counts(written.join(labelled, id_col).select("text", "label"))
+    counted = stage(counted.where("feature = '' OR toxic >= 5"), "features")
+    size = counted.where("feature = ''").first()
+    if size is None or not size.toxic:
+        return ToxicityModel({}, np.zeros(0), -20.0)
+    toxic, total = size.toxic, size.clean + size.toxic
     chosen = labelled.orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # Bounded by ``sample``: a few hundred kilobytes.
-    rows = stage(
-        docs.select(id_col, F.col(text_col).alias("text"))
-        .where(F.col("text").isNotNull())
-        .join(F.broadcast(chosen), id_col)
-        .select("text", "label"),
-        "labelled",
-    )
-    size = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, total = size.get(1, 0), sum(size.values())
-    if not toxic:
-        return ToxicityModel({}, np.zeros(0), -20.0)
+    rows = stage(written.join(F.broadcast(chosen), id_col).select("text", "label"), "labelled")
     share = (F.col("clean") + F.col("toxic")) / total
     expected = toxic * share
     z = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share) + 1e-9)
     top = (
-        _feature_counts(rows)
-        .where("toxic >= 5")
+        counted.where("toxic >= 5 AND feature <> ''")
         .select("feature", z.alias("z"))
         .where(F.col("z") >= least_z)
         .orderBy(F.desc("z"), "feature")

@@ -183,6 +183,14 @@ def test_length_alone_is_not_toxic(spark, edge_dir):
     assert [r.doc_id for r in drop_toxic(long, model).collect()] == [1]
 
 
+def test_features_come_from_all_labelled_rows(spark):
+    rows = [(i, "you zlork" if i % 20 == 0 else "a calm day", int(i % 20 == 0)) for i in range(400)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(rows, rows.select("doc_id", "toxic"), sample=60)
+    assert "zlork$" in model.feature
+    assert fit_toxicity(rows, rows.selectExpr("doc_id", "0 AS toxic")).feature == {}
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -221,6 +229,12 @@ def test_more_than_64_languages(spark):
     assert keep_identified(docs, filters).count() == 70
 
 
+def test_without_a_language_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "123 !", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    filters = fit_language_filters(docs)
+    assert filters.languages == [] and [r.doc_id for r in keep_identified(docs, filters).orderBy("doc_id").collect()] == [1, 4]
+
+
 def test_fingerprints_are_homomorphic():
     one, other = "x y z\nsome longer paragraph here\n\nlast", "last\nx y z\n\nsome longer paragraph here"
     assert written(fingerprint(one)) == written(fingerprint(other))

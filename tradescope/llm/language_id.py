@@ -255,12 +255,16 @@ def keep_identified(
     """The rows, with all their columns, whose text a learned language explains.
 
     Goes: what ``identify_languages`` calls ``und`` and what scores below ``least_score``.
+    Where no language was learned, only texts without a letter go.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             strings = texts(batch, text_col)
             for i, j in chunks(strings):
+                if not filters.languages:
+                    yield batch.slice(i, j - i).filter(pa.array(ngrams(strings[i:j])[2]))
+                    continue
                 names, score = filters.identify(strings[i:j])
                 keep = (score >= least_score) & np.array([n != UNDETERMINED for n in names])
                 yield batch.slice(i, j - i).filter(pa.array(keep))

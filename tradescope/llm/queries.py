@@ -10,13 +10,18 @@ from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tradescope.llm.bpe_codec import bpe_round_trip
 from tradescope.llm.chat_format import format_chats, read_back
+from tradescope.llm.chat_repair import damaged, repair
 from tradescope.llm.common import table
 from tradescope.llm.fingerprints import compare_with_next
 from tradescope.llm.language_id import fit_language_filters, identify_languages
+from tradescope.llm.merkle import merkle_manifest
+from tradescope.llm.oracles import MERKLE_SQL, REPAIR_SQL
 from tradescope.llm.packing import pack
+from tradescope.llm.pii import find_pii, fit_pii
 from tradescope.llm.simhash_dedup import near_duplicates
 from tradescope.llm.token_shards import read_documents, write_shards
 from tradescope.llm.token_counts import token_counts
@@ -81,14 +86,29 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle_manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_pii(docs, fit_pii(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_language_id, op3_chat_format, op4_bpe_codec, op5_token_shards,
         op6_packing, op7_near_duplicates, op8_toxicity, op9_fingerprints, op10_nearest,
+        op11_merkle_manifest, op12_chat_repair, op13_pii,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None of the ten can be said in SQL; ``tests/llm`` holds them against other versions."""
-    return {}
+    """What SQL can say; ``tests/llm`` holds the others against other versions."""
+    return {"op11_merkle_manifest": MERKLE_SQL, "op12_chat_repair": REPAIR_SQL}

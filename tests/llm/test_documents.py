@@ -1,6 +1,7 @@
 """Near copies, toxicity, language and fingerprints against brute force."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -11,8 +12,8 @@ from tests.llm.conftest import DOCS
 from tradescope.llm import queries
 from tradescope.llm.fingerprints import deleted, fingerprint, inserted, likeness, written
 from tradescope.llm.language_id import fit_language_filters, identify_languages, keep_identified
-from tradescope.llm.simhash_dedup import VantageTree, band_keys, keep_one, leaf_links, shingle_hashes, simhash
-from tradescope.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
+from tradescope.llm.simhash_dedup import VantageTree, keep_one, leaf_links, simhash
+from tradescope.llm.toxicity import Bags, ToxicityModel, drop_toxic, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,15 +82,10 @@ def test_op7_on_edge_cases(spark, edge_dir):
 
 
 def brute_kept(rows):
-    """Rows that stay of (id, text): the least of every group of similar five-word shingle sets."""
-    sets = [set(shingle_hashes(t or "", 5).tolist()) for _, t in rows]
-    similar = [
-        (a, b)
-        for a, x in enumerate(sets)
-        for b, y in enumerate(sets)
-        if a < b and (x == y or len(x & y) >= 0.8 * len(x | y))
-    ]
-    roots = components(similar, range(len(rows)))
+    """Rows that stay of (id, text): the least of every component of fingerprints within 4 bits."""
+    prints = [plain_simhash(t or "", 4) for _, t in rows]
+    pairs = [(a, b) for a, x in enumerate(prints) for b, y in enumerate(prints) if a < b and (x ^ y).bit_count() <= 4]
+    roots = components(pairs, range(len(rows)))
     first = {}
     for k, (i, _) in enumerate(rows):
         rank = (i is None, i or 0, k)
@@ -106,58 +102,20 @@ def test_keep_one(spark, edge_dir):
     assert multiset(r.doc_id for r in kept.collect()) == brute_kept(rows)
 
 
-def test_keep_one_in_a_crowd_of_near_copies(spark):
-    words = [f"w{i}" for i in range(300)]
-    texts = [" ".join(words[:i] + ["x"] + words[i + 1 :]) for i in range(0, 300, 3)] + ["other text of five words", "one more text of five words"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert multiset(r.doc_id for r in keep_one(docs).collect()) == brute_kept(list(enumerate(texts))) == [0, 100, 101]
-
-
-def reprinted(seed):
-    """Two tight clusters of eight texts, an original's and its revision's, with links of about 0.82 across."""
-    draw = np.random.default_rng(seed)
-    original = [f"w{i}" for i in range(1500)]
-    revision = list(original)
-    for i in draw.choice(300, 27, replace=False):
-        revision[5 * i] = f"r{i}"
-    texts = []
-    for version in (original, revision):
-        for k in range(8):
-            words = list(version)
-            words[5 * int(draw.integers(300)) + 2] = f"x{seed} {k} {len(texts)}"
-            texts.append(" ".join(words))
-    return texts
-
-
-def test_keep_one_joins_tight_clusters(spark):
-    rows = [(100 * seed + k, f"{text} s{seed}".replace("w", f"w{seed}q")) for seed in range(6) for k, text in enumerate(reprinted(seed))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert brute_kept(rows) == [0, 100, 200, 300, 400, 500]
-    assert multiset(r.doc_id for r in keep_one(docs).collect()) == brute_kept(rows)
-
-
-def test_band_keys_find_pairs_near_the_threshold():
-    draw = np.random.default_rng(8)
-    missed = 0
-    for n in (20, 400):
-        for _ in range(500):
-            union = draw.integers(0, 1 << 64, n, np.uint64)
-            apart = n // 10
-            missed += not (band_keys(union[apart:]) == band_keys(np.r_[union[: -2 * apart], union[-apart:]])).any()
-    assert missed == 0
-
-
-def test_keep_one_keeps_one_of_each_pair_near_the_threshold(spark):
-    """Pairs alone with a similarity of 0.80 to 0.83, which fingerprints of few bits lose now and then."""
+def test_keep_one_of_crowds_and_chains(spark):
+    """Near copies of a few texts, each a few words from another one, so that some are linked only through others."""
+    draw = np.random.default_rng(3)
     rows = []
-    for pair in range(400):
-        words = [f"p{pair}w{i}" for i in range(204)]
-        changed = list(words)
-        for k in range(4):
-            changed[10 + 40 * k] = "x"
-        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(changed))]
+    for group in range(6):
+        words = [f"g{group}w{i}" for i in range(800)]
+        for k in range(40):
+            words = list(words)
+            words[int(draw.integers(800))] = f"x{k}"
+            rows.append((1000 * group + k, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert multiset(r.doc_id for r in keep_one(docs).collect()) == multiset(range(0, 800, 2))
+    want = brute_kept(rows)
+    assert 6 <= len(want) < 200
+    assert multiset(r.doc_id for r in keep_one(docs).collect()) == want
 
 
 def test_op8_on_edge_cases(spark, edge_dir):
@@ -191,6 +149,54 @@ def test_features_come_from_all_labelled_rows(spark):
     assert fit_toxicity(rows, rows.selectExpr("doc_id", "0 AS toxic")).feature == {}
 
 
+def test_features_need_so_many_toxic_documents(spark):
+    rows = [(i, "you zlork" if i < 3 else "a calm day", int(i < 3)) for i in range(100)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = rows.select("doc_id", "toxic")
+    assert fit_toxicity(rows, labels).feature == {} and "zlork$" in fit_toxicity(rows, labels, least_toxic=3).feature
+
+
+def test_long_labelled_texts_do_not_bind_the_fit(spark):
+    """Texts of a megabyte: the pairs of the fit stay within their bound, and the model still learns."""
+    rows = [(i, ("you zlork. " if i % 4 == 0 else "a calm day. ") * (90_000 if i % 16 < 8 and i < 40 else 3), int(i % 4 == 0)) for i in range(200)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    model = fit_toxicity(rows, rows.select("doc_id", "toxic"), pairs=20_000)
+    got = {r.doc_id: r.predicted for r in score_toxicity(rows, model).collect()}
+    assert all(got[i] == int(i % 4 == 0) for i in range(200))
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    model = ToxicityModel({"bad$": 0, "ba": 1, "bad": 2, "wor": 3}, np.array([1.5, -0.5, 0.25, 2.0]), -1.0)
+    texts = ["", "Bad bad! A calm day. The worst, baddest\nBAR? word", "nothing here. at all", "é bad.\U0001f600 bad"]
+    got = score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, threshold=0.5).collect()
+    for r, text in zip(sorted(got), texts, strict=True):
+        clear, spans, at = 1.0, [], 0
+        for sentence in re.split("([.!?\n])", text):
+            words = [w for w in re.split(r"[\W\d_]+", sentence.lower()) if w]
+            found = [f for w in words for f in [w + "$", *(w[:k] for k in range(3, 8) if k < len(w))] if f in model.feature]
+            if found:
+                p = 1 / (1 + np.exp(-(model.bias + sum(model.weight[model.feature[f]] for f in found))))
+                clear *= 1 - p
+                if p >= 0.5:
+                    spans.append((at, at + len(sentence), p))
+            at += len(sentence)
+        assert abs(r.score - (1 - clear)) < 1e-12 and r.predicted == int(r.score >= 0.5)
+        assert [s[:2] for s in r.offending] == [s[:2] for s in spans]
+        assert np.allclose([s[2] for s in r.offending], [s[2] for s in spans])
+
+
+def test_gradient_of_the_noisy_or_equals_finite_differences():
+    draw = np.random.default_rng(2)
+    owner = np.sort(draw.integers(0, 12, 40))
+    place = np.sort(draw.integers(0, 40, 150))
+    bags = Bags(draw.integers(0, 2, 12).astype(float), owner, place, draw.integers(0, 6, 150))
+    theta = draw.normal(0, 0.3, 7)
+    _, gradient = bags.loss(theta, 0.01)
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert abs((bags.loss(theta + step, 0.01)[0] - bags.loss(theta - step, 0.01)[0]) / 2e-6 - gradient[k]) < 1e-6
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

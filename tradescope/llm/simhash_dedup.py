@@ -5,16 +5,12 @@ Equal fingerprints are one class.  Two fingerprints that differ in at most ``rad
 one vantage-point tree per part deals the classes out by the Hamming distance of that
 part to vantage values; the triangle inequality says which values near a boundary have to
 visit the other side as guests.  Inside a leaf whole fingerprints are compared, exactly.
-
-``keep_one`` is about shingle sets instead: sets that share a band of least values are
-candidates, and whole sets are compared, exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -116,13 +112,11 @@ class VantageTree:
         self.leaves += 1
         return ~(self.leaves - 1)
 
-    def route(self, values: np.ndarray, mutual: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def route(self, values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each leaf: places in ``values`` that go there, and which of them live there.
 
         Of two values within the radius that part at a node, the inner one visits the
-        outer side: by the triangle inequality it lies less than the radius inside.  With
-        ``mutual`` the outer one visits the inner side too, so that every value has all its
-        neighbours in the leaf where it lives.
+        outer side: by the triangle inequality it lies less than the radius inside.
         """
         part = self._part(values)
         todo = [(self.root, np.arange(len(values)), np.ones(len(values), bool))]
@@ -134,7 +128,7 @@ class VantageTree:
             vantage, threshold, inner, outer = self.nodes[node]
             away = np.bitwise_count(part[at] ^ np.uint64(vantage)).astype(np.int64)
             inside = away <= threshold
-            to_inner = inside | ((away <= threshold + self.radius) & (mutual | ~lives))
+            to_inner = inside | ((away <= threshold + self.radius) & ~lives)
             to_outer = ~inside | (away > threshold - self.radius)
             todo.append((inner, at[to_inner], (lives & inside)[to_inner]))
             todo.append((outer, at[to_outer], (lives & ~inside)[to_outer]))
@@ -176,14 +170,8 @@ def _places(
     trees: list[VantageTree],
     sizes: dict[tuple[int, int], tuple[int, int]] | None,
     block: int,
-    carried: tuple[str, ...] = (),
-    mutual: bool = False,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Deals fingerprints out to leaves; with ``sizes``, to tasks of a bounded number of values.
-
-    ``carried`` columns travel along; with one named ``active``, only active values look for
-    neighbours where they live.
-    """
+    """Deals fingerprints out to leaves; with ``sizes``, to tasks of a bounded number of values."""
 
     def cut(n: int) -> int:
         return max(1, -(-n // block))
@@ -191,12 +179,8 @@ def _places(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column("fingerprint").to_numpy(zero_copy_only=False).view(np.uint64)
-            active = np.ones(len(values), bool)
-            if "active" in carried:
-                active = batch.column("active").to_numpy(zero_copy_only=False)
             for number, tree in enumerate(trees):
-                for leaf, at, lives in tree.route(values, mutual):
-                    lives = lives & active[at]  # noqa: PLW2901
+                for leaf, at, lives in tree.route(values):
                     living, staying = sizes.get((number, leaf), (0, 0)) if sizes else (0, 0)
                     rows, columns = cut(living), cut(staying)
                     here = values[at]
@@ -215,9 +199,8 @@ def _places(
                                         pa.array(here[some].view(np.int64)),
                                         pa.array(as_row[some]),
                                         pa.array(as_column[some]),
-                                        *(batch.column(c).take(pa.array(at[some])) for c in carried),
                                     ],
-                                    names=["tree", "leaf", "task", "fingerprint", "as_row", "as_column", *carried],
+                                    names=["tree", "leaf", "task", "fingerprint", "as_row", "as_column"],
                                 )
 
     return run
@@ -239,13 +222,10 @@ def _grown(frame: DataFrame, radius: int, pieces: int, sample: int, leaf_size: i
     ]
 
 
-def _sizes(
-    frame: DataFrame, trees: list[VantageTree], block: int, carried: tuple[str, ...] = (), mutual: bool = False
-) -> dict:
+def _sizes(frame: DataFrame, trees: list[VantageTree], block: int) -> dict:
     """(living, staying) values of each leaf; one row per leaf of the bounded trees."""
-    schema = _PLACE + "".join(f", {c} {kind(frame, c)}" for c in carried)
     counted = (
-        frame.mapInArrow(_places(trees, None, block, carried, mutual), schema)
+        frame.mapInArrow(_places(trees, None, block), _PLACE)
         .groupBy("tree", "leaf")
         .agg(F.count_if("as_row").alias("living"), F.count(F.lit(1)).alias("staying"))
     )
@@ -307,153 +287,30 @@ def near_duplicates(
     )
 
 
-# Rows of least values a band, and bands: sets with a similarity of 0.8 share no band with a
-# chance of (1 - 0.8**4)**32 = 5e-8.
-_BAND, _BANDS = 4, 32
-_MIXERS = np.random.default_rng(11).integers(0, 1 << 63, (2, _BANDS * _BAND), np.uint64) * np.uint64(2) + np.uint64(1)
-_MEMBERS_AT_ONCE = 1_000
-_PARITIES = 16
-
-
-def band_keys(members: np.ndarray) -> np.ndarray:
-    """A key for each band of the set's least values under independent orders; none for no member."""
-    if not len(members):
-        return np.empty(0, np.int64)
-    least = np.full(_BANDS * _BAND, ~np.uint64(0))
-    for i in range(0, len(members), _MEMBERS_AT_ONCE):
-        np.minimum(least, (members[i : i + _MEMBERS_AT_ONCE, None] * _MIXERS[0]).min(axis=0), out=least)
-    least ^= least >> np.uint64(32)
-    keys = (least * _MIXERS[1]).reshape(_BANDS, _BAND).sum(axis=1) + np.arange(_BANDS, dtype=np.uint64)
-    return (keys ^ (keys >> np.uint64(29))).view(np.int64)
-
-
-def parities(members: np.ndarray) -> np.ndarray:
-    """For each of 1,024 slots whether an odd number of the (32-bit) members falls there.
-
-    Two sets differ in at least as many members as these differ in bits.
-    """
-    odd = np.bincount(members.view(np.uint32) >> np.uint32(22), minlength=64 * _PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def similar_components(
-    sketches: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, similarity: float
-) -> DataFrame:
-    """(cls, root): components of classes tied by a Jaccard similarity of at least ``similarity``; roots have no row.
-
-    ``sketches`` has (cls, bands), the keys of each class's shingle set; ``texts_of`` gives
-    (cls, text), one text per class, for a frame of classes.  Classes that share a key are
-    candidates, and every link is verified on whole sets.  As long as the keys hold many
-    pairs of different components, each key's members only meet one pivot and what is proven
-    is contracted, so a crowd of near copies is not paired out.  Then all pairs that share a
-    key and are of different components meet: none is left unexamined.
-    """
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width).astype(np.uint32)).view(np.int32) for t in texts(batch, "text")]
-            odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, _PARITIES)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), pa.array(sets, pa.list_(pa.int32())), *(pa.array(odd[:, k]) for k in range(_PARITIES))],
-                names=["cls", "members", *slots],
-            )
-
-    slots = [f"p{k}" for k in range(_PARITIES)]
-    spread = sketches.select("cls", F.explode("bands").alias("key"))
-    several = spread.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    held = stage(spread.join(several, "key", "left_semi").select("key", "cls"), "keys")
-    schema = "cls long, members array<int>" + "".join(f", {p} long" for p in slots)
-    sets = stage(texts_of(held.select("cls").distinct()).mapInArrow(shingled, schema), "sets")
-    outline = sets.select("cls", F.struct(F.size("members").alias("n"), *slots).alias("outline"))
-
-    def proven(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for c in ("a", "b"):
-            pairs = pairs.join(outline.withColumnsRenamed({"cls": c, "outline": f"outline_{c}"}), c)
-        n_a, n_b = F.col("outline_a.n"), F.col("outline_b.n")
-        differing = sum(F.bit_count(F.col(f"outline_a.{p}").bitwiseXOR(F.col(f"outline_b.{p}"))) for p in slots)
-        # Exact bounds: what fails them cannot be similar enough.
-        possible = (F.least(n_a, n_b) >= (similarity - 1e-9) * F.greatest(n_a, n_b)) & (
-            differing * (1 + similarity) <= (n_a + n_b) * (1 - similarity + 1e-9)
-        )
-        meeting = stage(pairs.where(possible).select("a", "b"), "meeting")
-        one, other = (sets.select(F.col("cls").alias(c), F.col("members").alias(f"of_{c}")) for c in ("a", "b"))
-        shared = F.size(F.array_intersect("of_a", "of_b"))
-        whole = F.size("of_a") + F.size("of_b") - shared
-        return meeting.join(one, "a").join(other, "b").where(shared >= F.lit(similarity) * whole).select("a", "b")
-
-    tied = held.select("cls", F.col("cls").alias("root")).limit(0)
-    fresh_links = True
-    for turn in count():
-        placed = held.join(tied, "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-        order = F.struct(F.xxhash64("cls", F.lit(turn)).alias("order"), "cls", "root")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most"), F.min(order).alias("pivot"))
-        held = stage(placed.join(mixed.where("_least <> _most").select("key", "pivot"), "key"), "open")
-        parts = held.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        crossing = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        size = crossing.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-        if not size.rows:
-            return tied
-        last = not fresh_links or size.pairs <= 4 * size.rows
-        if last:
-            one = held.select("key", F.col("cls").alias("a"), F.col("root").alias("root_a"))
-            other = held.select("key", F.col("cls").alias("b"), F.col("root").alias("root_b"))
-            pairs = one.join(other, "key").where("root_a < root_b")
-        else:
-            pairs = held.where("root <> pivot.root").select(F.col("cls").alias("a"), F.col("pivot.cls").alias("b"))
-        links = stage(proven(pairs), "proven")
-        fresh_links = not links.isEmpty()
-        if fresh_links:
-            known = tied.select(F.col("cls").alias("a"), F.col("root").alias("b"))
-            tied = components(links.unionByName(known)).withColumnsRenamed({"a": "cls", "b": "root"})
-        if last:
-            return tied
-        held = held.select("key", "cls")
-
-
 def keep_one(
-    docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, width: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows, with all their columns, less all but one row of every group of near copies.
-
-    Near copies have word-shingle sets (``width`` words, A-Z lower-cased) with a Jaccard
-    similarity of at least ``similarity``; groups are what such links connect, equal sets
-    included.  All texts without a word are one group.  The row with the least id stays
-    (ids before nulls, equal ids in input order), so of repeated rows one stays as well.
-    Rows are written down once with their number and the band keys of their set; groups are
-    decided on those, and texts are read again only for one row of each set that has a
-    candidate.  A link exactly at 0.8 has no candidate with a chance of 5e-8, a closer one
-    with less; every candidate is compared unless it is in the same group already.
+    """The rows, with all their columns, less all but one row of every component of near copies.
+
+    Components are those of ``near_duplicates``: fingerprints of ``width``-word shingles, linked
+    at ``radius`` or fewer differing bits.  All texts without a word have fingerprint zero and are
+    linked like any other.  The row with the least id stays (ids before nulls, equal ids in
+    input order), so of repeated rows one stays as well.  Rows are written down once with
+    their number and fingerprint; what goes is decided on numbers and fingerprints alone.
     """
-    mark, row = fresh("_set", docs), fresh("_row", docs)
-    bands = fresh("_bands", docs)
+    row, mark = fresh("_row", docs), fresh("_print", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, keys = [], []
-            for text in texts(batch, text_col):
-                members = np.unique(shingle_hashes(text, width))
-                marks.append(int(np.array(xxhash.xxh64_intdigest(members.tobytes()), np.uint64).view(np.int64)))
-                keys.append(band_keys(members))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(marks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=[*batch.schema.names, mark, bands],
-            )
+            values = pa.array([simhash(t, width) for t in texts(batch, text_col)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, mark])
 
-    added = [T.StructField(mark, T.LongType()), T.StructField(bands, T.ArrayType(T.LongType()))]
-    numbered = docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
-    numbered = stage(numbered.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())]))
+    numbered = stage(marked.withColumn(row, F.monotonically_increasing_id()), "numbered")
     rank = F.struct(F.col(id_col).isNull().alias("a"), F.col(id_col).alias("b"), F.col(row).alias("c"))
-    # Equal sets have equal keys.
-    keyed = numbered.groupBy(F.col(mark).alias("cls")).agg(F.min(rank).alias("rank"), F.first(bands).alias("bands"))
-    classes = stage(keyed, "classes")
-    leaders = classes.select(F.col("cls"), F.col("rank.c").alias(row))
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        asked = leaders.join(wanted, "cls", "left_semi")
-        return numbered.select(row, F.col(text_col).alias("text")).join(asked, row).select("cls", "text")
-
-    tied = similar_components(classes.select("cls", "bands"), texts_of, width, similarity)
-    rooted = classes.join(tied, "cls", "left")
-    first = rooted.groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("rank").alias("rank"))
-    return numbered.join(first.select(F.col("rank.c").alias(row)), row, "left_semi").select(*docs.columns)
+    light = numbered.select(F.col(mark).alias("fingerprint"), rank.alias("rank"))
+    classes = stage(light.groupBy("fingerprint").agg(F.min("rank").alias("rank")), "classes")
+    tied = components(near_links(classes.select("fingerprint"), radius)).withColumnsRenamed({"a": "fingerprint", "b": "_root"})
+    rooted = classes.join(tied, "fingerprint", "left").select("rank", F.coalesce("_root", "fingerprint").alias("_root"))
+    kept = rooted.groupBy("_root").agg(F.min("rank").alias("rank")).select(F.col("rank.c").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)

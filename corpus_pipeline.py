@@ -21,6 +21,8 @@ from tradescope.operators.staging import stage
 TOXIC = 0.3
 # A document goes when less than this share of its n-grams belongs to its language.
 LEAST_LANGUAGE = 0.3
+# Documents are near copies when their fingerprints of so many words differ in so few bits.
+SHINGLE, BITS = 4, 4
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every group of near copies."""
-    return keep_one(docs)
+    """Keep the document with the smallest id of every component of linked fingerprints."""
+    return keep_one(docs, width=SHINGLE, radius=BITS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from tests.llm.conftest import DOCS
 from tradescope.llm import queries
 from tradescope.llm.bpe_codec import Codec
-from tradescope.llm.packing import encoder, hilbert_key, pack, sequences
+from tradescope.llm.packing import encoder, hilbert_key, ids_of, pack, sequences
 from tradescope.llm.token_counts import count_tokens
 from tradescope.llm.token_shards import WordEncoder, read_documents, shard_lookup, write_shards
 from tradescope.llm.wavelet import WaveletMatrix
@@ -151,3 +151,38 @@ def test_sequences_hold_the_ids(spark, edge_dir):
 @pytest.mark.parametrize("name", ["op1_token_counts", "op4_bpe_codec", "op5_token_shards", "op6_packing"])
 def test_empty_tables(spark, empty_dir, name):
     assert queries.queries()[name](spark, empty_dir).count() == 0
+
+
+def letters(n: int) -> str:
+    draw = random.Random(n)
+    return "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+LONG_RUNS = [letters(200_000), " " * 2_000_000, "x" * 2_000_000, "a" + " " * 1_000_000 + "b<|endoftext|>", "ACGT" * 3 + letters(3000) + "é" * 5000]
+
+
+def test_long_runs_equal_the_library():
+    """One run of many letters or blanks in a text: the same ids, without a crash or a spill."""
+    fast = encoder(RANKS, (("<|endoftext|>", 50256),))
+    byte, word, own = library(BYTE, LONG_RUNS), library(WORD, LONG_RUNS), Codec(RANKS)
+    assert count_tokens(LONG_RUNS, BYTE) == [len(ids) for ids in byte]
+    assert [ids_of(fast, t) for t in LONG_RUNS] == byte
+    encoder5 = WordEncoder(WORD)
+    assert [np.frombuffer(encoder5.encode(t), "<u4").tolist() for t in LONG_RUNS] == word
+    plain = [t.replace("<|endoftext|>", "") for t in LONG_RUNS]
+    packed = own.encode(plain)
+    assert [np.frombuffer(p, "<u4").tolist() for p in packed] == library(BYTE, plain)
+    assert own.decode(packed) == [t.encode() for t in plain]
+
+
+@pytest.mark.parametrize("pool", ["abcdefghijklmnopqrstuvwxyz", "ab", "ACGT", "etaoin", "éüñabc", "日本語", "-=", "01"])
+def test_cut_words_equal_whole_words(pool):
+    draw, own = random.Random(pool), Codec(RANKS)
+    words = ["".join(draw.choice(pool) for _ in range(draw.randrange(30, 700))) for _ in range(12)]
+    assert [np.frombuffer(p, "<u4").tolist() for p in own.encode(words)] == library(BYTE, words)
+
+
+def test_packing_of_long_runs(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(LONG_RUNS)], "doc_id long, text string")
+    pieces = pack(docs, RANKS).drop("ids").groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in pieces} == {i: len(ids) + 1 for i, ids in enumerate(library(BYTE, LONG_RUNS))}

@@ -2,8 +2,10 @@
 
 The words of a batch become rows (word, position, token).  A recursive query joins
 neighbouring rows with the merge table and contracts, in every round, each word's leftmost
-pair of least rank; a word without a pair leaves the recursion.  Decoding joins the ids
-with the vocabulary and puts the pieces together by an ordered aggregation.
+pair of least rank; a word without a pair leaves the recursion.  Long words are contracted
+in pieces, and around the cuts again, until every two neighbouring tokens stand as they
+would on their own.  Decoding joins the ids with the vocabulary and puts the pieces together
+by an ordered aggregation.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from tradescope.llm.common import forget, kind, texts, units
 # Words and tokens of one query; both bound a worker's memory.
 WORDS_AT_ONCE = 40_000
 TOKENS_AT_ONCE = 300_000
-# Longer words take the query that contracts several places in a round.
+# Longer words are cut into pieces of so many bytes.
 LONG_WORD = 64
+# Longer pieces, which only odd words need, take the query that contracts several places in a round.
+LONG_PIECE = 512
+# Tokens on either side of a cut that are contracted again, at first.
+AROUND = 6
 
 _RESULT = """
 SELECT word, list(tok ORDER BY pos) AS ids
@@ -107,9 +113,12 @@ class Codec:
         early[left[left > made]] = early[right[right > made]] = True
         self.first = np.array([rank[bytes([b])] for b in range(256)], np.int32)
         self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.token = {r: t for t, r in rank.items()}
         self.units: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.words: dict[bytes, bytes] = {}
+        self.stable: dict[tuple[int, int], bool] = {}
+        # Nothing is spilled to the worker's folder.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         self._table("merges", pair=(left << 32) + right, made=made.astype(np.int32), alone=early[made])
         # A byte as the letter 256 places on, so that pieces are text at any byte.
         pieces = ["".join(chr(256 + b) for b in t) for t in rank]
@@ -120,16 +129,15 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM _given")
         self.db.unregister("_given")
 
-    def _contracted(self, words: list[str], query: str) -> Iterator[tuple[str, bytes]]:
-        encoded = [w.encode() for w in words]
-        size = np.array([len(e) for e in encoded])
+    def _contracted(self, words: list[bytes], query: str) -> Iterator[tuple[bytes, bytes]]:
+        size = np.array([len(w) for w in words])
         word = np.repeat(np.arange(len(words), dtype=np.int32), size)
         begins = np.repeat(np.cumsum(size) - size, size)
         self._table(
             "symbols",
             word=word,
             pos=(np.arange(len(word)) - begins).astype(np.int32),
-            tok=self.first[np.frombuffer(b"".join(encoded), np.uint8)],
+            tok=self.first[np.frombuffer(b"".join(words), np.uint8)],
         )
         got = self.db.sql(query).to_arrow_table()
         ids = got.column("ids").combine_chunks()
@@ -137,22 +145,85 @@ class Codec:
         for place, a, b in zip(got.column("word").to_pylist(), ends[:-1], ends[1:], strict=True):
             yield words[place], flat[a:b].tobytes()
 
+    def _pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        """Packed ids of each piece, contracted as a word of its own."""
+        found = {p: self.words[p] for p in pieces if p in self.words}
+        new = [p for p in pieces if p not in found]
+        short = [p for p in new if len(p) <= LONG_PIECE]
+        begin = 0
+        while begin < len(short):
+            end, size = begin, 0
+            while end < len(short) and end - begin < WORDS_AT_ONCE and size < TOKENS_AT_ONCE:
+                size += len(short[end])
+                end += 1
+            found.update(self._contracted(short[begin:end], ENCODE))
+            begin = end
+        for piece in new:
+            if len(piece) > LONG_PIECE:
+                found.update(self._contracted([piece], ENCODE_LONG))
+        return found
+
+    def _unstable(self, pairs: set[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Neighbouring tokens that do not come out again where their bytes are a word."""
+        forget(self.stable)
+        joined = {p: self.token[p[0]] + self.token[p[1]] for p in pairs if p not in self.stable}
+        got = self._pieces(set(joined.values()))
+        for pair, piece in joined.items():
+            self.stable[pair] = got[piece] == np.array(pair, "<u4").tobytes()
+        return {p for p in pairs if not self.stable[p]}
+
+    def _long(self, word: bytes) -> bytes:
+        """Packed ids of a long word.
+
+        Contraction leaves tokens of which every two neighbours are what their bytes alone give,
+        and no other tokens of the word are like that.  So pieces are contracted on their own,
+        and where two neighbours across a cut are not, what stands around them is contracted
+        again, each time in twice the width: in the end this is the whole word.
+        """
+        pieces = [word[i : i + LONG_WORD] for i in range(0, len(word), LONG_WORD)]
+        got = self._pieces(set(pieces))
+        runs = [np.frombuffer(got[p], "<u4").tolist() for p in pieces]
+        tokens = [t for run in runs for t in run]
+        cuts = np.cumsum([len(run) for run in runs])[:-1].tolist()
+        width = AROUND
+        while cuts:
+            unstable = self._unstable({(tokens[c - 1], tokens[c]) for c in cuts})
+            spans: list[list[int]] = []
+            for c in cuts:
+                if (tokens[c - 1], tokens[c]) in unstable:
+                    begin, end = max(0, c - width), min(len(tokens), c + width)
+                    if spans and begin <= spans[-1][1]:
+                        spans[-1][1] = end
+                    else:
+                        spans.append([begin, end])
+            bodies = [b"".join(map(self.token.__getitem__, tokens[a:b])) for a, b in spans]
+            got = self._pieces(set(bodies))
+            out: list[int] = []
+            cuts, done = [], 0
+            for (a, b), body in zip(spans, bodies, strict=True):
+                out += tokens[done:a]
+                if a:
+                    cuts.append(len(out))
+                out += np.frombuffer(got[body], "<u4").tolist()
+                if b < len(tokens):
+                    cuts.append(len(out))
+                done = b
+            tokens = out + tokens[done:]
+            width *= 2
+        return np.array(tokens, "<u4").tobytes()
+
     def encode(self, strings: list[str]) -> list[bytes]:
         """Ids of each string, packed as little-endian unsigned 32-bit integers."""
         cut = [units(s) for s in strings]
         forget(self.units)
         forget(self.words)
         new = list(set().union(*cut).difference(self.units)) if cut else []
-        split = [self.split(u) for u in new]
-        unknown = list(set().union(*split).difference(self.words)) if split else []
-        short = [w for w in unknown if len(w.encode()) <= LONG_WORD]
-        for i in range(0, len(short), WORDS_AT_ONCE):
-            self.words.update(self._contracted(short[i : i + WORDS_AT_ONCE], ENCODE))
-        for word in unknown:
-            if len(word.encode()) > LONG_WORD:
-                self.words.update(self._contracted([word], ENCODE_LONG))
-        word = self.words.__getitem__
-        self.units.update((u, b"".join(map(word, w))) for u, w in zip(new, split, strict=True))
+        split = [[w.encode() for w in self.split(u)] for u in new]
+        unknown = set().union(*split).difference(self.words) if split else set()
+        self.words.update(self._pieces({w for w in unknown if len(w) <= LONG_WORD}))
+        long = {w: self._long(w) for w in unknown if len(w) > LONG_WORD}
+        words = self.words | long if long else self.words
+        self.units.update((u, b"".join(map(words.__getitem__, w))) for u, w in zip(new, split, strict=True))
         return [b"".join(map(self.units.__getitem__, c)) for c in cut]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:

@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,30 @@ def encoder(path: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encodin
     )
 
 
+_SPLIT = regex.compile(public_tokenizers.PATTERN)
+
+
+def ids_of(encode: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a whole text; its special strings are their ids.
+
+    The library's own splitting gives up on some very long runs; then the text is split here
+    and encoded word by word, with the same ids.
+    """
+    try:
+        return encode.encode(text, allowed_special="all")
+    except ValueError:
+        specials = sorted(encode.special_tokens_set, key=len, reverse=True)
+        marks = regex.split("(" + "|".join(map(regex.escape, specials)) + ")", text) if specials else [text]
+        ids: list[int] = []
+        for part in marks:
+            if part in encode.special_tokens_set:
+                ids.append(encode.encode_single_token(part))
+            else:
+                for word in _SPLIT.findall(part):
+                    ids += encode._encode_single_piece(word.encode())
+        return ids
+
+
 @lru_cache(1)
 def _projection() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature and sign of each token id (by a fixed hash), and the projection matrix."""
@@ -118,7 +143,7 @@ def encoded(
         packing = "<u2" if max(encode.max_token_value, end_id) < 1 << 16 else "<u4"
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
-                rows = [np.array(encode.encode(t, allowed_special="all"), np.uint32) for t in texts(part, text_col)]
+                rows = [np.array(ids_of(encode, t), np.uint32) for t in texts(part, text_col)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(id_col),

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import by, dataset, frame, rows
+from tests.helpers import by, dataset, frame, physical_plan, rows
 from tradescope.dataset import Dataset
 from tradescope.operators import clean, quality
+from tradescope.operators.clean import DIGEST, with_digest
 from tradescope.operators.filters import Filters, filter_sales, by_years, in_years
 from tradescope.plans.fact import sales_fact
 
@@ -119,3 +120,54 @@ def test_empty_selection_keeps_everything_and_lists_combine_with_and(spark):
     assert filter_sales(fact, Filters()).count() == 2
     assert filter_sales(fact, Filters(years=[2021, 2022], stores=["S2"])).count() == 1
     assert filter_sales(fact, Filters(regions=["North"], stores=["S3"])).count() == 0
+
+
+# --- Copies in two phases -------------------------------------------------------------------
+
+
+def test_digests_tell_nulls_columns_and_zeros_apart(spark):
+    schema = "a string, b string, c double, d map<string,int>"
+    rows = [(None, "x", 0.0, {"k": 1, "l": 2}), ("x", None, 0.0, {"l": 2, "k": 1}), ("x", None, -0.0, {"k": 1, "l": 2}), (None, None, float("nan"), None)]
+    marked, keys = with_digest(spark.createDataFrame(rows, schema))
+    prints = [tuple(r[c] for c in DIGEST) for r in marked.collect()]
+    assert prints[1] == prints[2] and len(set(prints)) == 3 and keys == ["a", "b", "c", "_key_0"]
+
+
+def test_different_rows_of_one_digest_both_stay(spark, monkeypatch):
+    """Every digest forced to be the same: only whole rows decide then."""
+    real = clean.with_digest
+
+    def blind(df, json_columns=None):
+        marked, keys = real(df, json_columns)
+        return marked.withColumns({c: F.lit(1).cast("long") for c in DIGEST}), keys
+
+    rows = spark.createDataFrame([(i % 7, "v" if i % 2 else None) for i in range(100)], "a int, b string").repartition(3)
+    want = sorted(map(str, rows.distinct().collect()))
+    plain = quality.profile_table(rows, "t").collect()
+    for module in (clean, quality):
+        monkeypatch.setattr(module, "with_digest", blind)
+    assert sorted(map(str, clean.drop_duplicate_rows(rows).collect())) == want
+    assert quality.profile_table(rows, "t").collect() == plain and plain[0].duplicate_rows_after_cleaning == 86
+
+
+def test_clean_rows_are_not_shuffled(spark, tmp_path):
+    """Without copies the rows come back as they were scanned."""
+    spark.range(1000).selectExpr("id", "repeat('x', 500) AS wide").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    kept = clean.drop_duplicate_rows(rows)
+    assert "Exchange" not in physical_plan(kept) and kept.count() == 1000
+
+
+def test_the_profile_moves_digests_only(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id", "repeat('x', 500) AS wide").write.parquet(f"{tmp_path}/t")
+    staged = []
+    real = quality.stage
+    monkeypatch.setattr(quality, "stage", lambda df, label: staged.append(df) or real(df, label))
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    got = quality.quality_profile(Dataset(spark, {"t": rows, "empty": rows.limit(0)})).collect()
+    assert [tuple(r) for r in got] == [("empty", 0, 2, 0.0, 0), ("t", 1000, 2, 0.0, 0)]
+    exchanged = [line for line in physical_plan(staged[0]).splitlines() if "Exchange" in line]
+    # The table's number, two longs of digest, and the two numbers added up for them.
+    assert exchanged and all("wide" not in line for line in exchanged)
+    aggregates = [line for line in physical_plan(staged[0]).splitlines() if "partial_count" in line and "keys=[_table" in line]
+    assert aggregates and all("wide" not in line for line in aggregates)

@@ -24,14 +24,17 @@ def col(c: Column | str) -> Column:
 def number_or_zero(c: Column | str, dtype: T.DataType = NUMBER) -> Column:
     """Numeric value of ``c``; text that is not a number, and null, count as zero.
 
-    A number that does not fit ``dtype`` is an error, never a zero.
+    A number that does not fit ``dtype`` is an error, never a zero; so is one too small for
+    its digits, unless it is zero.
     """
     value = col(c).try_cast("double")
     no_number = value.isNull() | F.isnan(value)
     too_large = F.raise_error(F.concat(F.lit("number out of range: "), col(c).cast("string")))
     wide = F.coalesce(col(c).try_cast(NUMBER), too_large.cast(NUMBER))
     fitting = F.coalesce(wide.try_cast(dtype), too_large.cast(dtype))
-    return F.when(no_number, F.lit(0).cast(dtype)).otherwise(fitting)
+    vanished = (value != 0) & (fitting == 0)
+    kept = F.when(vanished, too_large.cast(dtype)).otherwise(fitting)
+    return F.when(no_number, F.lit(0).cast(dtype)).otherwise(kept)
 
 
 def numeric(df: DataFrame, name: str, dtype: T.DataType = NUMBER) -> Column:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradescope.dataset import Dataset
 from tradescope.functions.exprs import to_timestamp
+from tradescope.operators.staging import stage
 from tradescope.registry import table_specs
 
+# Columns of a row's digest.
+DIGEST = ("_digest_high", "_digest_low")
+
 
 def standardise_dates(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: to_timestamp(df, c) for c in columns if c in df.columns})
@@ -63,25 +69,44 @@ def _needs_key(df: DataFrame, json_columns: list[str]) -> list[str]:
     return [f.name for f in df.schema if _unordered(f.dataType) or f.name in json_columns]
 
 
-def drop_duplicate_rows(df: DataFrame, json_columns: list[str] | None = None) -> DataFrame:
-    """One of each set of identical rows; nested values compare by content, not key order.
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_digest(df: DataFrame, json_columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """The rows with a 128-bit digest in ``DIGEST``, and the columns to compare rows by.
 
-    Copies are dropped before the shuffle as well as after it, so a row that is repeated
-    without end still reaches one task only once per input partition.
+    Columns that cannot be compared as they are get a grouping form beside them.  Which cells
+    are null is hashed as well, since a hash of several columns passes over nulls.
     """
     json_columns = json_columns or []
-    nested = _needs_key(df, json_columns)
-    if not nested:
-        return df.dropDuplicates()
-    keys = {f"_key_{c}": _duplicate_key(df, c, json_columns) for c in nested}
-    plain = [c for c in df.columns if c not in nested]
-    keyed = df.withColumns(keys)
-    return keyed.dropDuplicates([*plain, *keys]).drop(*keys)
+    forms = {c: f"_key_{i}" for i, c in enumerate(_needs_key(df, json_columns))}
+    marked = df.withColumns({form: _duplicate_key(df, c, json_columns) for c, form in forms.items()})
+    keys = [forms.get(c, c) for c in df.columns]
+    cells = [F.col(_quoted(k)) for k in keys]
+    nulls = F.concat(F.lit(""), *(F.when(c.isNull(), "0").otherwise("1") for c in cells))
+    high, low = DIGEST
+    return marked.withColumns({high: F.xxhash64(nulls, *cells), low: F.xxhash64(*reversed(cells), nulls, F.lit(7))}), keys
 
 
-def row_keys(df: DataFrame, json_columns: list[str] | None = None) -> DataFrame:
-    """The same rows with every column in a form that can be grouped by."""
-    return df.select(*[_duplicate_key(df, c, json_columns or []).alias(c) for c in df.columns])
+def drop_duplicate_rows(df: DataFrame, json_columns: list[str] | None = None) -> DataFrame:
+    """One of each set of identical rows; nested values compare by content, not key order.
+
+    Two phases.  Digests of the rows are counted when this is called: sixteen bytes a row
+    travel, added up before they do.  Then only rows whose digest occurs more than once
+    travel and are compared whole, so different rows of one digest stay.  Their copies are
+    dropped before that shuffle as well as after it, so a row that is repeated without end
+    reaches one task only once per input partition.
+    """
+    marked, keys = with_digest(df, json_columns)
+    digest = list(DIGEST)
+    counted = marked.groupBy(*digest).agg(F.count(F.lit(1)).alias("_times"))
+    repeated = stage(counted.where("_times > 1").select(*digest), "repeated")
+    if repeated.isEmpty():
+        return df
+    alone = marked.join(repeated, digest, "left_anti")
+    copied = marked.join(repeated, digest, "left_semi").dropDuplicates(keys)
+    return alone.unionByName(copied).select(*map(_quoted, df.columns))
 
 
 def clean_table(
@@ -109,4 +134,9 @@ def clean_dataset(
     if dedup not in ("all", "dated", "none"):
         raise ValueError(f"unknown dedup mode: {dedup}")
     nested = json_columns or {}
-    return ds.map(lambda key, df: clean_table(df, key, dedup, nested.get(key)))
+    # Looking for copies reads a table, so each is cleaned when it is first asked for.
+    return Dataset(ds.spark, {key: partial(_cleaned, ds, key, dedup, nested.get(key)) for key in ds})
+
+
+def _cleaned(ds: Dataset, key: str, dedup: str, json_columns: list[str] | None) -> DataFrame:
+    return clean_table(ds[key], key, dedup, json_columns)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradescope.dataset import Dataset
-from tradescope.operators.clean import row_keys
+from tradescope.operators.clean import DIGEST, with_digest
+from tradescope.operators.staging import stage
 from tradescope.registry import table_specs
 
 # Status labels of the required-table check.
@@ -54,35 +55,85 @@ def _null_cells(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, map(missing, df.schema))
 
 
-def profile_table(df: DataFrame, key: str, json_columns: list[str] | None = None) -> DataFrame:
-    """Rows, columns, missing-cell rate and remaining duplicates, in one pass.
+def _digests(number: int, df: DataFrame, json_columns: list[str] | None) -> DataFrame:
+    marked, _ = with_digest(df, json_columns)
+    return marked.select(F.lit(number).alias("_table"), *DIGEST, _null_cells(df).alias("_nulls"))
+
+
+def _whole_rows(folded: DataFrame, number: int, df: DataFrame, json_columns: list[str] | None) -> DataFrame:
+    """Number of different rows among those of a table whose digest occurs more than once."""
+    marked, keys = with_digest(df, json_columns)
+    digest = list(DIGEST)
+    repeated = folded.where((F.col("_table") == number) & F.col(digest[0]).isNotNull()).select(*digest)
+    return (
+        marked.join(repeated, digest, "left_semi")
+        .groupBy(*[F.col(f"`{k}`") for k in keys])
+        .agg(F.lit(1).alias("_one"))
+        .agg(F.count(F.lit(1)).alias("_different"))
+        .select(F.lit(number).alias("_table"), "_different")
+    )
+
+
+def _profiles(tables: list[tuple[str, DataFrame, list[str] | None]]) -> DataFrame:
+    """The profile rows of tables: sixteen bytes of digest a row travel, and whole rows of repeated digests.
 
-    Equal rows are folded into one with a count before the shuffle, so copies of a row do
-    not travel.
+    All tables are counted in one pass, when this is called: digests that occur once fold into
+    one row a table, the others keep theirs.  What shares a digest is then compared whole.
     """
-    folded = row_keys(df, json_columns).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    measured = folded.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum(_null_cells(df) * F.col("_copies")), F.lit(0)).alias("nulls"),
-        F.count(F.lit(1)).alias("distinct_rows"),
+    high, low = DIGEST
+    rows = reduce(DataFrame.union, (_digests(i, df, nested) for i, (_, df, nested) in enumerate(tables)))
+    counted = rows.groupBy("_table", high, low).agg(F.count(F.lit(1)).alias("_times"), F.sum("_nulls").alias("_nulls"))
+    several = F.col("_times") > 1
+    folded = stage(
+        counted.groupBy("_table", F.when(several, F.col(high)).alias(high), F.when(several, F.col(low)).alias(low)).agg(
+            F.sum("_times").alias("_rows"), F.sum("_nulls").alias("_nulls"), F.count(F.lit(1)).alias("_digests")
+        ),
+        "profile",
     )
-    cells = F.greatest(F.col("rows") * F.lit(len(df.columns)), F.lit(1))
+    # At most a row a table.
+    doubtful = {r["_table"] for r in folded.where(F.col(high).isNotNull()).select("_table").distinct().collect()}
+    names = folded.sparkSession.createDataFrame(
+        [(i, key, len(df.columns)) for i, (key, df, _) in enumerate(tables)], "_table int, table_key string, columns long"
+    )
+    once = F.sum(F.when(F.col(high).isNull(), F.col("_digests")))
+    measured = names.join(
+        folded.groupBy("_table").agg(F.sum("_rows").alias("rows"), F.sum("_nulls").alias("nulls"), once.alias("once")), "_table", "left"
+    )
+    if doubtful:
+        whole = _stack([_whole_rows(folded, i, df, nested) for i, (_, df, nested) in enumerate(tables) if i in doubtful])
+        measured = measured.join(whole, "_table", "left")
+    else:
+        measured = measured.withColumn("_different", F.lit(0))
+    zero = F.lit(0)
+    measured = measured.select(
+        "table_key",
+        F.coalesce("rows", zero).alias("rows"),
+        "columns",
+        F.coalesce("nulls", zero).alias("nulls"),
+        (F.coalesce("once", zero) + F.coalesce("_different", zero)).alias("distinct_rows"),
+    )
+    cells = F.greatest(F.col("rows") * F.col("columns"), F.lit(1))
     missing = F.col("nulls").cast("double") / cells * F.lit(100.0)
     return measured.select(
-        F.lit(key).alias("table_key"),
+        "table_key",
         "rows",
-        F.lit(len(df.columns)).cast("long").alias("columns"),
+        "columns",
         # rint rounds the binary value half to even; bround would round its printed form.
         (F.rint(missing * F.lit(100.0)) / F.lit(100.0)).alias("missing_cell_rate_pct"),
         (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows_after_cleaning"),
     )
 
 
+def profile_table(df: DataFrame, key: str, json_columns: list[str] | None = None) -> DataFrame:
+    """Rows, columns, missing-cell rate and remaining duplicates of one table."""
+    return _profiles([(key, df, json_columns)])
+
+
 def quality_profile(ds: Dataset, json_columns: dict[str, list[str]] | None = None) -> DataFrame:
+    """The profile of every table, by table key."""
     nested = json_columns or {}
-    return _stack([profile_table(df, key, nested.get(key)) for key, df in ds.items()]).orderBy(
-        "table_key"
-    )
+    tables = [(key, df, nested.get(key)) for key, df in ds.items()]
+    return _profiles(tables).orderBy("table_key")
 
 
 def date_coverage(df: DataFrame, column: str) -> DataFrame:

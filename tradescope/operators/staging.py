@@ -4,19 +4,36 @@ A staged table cuts the lineage in a way that survives the loss of executors, an
 several later steps scan only the columns they need instead of recomputing a join.
 ``staging`` is the scope of a computation that ends inside it: what is staged there is
 deleted on the way out.
+
+``stage_once`` shares a staged table between calls and applications: its folder is named by
+the canonical plan and by the sizes and times of the files below it, so the same question
+on the same files finds what is there and a changed file does not.  Every reader holds a
+lease, an empty file in that folder; whoever gives back the last one deletes the folder.
 """
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import re
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from uuid import uuid4
 
+from py4j.protocol import Py4JError
+
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 _scope: ContextVar[str] = ContextVar("staging_scope", default="")
+# Settings that change what a plan computes.
+_MEANING = ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.caseSensitive")
+# A lease of an application that never gave it back counts for so long.
+LEASE_HOURS = 48
+# (application, scope) -> shared folder -> the lease held there.
+_leases: dict[tuple[str, str], dict[str, str]] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -44,6 +61,126 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, folder: str):  # noqa: ANN202
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _leaves(plan) -> Iterator:  # noqa: ANN001
+    """Leaf nodes of a logical plan and of the subqueries inside it."""
+    queries = plan.subqueriesAll()
+    for part in (plan, *(queries.apply(i) for i in range(queries.size()))):
+        found = part.collectLeaves()
+        yield from (found.apply(i) for i in range(found.size()))
+
+
+def plan_name(df: DataFrame) -> str | None:
+    """A name for what the frame computes on the files as they are; None where there is no such name.
+
+    It covers the canonical plan with all its literals, the path, size and time of every
+    input file, and the settings that change results.  Frames that read anything else than
+    files, or whose result is not determined by them, have none.
+    """
+    spark = df.sparkSession
+    analysed = df._jdf.queryExecution().analyzed()
+    if not analysed.deterministic():
+        return None
+    digest = hashlib.sha256()
+    for leaf in _leaves(analysed):
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            return None
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        # One text of all file states: path, length and time of modification among others.  Reading
+        # a file moves its time of access, which says nothing.
+        states = re.sub(r"access_time=\d+", "", relation.location().allFiles().toString())
+        digest.update(f"{states}\n{relation.fileFormat().toString()}\n".encode())
+    fields = "spark.sql.debug.maxToStringFields"
+    old = spark.conf.get(fields)
+    spark.conf.set(fields, str(2**31 - 1))
+    try:
+        digest.update(analysed.canonicalized().toString().encode())
+    finally:
+        spark.conf.set(fields, old)
+    # The text leaves out a few details of expressions; their hash does not.
+    digest.update(str(analysed.semanticHash()).encode())
+    digest.update(repr([spark.conf.get(c, None) for c in _MEANING]).encode())
+    return digest.hexdigest()[:40]
+
+
+def _leased(spark: SparkSession, folder: str) -> None:
+    """Take a lease on a shared folder for the current scope, unless it holds one."""
+    held = _leases.setdefault((spark.sparkContext.applicationId, _scope.get()), {})
+    if folder not in held:
+        lease = f"{folder}/leases/{spark.sparkContext.applicationId}-{uuid4().hex}"
+        files, path = _file_system(spark, lease)
+        files.create(path, False).close()
+        held[folder] = lease
+
+
+def _give_back(spark: SparkSession, folder: str, lease: str) -> None:
+    """Delete a lease, and the folder if that was the last one that counts."""
+    _delete(spark, lease)
+    files, leases = _file_system(spark, f"{folder}/leases")
+    oldest = (time.time() - LEASE_HOURS * 3600) * 1000
+    if files.exists(leases) and any(s.getModificationTime() > oldest for s in files.listStatus(leases)):
+        return
+    # A new reader that comes meanwhile finds nothing under the name and starts anew.
+    gone = f"{folder}.gone-{uuid4().hex}"
+    if files.rename(_file_system(spark, folder)[1], _file_system(spark, gone)[1]):
+        _delete(spark, gone)
+
+
+def _end_leases(spark: SparkSession, scope: str) -> None:
+    for folder, lease in _leases.pop((spark.sparkContext.applicationId, scope), {}).items():
+        _give_back(spark, folder, lease)
+
+
+def stage_once(df: DataFrame, label: str) -> DataFrame:
+    """``stage``, but what has been staged for the same plan on the same files is read again.
+
+    The table lives as long as someone holds a lease: the current ``staging`` scope, or the
+    application where there is none (until ``drop_staged`` or its end).  Frames without a
+    ``plan_name`` are staged as usual.
+    """
+    spark = df.sparkSession
+    name = plan_name(df)
+    if name is None:
+        return stage(df, label)
+    folder = f"{stage_root(spark)}/tradescope/shared/{label}-{name}"
+    _leased(spark, folder)
+    _ending(spark)
+    files, data = _file_system(spark, f"{folder}/data")
+    if not files.exists(data):
+        own = f"{folder}/writing-{uuid4().hex}"
+        df.write.parquet(own)
+        # The rename is what makes it whole; another writer may have been faster.
+        if files.exists(data) or not files.rename(_file_system(spark, own)[1], data):
+            _delete(spark, own)
+    return spark.read.schema(df.schema).parquet(f"{folder}/data")
+
+
+_ends: set[str] = set()
+
+
+def _ending(spark: SparkSession) -> None:
+    """Give leases back when the interpreter ends, if the session still lives then."""
+
+    def end() -> None:
+        try:
+            for application, scope in list(_leases):
+                if application == spark.sparkContext.applicationId:
+                    _end_leases(spark, scope)
+        except (Py4JError, OSError, AttributeError):
+            # The session has been stopped: its leases run out by their age.
+            _leases.clear()
+
+    if spark.sparkContext.applicationId not in _ends:
+        _ends.add(spark.sparkContext.applicationId)
+        atexit.register(end)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Delete what is staged inside on leaving, also after an error.
@@ -55,10 +192,17 @@ def staging(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
+        _end_leases(spark, _scope.get())
         _delete(spark, _application_folder(spark) + _scope.get())
         _scope.reset(token)
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Delete everything this application has staged; frames built on it become unreadable."""
+    """Delete everything this application has staged; frames built on it become unreadable.
+
+    Shared tables go once no other application holds a lease on them.
+    """
+    for application, scope in list(_leases):
+        if application == spark.sparkContext.applicationId:
+            _end_leases(spark, scope)
     _delete(spark, _application_folder(spark))

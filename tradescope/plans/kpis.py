@@ -115,15 +115,20 @@ def _spend_by_month(ds: Dataset) -> DataFrame:
 
 
 def blended_acquisition_cost(ds: Dataset) -> DataFrame:
-    """Marketing spend per customer whose first valid order falls into the month."""
+    """Marketing spend per customer whose first valid order falls into the month.
+
+    Months without spend stay, with a cost of zero per customer.
+    """
     won = _first_orders(ds).where(F.col("first_date").isNotNull())
     won = won.groupBy(month_start("first_date").alias("month")).agg(F.count(F.lit(1)).alias("new_customers"))
     spend = _spend_by_month(ds).select("month", "marketing_spend")
-    return spend.join(won, "month", "left").select(
+    both = spend.join(won, "month", "full_outer").select(
         "month",
-        "marketing_spend",
+        F.coalesce("marketing_spend", F.lit(0.0)).alias("marketing_spend"),
         F.coalesce("new_customers", F.lit(0)).alias("new_customers"),
-        ratio(F.col("marketing_spend"), F.col("new_customers")).alias("cost_per_new_customer"),
+    )
+    return both.withColumn(
+        "cost_per_new_customer", ratio(F.col("marketing_spend"), F.col("new_customers"))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradescope.dataset import Dataset
 from tradescope.functions.text import currency, grouped, percent_text
 from tradescope.operators.filters import Filters, filter_sales
-from tradescope.operators.staging import stage, staging
+from tradescope.operators.staging import stage, stage_once, staging
 from tradescope.plans.cross import cross_functional_results
 from tradescope.plans.fact import sales_fact
 from tradescope.plans.finance import finance_results
@@ -109,7 +109,7 @@ def export_report(
     """
     chosen = filters or Filters()
     with staging(ds.spark):
-        fact = stage(filter_sales(sales_fact(ds), chosen), "sales_fact")
+        fact = stage_once(filter_sales(sales_fact(ds), chosen), "sales_fact")
         if fact.isEmpty():
             raise ValueError("no valid sales in the chosen scope: there is nothing to report")
         report = build_report(ds, fact, chosen, title)

@@ -17,7 +17,7 @@ from tradescope.functions.exprs import (
 )
 from tradescope.operators.filters import valid_orders
 from tradescope.operators.ranking import position_in_group
-from tradescope.operators.staging import stage
+from tradescope.operators.staging import stage_once
 
 # Segment names.
 CHAMPIONS, LOYAL, AT_RISK = "Champions", "Loyal", "At-Risk Valuable"
@@ -85,7 +85,7 @@ def rfm_segments(fact: DataFrame, slots: int | None = None, by_monetary: bool =
     The per-customer values are staged, because they are read three times and cost the
     fact's shuffle.  A customer without an order date gets no recency score.
     """
-    values = stage(customer_values(fact), "customers")
+    values = stage_once(customer_values(fact), "customers")
     known = F.col("cust_id").isNotNull()
     # One row for everything the customers are measured against.  Orders without a customer
     # still move the reference date.
@@ -152,7 +152,7 @@ def rfm_base(ds: Dataset) -> DataFrame:
     """The SQL report's customer table: every group counts, the null customer too."""
     orders = valid_orders(ds.table("orders")).select("order_id", "cust_id", "order_date")
     items = ds.table("order_items").select("order_id", "net_amount")
-    values = stage(customer_values(items.join(orders, "order_id")), "customers")
+    values = stage_once(customer_values(items.join(orders, "order_id")), "customers")
     latest = values.agg(F.max("last_order").alias("latest")).select("latest").scalar()
     return values.select(
         "cust_id",

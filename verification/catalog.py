@@ -14,7 +14,7 @@ from tradescope.functions.exprs import number_or_zero
 from tradescope.functions.text import currency, html_escape, percent_text
 from tradescope.operators import clean, filters, quality, ranking
 from tradescope.operators.filters import Filters
-from tradescope.operators.staging import stage
+from tradescope.operators.staging import stage, stage_once
 from tradescope.plans import cross, fact, finance, hr, insights, kpis, marketing, operations, report, rfm, sales
 from tradescope.session import prepare
 from tradescope.sources.sinks import html_lines
@@ -66,7 +66,7 @@ def _staged_fact(ds: Dataset) -> DataFrame:
     """The fact columns the text results read, written once."""
     columns = "order_id cust_id order_date month prod_id product_name category_name region_name"
     measures = "quantity net_amount cost profit"
-    return stage(fact.sales_fact(ds).select(*columns.split(), *measures.split()), "sales_fact")
+    return stage_once(fact.sales_fact(ds).select(*columns.split(), *measures.split()), "sales_fact")
 
 
 # --- Fact, dimension and filters -----------------------------------------------------------

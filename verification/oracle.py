@@ -492,8 +492,9 @@ def _indicators() -> dict[str, str]:
             {_pct("COUNT(w.cust_id)", "COUNT(*)")} AS conversion_pct
             FROM (SELECT DISTINCT customer_id FROM views WHERE customer_id IS NOT NULL) v
             LEFT JOIN won w ON w.cust_id = v.customer_id""", won=_FIRST),
-        "blended_acquisition_cost": _sql("ads valid", f"""SELECT s.month, marketing_spend, COALESCE(n, 0) AS new_customers,
-            {_div("marketing_spend", "n")} AS cost_per_new_customer FROM spent s LEFT JOIN (
+        "blended_acquisition_cost": _sql("ads valid", f"""SELECT COALESCE(s.month, w.month) AS month, COALESCE(marketing_spend, 0.0::DOUBLE) AS marketing_spend,
+            COALESCE(n, 0) AS new_customers,
+            {_div("COALESCE(marketing_spend, 0.0::DOUBLE)", "n")} AS cost_per_new_customer FROM spent s FULL JOIN (
             SELECT {_MONTH.format("first_date")} AS month, COUNT(*) AS n FROM won WHERE first_date IS NOT NULL GROUP BY 1) w
             ON w.month = s.month""", spent=_SPEND_CAMPAIGNS, won=_FIRST),
         "campaign_period_trend": _sql("ads fact", """SELECT s.*, revenue FROM spent s LEFT JOIN sold_months m ON m.month = s.month""",

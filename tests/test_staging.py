@@ -2,7 +2,10 @@
 
 import os
 import shutil
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from tradescope.operators.staging import drop_staged, plan_name, stage_once, sta
 from verification import catalog
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[1]
 
 
 @pytest.fixture
@@ -21,8 +25,11 @@ def folder(spark, tmp_path):
 
 
 def shared(spark, label):
+    """Shared folders of a label that this application holds a lease on."""
     root = f"{stage_root(spark)}/tradescope/shared".removeprefix("file:")
-    return sorted(n for n in (os.listdir(root) if os.path.isdir(root) else []) if n.startswith(label + "-"))
+    held = (n for n in (os.listdir(root) if os.path.isdir(root) else []) if n.startswith(label + "-"))
+    own = spark.sparkContext.applicationId
+    return sorted(n for n in held if any(f.startswith(own) for f in os.listdir(f"{root}/{n}/leases")))
 
 
 def counted(spark, folder, k=3):
@@ -87,19 +94,36 @@ def test_old_leases_do_not_count(spark, folder, monkeypatch):
         left = f"{stage_root(spark)}/tradescope/shared/{one}/leases/gone-application".removeprefix("file:")
         open(left, "w").close()
         os.utime(left, (1, 1))
-    assert shared(spark, "dead") == []
+    assert not os.path.exists(os.path.dirname(os.path.dirname(left)))
 
 
-def test_a_second_insights_stages_no_fact(spark, monkeypatch):
+@pytest.mark.parametrize("last", ["", "spark.stop()"])
+def test_leases_end_with_the_interpreter(folder, tmp_path, last):
+    program = f"""
+from pyspark.sql import SparkSession
+from tradescope.operators.staging import stage_once
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config(
+    "spark.checkpoint.dir", "{tmp_path}/staged").getOrCreate()
+stage_once(spark.read.parquet("{folder}").where("k = 1"), "short")
+import os
+print(os.listdir("{tmp_path}/staged/tradescope/shared"))
+{last}
+"""
+    said = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=120, cwd=ROOT)
+    assert "short-" in said.stdout, said.stderr[-2000:]
+    assert os.listdir(f"{tmp_path}/staged/tradescope/shared") == []
+
+
+def test_a_second_insights_joins_no_fact(spark, monkeypatch):
     drop_staged(spark)
     first = catalog.queries()["insights"](spark, SF).collect()
-    facts, customers = shared(spark, "sales_fact"), shared(spark, "customers")
+    facts, customers = shared(spark, "sales_rollup"), shared(spark, "customers")
     assert len(facts) == len(customers) == 1
     writes = []
-    real = st._file_system
-    monkeypatch.setattr(st, "_file_system", lambda spark, folder: writes.append(folder) or real(spark, folder))
+    real = st._Store.at
+    monkeypatch.setattr(st._Store, "at", lambda self, folder: writes.append(folder) or real(self, folder))
     assert catalog.queries()["insights"](spark, SF).collect() == first
-    assert not [w for w in writes if "/writing-" in w] and shared(spark, "sales_fact") == facts
+    assert not [w for w in writes if "/writing-" in w] and shared(spark, "sales_rollup") == facts
     assert catalog.queries()["report_lines"](spark, SF).count() > 8
-    assert shared(spark, "sales_fact") == facts
+    assert shared(spark, "sales_rollup") == facts
     drop_staged(spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,20 +73,30 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def digest_columns(df: DataFrame, json_columns: list[str] | None = None) -> list[Column]:
+    """The 128-bit digest of a row, as the columns ``DIGEST``.
+
+    It is taken over the grouping forms of the cells.  Which cells are null is hashed as well,
+    since a hash of several columns passes over nulls.
+    """
+    cells = [_duplicate_key(df, c, json_columns or []) for c in df.columns]
+    empty = [F.col(_quoted(c)).isNull().cast("long") for c in df.columns]
+    nulls = [
+        reduce(lambda bits, cell: bits * 2 + cell, empty[i : i + 60], F.lit(0).cast("long")) for i in range(0, len(empty), 60)
+    ]
+    hashes = (F.xxhash64(*nulls, *cells), F.xxhash64(*reversed(cells), *nulls, F.lit(7)))
+    return [h.alias(c) for h, c in zip(hashes, DIGEST, strict=True)]
+
+
 def with_digest(df: DataFrame, json_columns: list[str] | None = None) -> tuple[DataFrame, list[str]]:
-    """The rows with a 128-bit digest in ``DIGEST``, and the columns to compare rows by.
+    """The rows with their digest, and the columns to compare rows by.
 
-    Columns that cannot be compared as they are get a grouping form beside them.  Which cells
-    are null is hashed as well, since a hash of several columns passes over nulls.
+    Columns that cannot be compared as they are get a grouping form beside them.
     """
-    json_columns = json_columns or []
-    forms = {c: f"_key_{i}" for i, c in enumerate(_needs_key(df, json_columns))}
-    marked = df.withColumns({form: _duplicate_key(df, c, json_columns) for c, form in forms.items()})
-    keys = [forms.get(c, c) for c in df.columns]
-    cells = [F.col(_quoted(k)) for k in keys]
-    nulls = F.concat(F.lit(""), *(F.when(c.isNull(), "0").otherwise("1") for c in cells))
-    high, low = DIGEST
-    return marked.withColumns({high: F.xxhash64(nulls, *cells), low: F.xxhash64(*reversed(cells), nulls, F.lit(7))}), keys
+    forms = {c: f"_key_{i}" for i, c in enumerate(_needs_key(df, json_columns or []))}
+    added = [_duplicate_key(df, c, json_columns or []).alias(form) for c, form in forms.items()]
+    marked = df.select("*", *added, *digest_columns(df, json_columns))
+    return marked, [forms.get(c, c) for c in df.columns]
 
 
 def drop_duplicate_rows(df: DataFrame, json_columns: list[str] | None = None) -> DataFrame:
@@ -96,14 +106,24 @@ def drop_duplicate_rows(df: DataFrame, json_columns: list[str] | None = None) ->
     travel, added up before they do.  Then only rows whose digest occurs more than once
     travel and are compared whole, so different rows of one digest stay.  Their copies are
     dropped before that shuffle as well as after it, so a row that is repeated without end
-    reaches one task only once per input partition.
+    reaches one task only once per input partition.  Where most digests occur more than once,
+    all rows are compared whole at once, with the same result.
     """
     marked, keys = with_digest(df, json_columns)
     digest = list(DIGEST)
-    counted = marked.groupBy(*digest).agg(F.count(F.lit(1)).alias("_times"))
-    repeated = stage(counted.where("_times > 1").select(*digest), "repeated")
-    if repeated.isEmpty():
+    counted = df.select(*digest_columns(df, json_columns)).groupBy(*digest).agg(F.count(F.lit(1)).alias("_times"))
+    several = F.col("_times") > 1
+    # Digests that occur once become one row.
+    either = [F.when(several, F.col(c)).alias(c) for c in digest]
+    folded = stage(counted.groupBy(*either).agg(F.count(F.lit(1)).alias("_digests")), "repeated")
+    known = F.col(digest[0]).isNotNull()
+    sizes = folded.groupBy(known.alias("repeated")).agg(F.sum("_digests").alias("n")).collect()
+    many, once = (sum(r.n for r in sizes if r.repeated is kind) for kind in (True, False))
+    if not many:
         return df
+    if many > once:
+        return marked.dropDuplicates(keys).select(*map(_quoted, df.columns))
+    repeated = folded.where(known).select(*digest)
     alone = marked.join(repeated, digest, "left_anti")
     copied = marked.join(repeated, digest, "left_semi").dropDuplicates(keys)
     return alone.unionByName(copied).select(*map(_quoted, df.columns))

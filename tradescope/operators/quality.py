@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradescope.dataset import Dataset
-from tradescope.operators.clean import DIGEST, with_digest
+from tradescope.operators.clean import DIGEST, digest_columns, with_digest
 from tradescope.operators.staging import stage
 from tradescope.registry import table_specs
 
@@ -56,8 +56,9 @@ def _null_cells(df: DataFrame) -> Column:
 
 
 def _digests(number: int, df: DataFrame, json_columns: list[str] | None) -> DataFrame:
-    marked, _ = with_digest(df, json_columns)
-    return marked.select(F.lit(number).alias("_table"), *DIGEST, _null_cells(df).alias("_nulls"))
+    return df.select(
+        F.lit(number).alias("_table"), *digest_columns(df, json_columns), _null_cells(df).alias("_nulls")
+    )
 
 
 def _whole_rows(folded: DataFrame, number: int, df: DataFrame, json_columns: list[str] | None) -> DataFrame:

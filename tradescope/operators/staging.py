@@ -20,6 +20,7 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from dataclasses import dataclass
 from uuid import uuid4
 
 from py4j.protocol import Py4JError
@@ -48,9 +49,29 @@ def _application_folder(spark: SparkSession) -> str:
     return f"{stage_root(spark)}/tradescope/{spark.sparkContext.applicationId}"
 
 
+@dataclass(frozen=True)
+class _Store:
+    """The file systems of a session; they outlive it."""
+
+    jvm: object
+    conf: object
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> _Store:
+        return cls(spark._jvm, spark._jsc.hadoopConfiguration())
+
+    def at(self, folder: str) -> tuple:
+        """The file system of a path, and the path."""
+        path = self.jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.conf), path
+
+    def delete(self, folder: str) -> None:
+        files, path = self.at(folder)
+        files.delete(path, True)
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _Store.of(spark).delete(folder)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -61,11 +82,6 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, folder: str):  # noqa: ANN202
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
 def _leaves(plan) -> Iterator:  # noqa: ANN001
     """Leaf nodes of a logical plan and of the subqueries inside it."""
     queries = plan.subqueriesAll()
@@ -114,27 +130,27 @@ def _leased(spark: SparkSession, folder: str) -> None:
     held = _leases.setdefault((spark.sparkContext.applicationId, _scope.get()), {})
     if folder not in held:
         lease = f"{folder}/leases/{spark.sparkContext.applicationId}-{uuid4().hex}"
-        files, path = _file_system(spark, lease)
+        files, path = _Store.of(spark).at(lease)
         files.create(path, False).close()
         held[folder] = lease
 
 
-def _give_back(spark: SparkSession, folder: str, lease: str) -> None:
+def _give_back(store: _Store, folder: str, lease: str) -> None:
     """Delete a lease, and the folder if that was the last one that counts."""
-    _delete(spark, lease)
-    files, leases = _file_system(spark, f"{folder}/leases")
+    store.delete(lease)
+    files, leases = store.at(f"{folder}/leases")
     oldest = (time.time() - LEASE_HOURS * 3600) * 1000
     if files.exists(leases) and any(s.getModificationTime() > oldest for s in files.listStatus(leases)):
         return
     # A new reader that comes meanwhile finds nothing under the name and starts anew.
     gone = f"{folder}.gone-{uuid4().hex}"
-    if files.rename(_file_system(spark, folder)[1], _file_system(spark, gone)[1]):
-        _delete(spark, gone)
+    if files.rename(store.at(folder)[1], store.at(gone)[1]):
+        store.delete(gone)
 
 
-def _end_leases(spark: SparkSession, scope: str) -> None:
-    for folder, lease in _leases.pop((spark.sparkContext.applicationId, scope), {}).items():
-        _give_back(spark, folder, lease)
+def _end_leases(store: _Store, application: str, scope: str) -> None:
+    for folder, lease in _leases.pop((application, scope), {}).items():
+        _give_back(store, folder, lease)
 
 
 def stage_once(df: DataFrame, label: str) -> DataFrame:
@@ -151,13 +167,14 @@ def stage_once(df: DataFrame, label: str) -> DataFrame:
     folder = f"{stage_root(spark)}/tradescope/shared/{label}-{name}"
     _leased(spark, folder)
     _ending(spark)
-    files, data = _file_system(spark, f"{folder}/data")
+    store = _Store.of(spark)
+    files, data = store.at(f"{folder}/data")
     if not files.exists(data):
         own = f"{folder}/writing-{uuid4().hex}"
         df.write.parquet(own)
         # The rename is what makes it whole; another writer may have been faster.
-        if files.exists(data) or not files.rename(_file_system(spark, own)[1], data):
-            _delete(spark, own)
+        if files.exists(data) or not files.rename(store.at(own)[1], data):
+            store.delete(own)
     return spark.read.schema(df.schema).parquet(f"{folder}/data")
 
 
@@ -165,20 +182,23 @@ _ends: set[str] = set()
 
 
 def _ending(spark: SparkSession) -> None:
-    """Give leases back when the interpreter ends, if the session still lives then."""
+    """Give the application's leases back when the interpreter ends, even if its session was stopped."""
+    application = spark.sparkContext.applicationId
+    if application in _ends:
+        return
+    _ends.add(application)
+    store = _Store.of(spark)
 
     def end() -> None:
         try:
-            for application, scope in list(_leases):
-                if application == spark.sparkContext.applicationId:
-                    _end_leases(spark, scope)
-        except (Py4JError, OSError, AttributeError):
-            # The session has been stopped: its leases run out by their age.
+            for held_by, scope in list(_leases):
+                if held_by == application:
+                    _end_leases(store, application, scope)
+        except (Py4JError, OSError):
+            # The JVM is gone: its leases run out by their age.
             _leases.clear()
 
-    if spark.sparkContext.applicationId not in _ends:
-        _ends.add(spark.sparkContext.applicationId)
-        atexit.register(end)
+    atexit.register(end)
 
 
 @contextmanager
@@ -192,7 +212,7 @@ def staging(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _end_leases(spark, _scope.get())
+        _end_leases(_Store.of(spark), spark.sparkContext.applicationId, _scope.get())
         _delete(spark, _application_folder(spark) + _scope.get())
         _scope.reset(token)
 
@@ -204,5 +224,5 @@ def drop_staged(spark: SparkSession) -> None:
     """
     for application, scope in list(_leases):
         if application == spark.sparkContext.applicationId:
-            _end_leases(spark, scope)
+            _end_leases(_Store.of(spark), application, scope)
     _delete(spark, _application_folder(spark))

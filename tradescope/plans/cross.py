@@ -48,7 +48,10 @@ def cross_functional_results(
     fact: DataFrame,
     years: Sequence[int] | None = None,
     platforms: Sequence[str] | None = None,
+    categories: DataFrame | None = None,
 ) -> Results:
+    """The four results; ``categories`` stands for the fact in the one by category, if given."""
+    by_category = fact if categories is None else categories
     spend = ad_spend(ds, years, platforms) if "ads_spend" in ds else None
     results = {
         "marketing_sales_profit": lambda: spend_sales_trend(fact, spend),
@@ -57,8 +60,8 @@ def cross_functional_results(
     staffed = all(key in ds for key in ("store_employees", "stores", "region"))
     if staffed and "region_name" in fact.columns:
         results["region_sales_staff"] = lambda: region_sales_staff(ds, fact)
-    if "inventory" in ds and "category_name" in fact.columns:
-        results["category_margin_inventory"] = lambda: category_margin_inventory(ds, fact)
+    if "inventory" in ds and "category_name" in by_category.columns:
+        results["category_margin_inventory"] = lambda: category_margin_inventory(ds, by_category)
     return Results(results)
 
 

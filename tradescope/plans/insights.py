@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tradescope.dataset import Dataset
 from tradescope.functions.text import RUPEE, fixed, grouped
-from tradescope.plans.cross import cross_functional_results
 from tradescope.plans.finance import expense_categories, expenses_in_scope
 from tradescope.plans.hr import headcount
 from tradescope.plans.marketing import ad_spend, platform_spend
 from tradescope.plans.operations import production_quality
 from tradescope.plans.rfm import AT_RISK, rfm_segments
+from tradescope.plans.rollup import SalesRollup, sales_rollup
 from tradescope.plans.sales import (
     category_contribution,
     executive_kpis,
@@ -102,53 +102,54 @@ def _executive(fact: DataFrame) -> DataFrame:
 
 def build_insights(
     ds: Dataset,
-    fact: DataFrame,
+    fact: DataFrame | SalesRollup,
     years: Sequence[int] | None = None,
     platforms: Sequence[str] | None = None,
     rfm: DataFrame | None = None,
+    groups: Sequence[str] = GROUPS,
 ) -> DataFrame:
-    """(group_no, group, seq, rule_id, message) over all business areas.
+    """(group_no, group, seq, rule_id, message) over all business areas, or only some ``groups``.
 
-    Several rules read the fact; pass a staged one.
+    The fact is rolled up once; what no wanted group needs is not built.
     """
-    rows = [_executive(fact)]
-    if "product_name" in fact.columns:
-        top = _leader(product_contribution(fact), "revenue")
+    sold = fact if isinstance(fact, SalesRollup) else sales_rollup(fact)
+    rows = []
+    if "Executive" in groups:
+        rows.append(_executive(sold.orders))
+    if "Sales & Customer" in groups:
+        if sold.products is not None:
+            top = _leader(product_contribution(sold.products), "revenue")
+            rows.append(
+                _row(top, "Sales & Customer", 1, "top_product", _sentence(TOP_PRODUCT, name=F.col("name")))
+            )
+        risky = _at_risk(rfm if rfm is not None else rfm_segments(sold.orders))
         rows.append(
-            _row(top, "Sales & Customer", 1, "top_product", _sentence(TOP_PRODUCT, name=F.col("name")))
+            _row(risky, "Sales & Customer", 2, "at_risk", _sentence(AT_RISK_COUNT, count=grouped("n")))
         )
-    risky = _at_risk(rfm if rfm is not None else rfm_segments(fact))
-    rows.append(
-        _row(risky, "Sales & Customer", 2, "at_risk", _sentence(AT_RISK_COUNT, count=grouped("n")))
-    )
     named = []
-    if "ads_spend" in ds:
+    if "ads_spend" in ds and "Marketing" in groups:
         platform = platform_spend(ad_spend(ds, years, platforms))
         named.append((platform, "spend", "Marketing", "top_platform", TOP_PLATFORM))
-    if "finance_expenses" in ds:
+    if "finance_expenses" in ds and "Finance" in groups:
         expense = expense_categories(ds, expenses_in_scope(ds, years))
         named.append((expense, "expense", "Finance", "top_expense", TOP_EXPENSE))
-    if "store_employees" in ds:
+    if "store_employees" in ds and "HR" in groups:
         named.append((headcount(ds), "headcount", "HR", "top_department", TOP_DEPARTMENT))
-    if "work_orders" in ds:
+    if "work_orders" in ds and "Operations & Logistics" in groups:
         lines = production_quality(ds, years)
         named.append(
             (lines, "rejection_rate_pct", "Operations & Logistics", "worst_line", WORST_LINE)
         )
     for df, measure, group, rule, template in named:
         rows.append(_row(_leader(df, measure), group, 1, rule, _sentence(template, name=F.col("name"))))
-    # Both sentences only ask whether their result has a row, that is, its key in the fact.
-    cross = cross_functional_results(ds, fact, years, platforms)
-    for seq, (key, column, sentence) in enumerate(
-        [
-            ("marketing_sales_profit", "month", SPEND_REVIEW),
-            ("category_margin_inventory", "category_name", CAPITAL_REVIEW),
-        ],
-        1,
-    ):
-        if key in cross:
-            any_row = fact.where(F.col(column).isNotNull()).limit(1)
-            rows.append(_row(any_row, "Cross-Functional", seq, key, F.lit(sentence)))
+    if "Cross-Functional" in groups:
+        # Both sentences only ask whether their result has a row, that is, its key in the fact.
+        asked = [("marketing_sales_profit", sold.orders, "month", SPEND_REVIEW)]
+        if sold.categories is not None and "inventory" in ds:
+            asked.append(("category_margin_inventory", sold.categories, "category_name", CAPITAL_REVIEW))
+        for seq, (rule, part, column, sentence) in enumerate(asked, 1):
+            any_row = part.where(F.col(column).isNotNull()).limit(1)
+            rows.append(_row(any_row, "Cross-Functional", seq, rule, F.lit(sentence)))
     return _stack(rows).orderBy("group_no", "seq")
 
 
@@ -158,9 +159,10 @@ def priorities(insights: DataFrame) -> DataFrame:
 
 
 def fact_insights(fact: DataFrame, rfm: DataFrame | None = None) -> DataFrame:
-    """(seq, message) from the sales fact alone."""
-    state = executive_kpis(fact).select(
-        "margin_pct", fact.agg(F.count(F.lit(1)).alias("n")).select("n").scalar().alias("n")
+    """(seq, message) from the sales fact alone, which is rolled up once."""
+    sold = sales_rollup(fact)
+    state = executive_kpis(sold.orders).select(
+        "margin_pct", sold.orders.agg(F.count(F.lit(1)).alias("n")).select("n").scalar().alias("n")
     )
     first = state.select(
         F.lit(1).alias("seq"),
@@ -170,14 +172,14 @@ def fact_insights(fact: DataFrame, rfm: DataFrame | None = None) -> DataFrame:
         .alias("message"),
     )
     rows = [first]
-    if "category_name" in fact.columns:
-        weakest = _leader(category_contribution(fact), "margin_pct", descending=False)
+    if sold.categories is not None:
+        weakest = _leader(category_contribution(sold.categories), "margin_pct", descending=False)
         rows.append(
             weakest.select(
                 F.lit(2).alias("seq"), _sentence(WEAK_CATEGORY, name=F.col("name")).alias("message")
             )
         )
-    risky = _at_risk(rfm if rfm is not None else rfm_segments(fact)).where(F.col("n") > 0)
+    risky = _at_risk(rfm if rfm is not None else rfm_segments(sold.orders)).where(F.col("n") > 0)
     rows.append(
         risky.select(
             F.lit(3).alias("seq"), _sentence(AT_RISK_REVIEW, count=F.col("n")).alias("message")

@@ -1,4 +1,4 @@
-"""The management report: seven frames and the text, built on one staged fact."""
+"""The management report: seven frames and the text, built on one roll-up of the fact."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradescope.dataset import Dataset
 from tradescope.functions.text import currency, grouped, percent_text
 from tradescope.operators.filters import Filters, filter_sales
-from tradescope.operators.staging import stage, stage_once, staging
+from tradescope.operators.staging import stage, staging
 from tradescope.plans.cross import cross_functional_results
 from tradescope.plans.fact import sales_fact
 from tradescope.plans.finance import finance_results
@@ -18,6 +18,7 @@ from tradescope.plans.hr import headcount
 from tradescope.plans.insights import GROUPS, build_insights
 from tradescope.plans.marketing import ad_spend, platform_spend
 from tradescope.plans.operations import inventory_risk
+from tradescope.plans.rollup import SalesRollup, sales_rollup
 from tradescope.plans.sales import executive_kpis, monthly_sales, product_contribution
 from tradescope.sources.sinks import write_frames, write_html, write_text
 
@@ -75,17 +76,19 @@ def report_lines(kpis: DataFrame, insights: DataFrame, title: str) -> DataFrame:
 
 
 def build_report(
-    ds: Dataset, fact: DataFrame, filters: Filters, title: str = "Management Report"
+    ds: Dataset, fact: DataFrame | SalesRollup, filters: Filters, title: str = "Management Report"
 ) -> Report:
-    """Report over a filtered fact; pass a staged fact, most parts read it."""
-    kpis = executive_kpis(fact)
-    insights = build_insights(ds, fact, filters.years, filters.platforms)
+    """Report over a filtered fact, which is rolled up once for all parts."""
+    sold = fact if isinstance(fact, SalesRollup) else sales_rollup(fact)
+    kpis = executive_kpis(sold.orders)
+    insights = build_insights(ds, sold, filters.years, filters.platforms)
     frames = {
-        "Executive_Monthly_KPI": monthly_sales(fact),
-        "Sales_Product": product_contribution(fact),
-        "Finance_PnL": finance_results(ds, fact, filters.years)["pnl"],
+        "Executive_Monthly_KPI": monthly_sales(sold.orders),
+        "Finance_PnL": finance_results(ds, sold.orders, filters.years)["pnl"],
     }
-    cross = cross_functional_results(ds, fact, filters.years, filters.platforms)
+    if sold.products is not None:
+        frames["Sales_Product"] = product_contribution(sold.products)
+    cross = cross_functional_results(ds, sold.orders, filters.years, filters.platforms, sold.categories)
     for key in ("region_sales_staff", "category_margin_inventory", "marketing_sales_profit"):
         if key in cross and "Cross_Functional" not in frames:
             frames["Cross_Functional"] = cross[key]
@@ -102,17 +105,17 @@ def build_report(
 def export_report(
     ds: Dataset, root: str, filters: Filters | None = None, title: str = "Management Report"
 ) -> Report:
-    """Stage the filtered fact once, write frames, text and HTML under ``root``, and clean up.
+    """Roll the filtered fact up once, write frames, text and HTML under ``root``, and clean up.
 
     The report returned reads the frames and lines that were written.  Without any valid
     sale there is nothing to report on, which is an error.
     """
     chosen = filters or Filters()
     with staging(ds.spark):
-        fact = stage_once(filter_sales(sales_fact(ds), chosen), "sales_fact")
-        if fact.isEmpty():
+        sold = sales_rollup(filter_sales(sales_fact(ds), chosen))
+        if sold.orders.isEmpty():
             raise ValueError("no valid sales in the chosen scope: there is nothing to report")
-        report = build_report(ds, fact, chosen, title)
+        report = build_report(ds, sold, chosen, title)
         lines = stage(report.lines, "report_lines")
         write_frames(report.frames, f"{root}/frames")
         lines.write.mode("overwrite").parquet(f"{root}/lines")

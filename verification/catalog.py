@@ -14,7 +14,7 @@ from tradescope.functions.exprs import number_or_zero
 from tradescope.functions.text import currency, html_escape, percent_text
 from tradescope.operators import clean, filters, quality, ranking
 from tradescope.operators.filters import Filters
-from tradescope.operators.staging import stage, stage_once
+from tradescope.operators.staging import stage
 from tradescope.plans import cross, fact, finance, hr, insights, kpis, marketing, operations, report, rfm, sales
 from tradescope.session import prepare
 from tradescope.sources.sinks import html_lines
@@ -62,11 +62,11 @@ def _category_fact(ds: Dataset) -> DataFrame:
     return _fact(ds, "category")
 
 
-def _staged_fact(ds: Dataset) -> DataFrame:
-    """The fact columns the text results read, written once."""
+def _narrow_fact(ds: Dataset) -> DataFrame:
+    """The fact columns the text results read."""
     columns = "order_id cust_id order_date month prod_id product_name category_name region_name"
     measures = "quantity net_amount cost profit"
-    return stage_once(fact.sales_fact(ds).select(*columns.split(), *measures.split()), "sales_fact")
+    return fact.sales_fact(ds).select(*columns.split(), *measures.split())
 
 
 # --- Fact, dimension and filters -----------------------------------------------------------
@@ -510,7 +510,7 @@ def _long(results: Results, bundle: str) -> DataFrame:
 
 @_query("sales_bundle")
 def _(ds):
-    return _long(sales.sales_customer_results(ds, _staged_fact(ds)), "sales_bundle")
+    return _long(sales.sales_customer_results(ds, _narrow_fact(ds)), "sales_bundle")
 
 
 @_query("marketing_bundle")
@@ -533,27 +533,27 @@ def _(ds):
 
 @_query("insights")
 def _(ds):
-    return insights.build_insights(ds, _staged_fact(ds))
+    return insights.build_insights(ds, _narrow_fact(ds))
 
 
 @_query("management_priorities")
 def _(ds):
-    return insights.priorities(insights.build_insights(ds, _staged_fact(ds)))
+    return insights.build_insights(ds, _narrow_fact(ds), groups=insights.PRIORITY_GROUPS)
 
 
 @_query("fact_insights")
 def _(ds):
-    return insights.fact_insights(_staged_fact(ds))
+    return insights.fact_insights(_narrow_fact(ds))
 
 
 @_query("report_lines")
 def _(ds):
-    return report.build_report(ds, _staged_fact(ds), Filters()).lines
+    return report.build_report(ds, _narrow_fact(ds), Filters()).lines
 
 
 @_query("report_html")
 def _(ds):
-    lines = report.build_report(ds, _staged_fact(ds), Filters()).lines
+    lines = report.build_report(ds, _narrow_fact(ds), Filters()).lines
     return html_lines(stage(lines, "report_lines"))
 
 

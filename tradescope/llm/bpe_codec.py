@@ -115,7 +115,7 @@ class Codec:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.token = {r: t for t, r in rank.items()}
         self.units: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.stable: dict[tuple[int, int], bool] = {}
         # Nothing is spilled to the worker's folder.
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
@@ -147,9 +147,8 @@ class Codec:
 
     def _pieces(self, pieces: set[bytes]) -> dict[bytes, bytes]:
         """Packed ids of each piece, contracted as a word of its own."""
-        found = {p: self.words[p] for p in pieces if p in self.words}
-        new = [p for p in pieces if p not in found]
-        short = [p for p in new if len(p) <= LONG_PIECE]
+        found: dict[bytes, bytes] = {}
+        short = [p for p in pieces if len(p) <= LONG_PIECE]
         begin = 0
         while begin < len(short):
             end, size = begin, 0
@@ -158,7 +157,7 @@ class Codec:
                 end += 1
             found.update(self._contracted(short[begin:end], ENCODE))
             begin = end
-        for piece in new:
+        for piece in pieces:
             if len(piece) > LONG_PIECE:
                 found.update(self._contracted([piece], ENCODE_LONG))
         return found
@@ -218,10 +217,11 @@ class Codec:
         forget(self.units)
         forget(self.words)
         new = list(set().union(*cut).difference(self.units)) if cut else []
-        split = [[w.encode() for w in self.split(u)] for u in new]
-        unknown = set().union(*split).difference(self.words) if split else set()
-        self.words.update(self._pieces({w for w in unknown if len(w) <= LONG_WORD}))
-        long = {w: self._long(w) for w in unknown if len(w) > LONG_WORD}
+        split = [self.split(u) for u in new]
+        unknown = {w: w.encode() for w in set().union(*split).difference(self.words)} if split else {}
+        got = self._pieces({b for b in unknown.values() if len(b) <= LONG_WORD})
+        self.words.update((w, got[b]) for w, b in unknown.items() if len(b) <= LONG_WORD)
+        long = {w: self._long(b) for w, b in unknown.items() if len(b) > LONG_WORD}
         words = self.words | long if long else self.words
         self.units.update((u, b"".join(map(words.__getitem__, w))) for u, w in zip(new, split, strict=True))
         return [b"".join(map(self.units.__getitem__, c)) for c in cut]

@@ -5,7 +5,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tests.helpers import by, dataset, frame
-from tradescope.operators.ranking import group_percentile, position_in_group, running_total
+from tradescope.operators.ranking import position_in_group, running_total
+from tradescope.operators.selection import group_percentile
 from tradescope.plans import rfm
 from tradescope.plans.fact import sales_fact
 
@@ -38,7 +39,7 @@ def test_running_total_across_many_partitions(spark):
 )
 def test_percentile_equals_numpy(spark, values):
     df = spark.createDataFrame(values, "g string, v double")
-    got = by(group_percentile(df, "g", "v", 0.95, "p", slots=4), "g")
+    got = by(group_percentile(df, "g", "v", 0.95, "p", few=3, bits=8), "g")
     expected = {}
     for g in {g for g, _ in values}:
         known = [v for h, v in values if h == g and v is not None]
@@ -66,8 +67,8 @@ def _pandas_rfm(customers: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-@pytest.mark.parametrize("slots", [None, 5])
-def test_rfm_scores_with_ties(spark, slots):
+@pytest.mark.parametrize("few, bits", [(100_000, 16), (0, 4)])
+def test_rfm_scores_with_ties(spark, few, bits):
     rng = np.random.default_rng(7)
     orders, items = [], []
     for order in range(240):
@@ -78,7 +79,7 @@ def test_rfm_scores_with_ties(spark, slots):
         )
         items.append({"order_id": order, "net_amount": 10 * int(rng.integers(1, 4))})
     fact = sales_fact(dataset(spark, orders=orders, order_items=items))
-    got = rfm.rfm_segments(fact, slots=slots).toPandas().sort_values("cust_id").reset_index(drop=True)
+    got = rfm.rfm_segments(fact, few=few, bits=bits).toPandas().sort_values("cust_id").reset_index(drop=True)
     expected = _pandas_rfm(got[["cust_id", "recency_days", "frequency", "monetary"]])
     for column in ("r_score", "f_score", "m_score"):
         assert list(got[column]) == list(expected[column])

@@ -1,4 +1,4 @@
-"""Exact positions and percentiles inside groups of any size.
+"""Exact positions inside groups of any size.
 
 A plain ``row_number() over (partition by g order by v)`` sorts each group in one task,
 so a single large group decides the run time.  Here the rows are range-partitioned on
@@ -84,57 +84,3 @@ def running_total(
         .withColumn(out, F.col("_before") + F.sum(weight).over(inside))
         .drop(_ROW, _SLOT, "_before", "_first")
     )
-
-
-def _between(low: Column, high: Column, part: Column) -> Column:
-    """Linear interpolation, from the nearer end so that it stays monotone in doubles."""
-    gap = high - low
-    return F.when(part < 0.5, low + gap * part).otherwise(high - gap * (F.lit(1.0) - part))
-
-
-def group_percentile(
-    df: DataFrame, group: str, value: str, share: float, out: str, slots: int | None = None
-) -> DataFrame:
-    """Exact percentile of ``value`` per group with linear interpolation; nulls are ignored.
-
-    Equal values are counted before anything is sorted, so copies cost nothing.
-    """
-    counted = (
-        df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-        .groupBy(group, value)
-        .agg(F.count(F.lit(1)).alias("_copies"))
-    )
-    slotted = _sorted_slots(counted, [group, value], slots)
-    whole = Window.partitionBy(group)
-    earlier = whole.orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    per_slot = slotted.groupBy(group, _SLOT).agg(F.sum("_copies").alias("_size")).select(
-        group,
-        _SLOT,
-        F.col("_size"),
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_size").over(whole).alias("_n"),
-    )
-    place = F.lit(float(share)) * (F.col("_n") - F.lit(1))
-    low, high = F.floor(place), F.ceil(place)
-    # Only the one or two slots of a group that hold the wanted places are sorted again.
-    wanted = per_slot.where((F.col("_before") <= high) & (low < F.col("_before") + F.col("_size")))
-    inside = Window.partitionBy(group, _SLOT).orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    ranked = slotted.join(wanted, [group, _SLOT]).withColumn(
-        "_upto", F.col("_before") + F.sum("_copies").over(inside)
-    )
-
-    def value_at(index: Column) -> Column:
-        covers = (F.col("_upto") - F.col("_copies") <= index) & (index < F.col("_upto"))
-        return F.max(F.when(covers, F.col(value)))
-
-    return (
-        ranked.groupBy(group)
-        .agg(
-            value_at(low).cast("double").alias("_low"),
-            value_at(high).cast("double").alias("_high"),
-            F.max(place - low).alias("_part"),
-        )
-        .select(group, _between(F.col("_low"), F.col("_high"), F.col("_part")).alias(out))
-    )

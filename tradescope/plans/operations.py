@@ -26,7 +26,7 @@ from tradescope.functions.exprs import (
 )
 from tradescope.operators.filters import by_years, where_in
 from tradescope.operators.joins import lookup, lookup_table, named_by
-from tradescope.operators.ranking import group_percentile
+from tradescope.operators.selection import group_percentile
 from tradescope.plans.fact import categorised_products, product_dimension
 
 # Fixed value: lowest HTTP status that counts as an error.
@@ -208,7 +208,7 @@ def api_health(
 ) -> DataFrame:
     """Requests, error share and 95th percentile latency per endpoint.
 
-    The percentile is exact unless ``approximate``, which trades the range shuffle of the
+    The percentile is exact, found by counting; ``approximate`` trades its passes over the
     latencies for a bounded sketch.
     """
     requests = _known(by_years(ds.table("api_requests"), ["timestamp"], years), "endpoint")

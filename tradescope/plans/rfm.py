@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradescope.dataset import Dataset
 from tradescope.functions.exprs import (
@@ -17,6 +20,7 @@ from tradescope.functions.exprs import (
 )
 from tradescope.operators.filters import valid_orders
 from tradescope.operators.ranking import position_in_group
+from tradescope.operators.selection import FEW, decimal_keys, select_places
 from tradescope.operators.staging import stage_once
 
 # Segment names.
@@ -38,8 +42,66 @@ def customer_values(sales: DataFrame) -> DataFrame:
     )
 
 
-def _scores(customers: DataFrame, overall: Column, slots: int | None) -> DataFrame:
-    """The three scores of each customer, from exact positions by (value, cust_id).
+_MEASURES = {"r": "recency_days", "f": "frequency", "m": "monetary"}
+_PARTS = ("_v0", "_v1", "_v2")
+
+
+def _share(measure: str, position: Column, size: Column) -> Column:
+    """Rank share of a position among ``size``: recent, frequent and valuable customers come last."""
+    return F.lit(1.0) - ratio(position, size) if measure == "r" else ratio(position, size)
+
+
+def _cut_place(cut: int, measure: str, size: int) -> Column:
+    """How many customers, counted from the least value, stand on the near side of a cut.
+
+    For recency these are the ones scored at least ``6 - cut``, for the others those scored
+    at most ``cut``.  Rounding moves a cut by less than the two places looked at around it.
+    """
+
+    def near(position: Column) -> Column:
+        score = score_1_to_5(_share(measure, position, F.lit(size)))
+        return score >= 6 - cut if measure == "r" else score <= cut
+
+    middle = int((cut - 0.5 if measure == "r" else cut + 0.5) / 5 * size)
+    around = [F.lit(p).cast("long") for p in range(max(1, middle - 2), min(size, middle + 2) + 1)]
+    return F.coalesce(F.array_max(F.filter(F.array(*around), near)), F.lit(0)) if around else F.lit(0)
+
+
+def _scores(customers: DataFrame, sizes: dict[str, int], few: int, bits: int) -> dict[str, Column]:
+    """The three scores of a row of ``customers``, from exact positions by (value, cust_id).
+
+    A score asks only whether a customer stands beyond four cuts of the order, so the
+    (value, cust_id) at each cut is found by counting, and every customer is compared with
+    these twelve rows.  ``customers`` has the parts of its measures (``decimal_keys``) beside
+    them; ``sizes`` has the number of customers that each measure is ranked among.
+    """
+    measures = F.array(
+        *[F.struct(F.lit(m).alias("measure"), *[F.col(f"{m}{p}").alias(p) for p in _PARTS]) for m in _MEASURES]
+    )
+    id_key = F.col("cust_id").cast("long").alias("_id")
+    long = customers.select(id_key, F.inline(measures)).where(F.col("_v0").isNotNull())
+    wanted = {}
+    for cut in range(1, 5):
+        recent, often, much = (_cut_place(cut, m, sizes[m]) - F.lit(1) for m in _MEASURES)
+        wanted[str(cut)] = F.when(F.col("measure") == "r", recent).when(F.col("measure") == "f", often).otherwise(much)
+    keys = [*_PARTS, "_id"]
+    found = select_places(long, ["measure"], keys, wanted, few, bits).collect()
+    scores = {}
+    for m in _MEASURES:
+        # Before a cut without customers everyone is beyond it; nobody is beyond the last one's.
+        passed = F.lit(sum(row.measure == m and row.place < 0 for row in found))
+        own = F.struct(*[F.col(f"{m}{p}").alias(p) for p in _PARTS], id_key)
+        for row in found:
+            if row.measure == m and 0 <= row.place < row["_n"] - 1:
+                cut = F.struct(*[F.lit(row[k]).cast("long").alias(k) for k in keys])
+                passed += (own > cut).cast("int")
+        score = F.lit(5) - passed if m == "r" else F.lit(1) + passed
+        scores[f"{m}_score"] = F.when(F.col(f"{m}{_PARTS[0]}").isNotNull(), score)
+    return scores
+
+
+def _scores_by_position(customers: DataFrame, sizes: dict[str, int], slots: int | None) -> DataFrame:
+    """The scores of customers whose ids are no integers, by the position of every row.
 
     The three measures become rows of one narrow table, so all positions come out of a
     single range shuffle; a value shared by many customers is cut by ``cust_id``.
@@ -47,7 +109,7 @@ def _scores(customers: DataFrame, overall: Column, slots: int | None) -> DataFra
     measures = F.array(
         *[
             F.struct(F.lit(m).alias("measure"), F.col(c).cast("decimal(38,8)").alias("value"))
-            for m, c in (("r", "recency_days"), ("f", "frequency"), ("m", "monetary"))
+            for m, c in _MEASURES.items()
         ]
     )
     long = customers.select("cust_id", F.inline(measures)).where(F.col("value").isNotNull())
@@ -56,13 +118,9 @@ def _scores(customers: DataFrame, overall: Column, slots: int | None) -> DataFra
     def position(measure: str) -> Column:
         return F.max(F.when(F.col("measure") == measure, F.col("position")))
 
-    ranked = placed.groupBy("cust_id").agg(*[position(m).alias(m) for m in "rfm"])
-    dated, everyone = overall["dated"], overall["customers"]
+    ranked = placed.groupBy("cust_id").agg(*[position(m).alias(m) for m in _MEASURES])
     return ranked.select(
-        "cust_id",
-        score_1_to_5(F.lit(1.0) - ratio(F.col("r"), dated)).alias("r_score"),
-        score_1_to_5(ratio(F.col("f"), everyone)).alias("f_score"),
-        score_1_to_5(ratio(F.col("m"), everyone)).alias("m_score"),
+        "cust_id", *[score_1_to_5(_share(m, F.col(m), F.lit(sizes[m]))).alias(f"{m}_score") for m in _MEASURES]
     )
 
 
@@ -77,32 +135,39 @@ def _segment() -> Column:
     )
 
 
-def rfm_segments(fact: DataFrame, slots: int | None = None, by_monetary: bool = False) -> DataFrame:
+def rfm_segments(
+    fact: DataFrame, slots: int | None = None, by_monetary: bool = False, few: int = FEW, bits: int = 16
+) -> DataFrame:
     """Scores 1..5 by rank share, segment and lifetime-value proxy per customer.
 
-    ``by_monetary`` sorts the customers by spend, the largest first.
+    ``by_monetary`` sorts the customers by spend, the largest first.  Cuts between scores are
+    found by counting (``few`` and ``bits`` as in ``select_places``) where customer ids are
+    integers; other ids are put in order, in ``slots`` ranges.
 
     The per-customer values are staged, because they are read three times and cost the
     fact's shuffle.  A customer without an order date gets no recency score.
     """
     values = stage_once(customer_values(fact), "customers")
     known = F.col("cust_id").isNotNull()
-    # One row for everything the customers are measured against.  Orders without a customer
-    # still move the reference date.
+    # What the customers are measured against.  Orders without a customer still move the
+    # reference date.
     overall = values.agg(
-        F.struct(
-            F.max("last_order").alias("latest"),
-            F.max(F.when(known, F.col("frequency"))).alias("most_orders"),
-            F.count_if(known & F.col("last_order").isNotNull()).alias("dated"),
-            F.count_if(known).alias("customers"),
-        ).alias("overall")
+        F.struct(F.max("last_order").alias("latest"), F.max(F.when(known, F.col("frequency"))).alias("most_orders")).alias("overall")
     ).scalar()
+    dated = F.count_if(known & F.col("last_order").isNotNull())
+    counted = values.agg(dated.alias("dated"), F.count_if(known).alias("customers")).first()
+    sizes = {"r": counted.dated, "f": counted.customers, "m": counted.customers}
     customers = values.where(known).withColumn(
         "recency_days", whole_days(seconds_between("last_order", overall["latest"]))
     )
     most_orders = F.greatest(overall["most_orders"], F.lit(1))
     weight = F.lit(1.0) + F.col("frequency") / most_orders.cast("double")
-    scored = customers.join(_scores(customers, overall, slots), "cust_id", "left")
+    if isinstance(customers.schema["cust_id"].dataType, T.IntegralType):
+        parts = {f"{m}{p}": c for m, v in _MEASURES.items() for p, c in zip(_PARTS, decimal_keys(v), strict=True)}
+        customers = customers.withColumns(parts)
+        scored = customers.withColumns(_scores(customers, sizes, few, bits))
+    else:
+        scored = customers.join(_scores_by_position(customers, sizes, slots), "cust_id", "left")
     segments = scored.select(
         "cust_id",
         "last_order",

@@ -111,6 +111,18 @@ def test_ties_of_many_lengths_go_to_the_smaller_id(spark):
     assert [r.vec_id for r in found.where("query_id = 950").orderBy("rank").collect()] == [901, 902, 903, 904, 905]
 
 
+def test_a_hot_list_is_cut_on_both_sides(spark):
+    """One list with all vectors and questions, in blocks of 16 of either: the brute-force answer."""
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(draw.normal(size=(300, 4)).astype(np.float32))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest(frame, every=2, list_size=1000, block=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    brute = plain_nearest(rows, 2, 5)
+    assert {q: [v for _, v in sorted(found)] for q, found in got.items()} == {q: [i for _, i in a[0][:5]] for q, a in brute.items()}
+
+
 def test_recall_of_the_index(spark):
     draw = np.random.default_rng(2)
     centres = draw.normal(size=(40, 16))

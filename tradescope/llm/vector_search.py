@@ -181,8 +181,9 @@ def nearest(
 
     Columns: query_id, rank (from 1), vec_id, score.  All usable vectors are indexed; only
     the centroids are fitted on a sample of at most ``sample``, so their number is bounded
-    and lists grow beyond ``list_size`` on very large inputs (then raise ``sample``).  A
-    list is scored in blocks of about ``block`` vectors, so no list has to fit in one task.
+    and lists grow beyond ``list_size`` on very large inputs (then raise ``sample``).  The
+    vectors and the questions of a list are both cut into blocks of about ``block``, and every
+    block of the one meets every block of the other, so neither has to fit in one task.
 
     Null, zero and non-finite vectors, vectors of another length and rows without id take
     no part; repeated rows count once.  Equal scores go to the smaller id.  With no other
@@ -228,12 +229,25 @@ def nearest(
         )
 
     posted = stage(placed(classes, query=False), "postings")
+    questions = stage(placed(classes.join(asked.select("cls").distinct(), "cls", "left_semi"), query=True), "questions")
+
+    def blocks(frame: DataFrame, name: str) -> DataFrame:
+        return frame.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
     # One row per list of the graph, so bounded by ``sample``.
-    cut = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
-    posted = posted.join(cut, "list").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).drop("blocks")
-    questions = placed(classes.join(asked.select("cls").distinct(), "cls", "left_semi"), query=True)
-    numbers = F.sequence(F.lit(0), F.col("blocks") - 1)
-    questions = questions.join(cut, "list").withColumn("block", F.explode(numbers)).drop("blocks")
+    cut = F.broadcast(blocks(posted, "_held").join(blocks(questions, "_asking"), "list"))
+
+    def dealt(frame: DataFrame, own: str, other: str, own_block: str, other_block: str) -> DataFrame:
+        """Rows in one block of their side of the list, sent to every block of the other side."""
+        return (
+            frame.join(cut, "list")
+            .withColumn(own_block, F.pmod(F.xxhash64("cls"), own).cast("int"))
+            .withColumn(other_block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop("_held", "_asking")
+        )
+
+    posted = dealt(posted, "_held", "_asking", "block", "part")
+    questions = dealt(questions, "_asking", "_held", "part", "block")
 
     def score(_: tuple, group: pa.Table) -> pa.Table:
         query = np.array(group.column("query"))
@@ -262,7 +276,7 @@ def nearest(
         )
 
     together = posted.withColumn("query", F.lit(False)).unionByName(questions.withColumn("query", F.lit(True)))
-    hits = together.groupBy("list", "block").applyInArrow(score, "asking long, cls long, least long, score double").distinct()
+    hits = together.groupBy("list", "block", "part").applyInArrow(score, "asking long, cls long, least long, score double").distinct()
     best = Window.partitionBy("asking").orderBy(F.desc("score"), "least")
     top = hits.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1)
     answers = (

@@ -120,8 +120,8 @@ def test_a_second_insights_joins_no_fact(spark, monkeypatch):
     facts, customers = shared(spark, "sales_rollup"), shared(spark, "customers")
     assert len(facts) == len(customers) == 1
     writes = []
-    real = st._Store.at
-    monkeypatch.setattr(st._Store, "at", lambda self, folder: writes.append(folder) or real(self, folder))
+    real = st.Store.at
+    monkeypatch.setattr(st.Store, "at", lambda self, folder: writes.append(folder) or real(self, folder))
     assert catalog.queries()["insights"](spark, SF).collect() == first
     assert not [w for w in writes if "/writing-" in w] and shared(spark, "sales_rollup") == facts
     assert catalog.queries()["report_lines"](spark, SF).count() > 8

@@ -50,14 +50,14 @@ def _application_folder(spark: SparkSession) -> str:
 
 
 @dataclass(frozen=True)
-class _Store:
+class Store:
     """The file systems of a session; they outlive it."""
 
     jvm: object
     conf: object
 
     @classmethod
-    def of(cls, spark: SparkSession) -> _Store:
+    def of(cls, spark: SparkSession) -> Store:
         return cls(spark._jvm, spark._jsc.hadoopConfiguration())
 
     def at(self, folder: str) -> tuple:
@@ -71,7 +71,7 @@ class _Store:
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
-    _Store.of(spark).delete(folder)
+    Store.of(spark).delete(folder)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -130,12 +130,12 @@ def _leased(spark: SparkSession, folder: str) -> None:
     held = _leases.setdefault((spark.sparkContext.applicationId, _scope.get()), {})
     if folder not in held:
         lease = f"{folder}/leases/{spark.sparkContext.applicationId}-{uuid4().hex}"
-        files, path = _Store.of(spark).at(lease)
+        files, path = Store.of(spark).at(lease)
         files.create(path, False).close()
         held[folder] = lease
 
 
-def _give_back(store: _Store, folder: str, lease: str) -> None:
+def _give_back(store: Store, folder: str, lease: str) -> None:
     """Delete a lease, and the folder if that was the last one that counts."""
     store.delete(lease)
     files, leases = store.at(f"{folder}/leases")
@@ -148,7 +148,7 @@ def _give_back(store: _Store, folder: str, lease: str) -> None:
         store.delete(gone)
 
 
-def _end_leases(store: _Store, application: str, scope: str) -> None:
+def _end_leases(store: Store, application: str, scope: str) -> None:
     for folder, lease in _leases.pop((application, scope), {}).items():
         _give_back(store, folder, lease)
 
@@ -167,7 +167,7 @@ def stage_once(df: DataFrame, label: str) -> DataFrame:
     folder = f"{stage_root(spark)}/tradescope/shared/{label}-{name}"
     _leased(spark, folder)
     _ending(spark)
-    store = _Store.of(spark)
+    store = Store.of(spark)
     files, data = store.at(f"{folder}/data")
     if not files.exists(data):
         own = f"{folder}/writing-{uuid4().hex}"
@@ -187,7 +187,7 @@ def _ending(spark: SparkSession) -> None:
     if application in _ends:
         return
     _ends.add(application)
-    store = _Store.of(spark)
+    store = Store.of(spark)
 
     def end() -> None:
         try:
@@ -212,7 +212,7 @@ def staging(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _end_leases(_Store.of(spark), spark.sparkContext.applicationId, _scope.get())
+        _end_leases(Store.of(spark), spark.sparkContext.applicationId, _scope.get())
         _delete(spark, _application_folder(spark) + _scope.get())
         _scope.reset(token)
 
@@ -224,5 +224,5 @@ def drop_staged(spark: SparkSession) -> None:
     """
     for application, scope in list(_leases):
         if application == spark.sparkContext.applicationId:
-            _end_leases(_Store.of(spark), application, scope)
+            _end_leases(Store.of(spark), application, scope)
     _delete(spark, _application_folder(spark))

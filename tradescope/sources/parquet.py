@@ -8,6 +8,9 @@ from tradescope.dataset import Dataset
 from tradescope.registry import TableSpec, table_specs
 from tradescope.sources.catalog import clustered_by_date
 
+# The folder column of a lake that is kept up to date by date ranges; no column of its tables.
+RANGE = "lake_range"
+
 
 class ParquetSource:
     """Reads ``<root>/<namespace>/<name>``; opening a table reads its footer only."""
@@ -20,7 +23,7 @@ class ParquetSource:
         return f"{self.root}/{spec.namespace}/{spec.name}"
 
     def read(self, spec: TableSpec) -> DataFrame:
-        return self.spark.read.parquet(self.path(spec))
+        return self.spark.read.parquet(self.path(spec)).drop(RANGE)
 
 
 def write_lake(ds: Dataset, root: str, by_date: bool = True) -> None:

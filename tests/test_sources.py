@@ -13,7 +13,16 @@ from tradescope.plans.report import export_report
 from tradescope.registry import selected_specs, table_specs
 from tradescope.sources import sinks
 from tradescope.sources.catalog import CatalogSource, save_bucketed
-from tradescope.sources.jdbc import DateSplit, PostgresConnection, PostgresSource, Split, probe_session
+from tradescope.sources.jdbc import (
+    BlockSplit,
+    DateSplit,
+    HistogramSplit,
+    PostgresConnection,
+    PostgresSource,
+    Split,
+    histogram_split,
+    probe_session,
+)
 from tradescope.sources.loader import load, ready_for_sales
 from tradescope.sources.parquet import ParquetSource, write_lake
 from tradescope.validate import validate
@@ -94,7 +103,6 @@ def test_postgres_options(spark):
     assert bare == {key for key, spec in table_specs().items() if not spec.schema}
     for spec in table_specs().values():
         assert spec.split is None or spec.split in spec.schema.names
-    assert source.split(table_specs()["transcripts"]) is None
     expected = 'SELECT min("order_id") AS low, max("order_id") AS high FROM "sales"."orders"'
     assert source.bounds_query(orders, "order_id") == expected
     assert "p:w/d" not in repr(connection)
@@ -110,6 +118,113 @@ def test_date_ranges_cover_every_row_once():
     assert DateSplit("day", datetime(2024, 1, 1), datetime(2024, 1, 1), 4).predicates() == ["1 = 1"]
 
 
+def read_sizes(values: str, predicates: list[str]) -> tuple[list[int], int]:
+    """Rows per read of a table with the column v, and rows of the table."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE t AS {values}")
+    sizes = [con.execute(f"SELECT count(*) FROM t WHERE {p}").fetchall()[0][0] for p in predicates]
+    return sizes, con.execute("SELECT count(*) FROM t").fetchall()[0][0]
+
+
+def quantiles(values: list, buckets: int) -> list[str]:
+    return [str(values[min(len(values) - 1, len(values) * k // buckets)]) for k in range(buckets + 1)]
+
+
+def test_sparse_ids_are_read_in_equal_shares():
+    # Squares: ranges of equal width would put a third of the rows into the first of nine reads.
+    squares = [i * i for i in range(10_000)]
+    split = histogram_split("v", "bigint", quantiles(squares, 100), [], 0.1, 8, 0)
+    sizes, total = read_sizes(
+        "SELECT range * range AS v FROM range(10000) UNION ALL SELECT NULL FROM range(1000)", split.predicates()
+    )
+    assert len(sizes) == 8 and sum(sizes) == total == 11_000 and max(sizes) < 2 * min(sizes) + 1000
+
+
+def test_a_hot_id_is_read_apart_by_blocks():
+    split = histogram_split("v", "integer", quantiles(list(range(-5000, 5000)), 100), [("77", 0.4), ("-3", 0.01)], 0.0, 10, 900)
+    assert split.hot == (("77", 4),) and split.blocks == 900
+    hot = [p for p in split.predicates() if p.startswith('"v" = ')]
+    assert len(hot) == 4 and hot[0] == "\"v\" = '77' AND ctid < '(225,0)'::tid"
+    assert hot[1] == "\"v\" = '77' AND ctid >= '(225,0)'::tid AND ctid < '(450,0)'::tid"
+    table = (
+        "SELECT range - 5000 AS v FROM range(10000) UNION ALL SELECT 77 FROM range(6666) UNION ALL SELECT NULL FROM range(5)"
+    )
+    others = [p for p in split.predicates() if p not in hot]
+    sizes, total = read_sizes(table, [*others, "\"v\" = '77'"])
+    assert sum(sizes) == total and max(sizes[:-1]) < 2 * min(sizes[:-1])
+    # Without blocks (a partitioned table) the value is one read.
+    assert HistogramSplit("v", ("5",), (("77", 4),)).predicates()[-1] == "\"v\" = '77'"
+    sizes, total = read_sizes(table, HistogramSplit("v", (), (("77", 4),)).predicates())
+    assert sum(sizes) == total
+
+
+def test_dates_are_read_in_equal_shares_unless_only_the_server_knows_their_order():
+    days = [f"2024-01-{1 + i // 40:02d} {i % 24:02d}:00:00" for i in range(1000)]
+    split = histogram_split("v", "timestamp without time zone", quantiles(sorted(days), 50), [], 0.0, 5, 0)
+    table = "SELECT CAST(printf('2024-01-%02d %02d:00:00', 1 + range // 40, range % 24) AS TIMESTAMP) AS v FROM range(1000)"
+    sizes, total = read_sizes(table, split.predicates())
+    assert len(sizes) == 5 and sum(sizes) == total and max(sizes) < 2 * min(sizes)
+    for bounds in (["2024-01-01", "10000-01-01"], ["0044-03-15 BC", "2024-01-01"], ["01/02/2024", "03/02/2024"]):
+        assert histogram_split("v", "date", bounds, [], 0.0, 5, 0) is None
+    assert histogram_split("v", "text", ["1", "10", "9"], [], 0.0, 5, 0) is None
+    assert histogram_split("v", "bigint", [], [], 0.0, 5, 0) is None
+    assert histogram_split("v", "bigint", ["1", "2"], [], 0.0, 5, 0) is None
+
+
+def test_block_ranges():
+    assert BlockSplit(0, 4).predicates() == BlockSplit(1, 4).predicates()[:1] == ["1 = 1"]
+    assert BlockSplit(8, 4).predicates() == [
+        "ctid < '(2,0)'::tid",
+        "ctid >= '(2,0)'::tid AND ctid < '(4,0)'::tid",
+        "ctid >= '(4,0)'::tid AND ctid < '(6,0)'::tid",
+        "ctid >= '(6,0)'::tid",
+    ]
+
+
+class Answers(PostgresSource):
+    """A source whose server answers are given."""
+
+    def __init__(self, spark, answers):
+        super().__init__(spark, PostgresConnection("nowhere.invalid", 1, "d", "u", "p"), parts=4)
+        self.answers, self.asked = answers, []
+
+    def _query(self, text):
+        self.asked.append(text)
+        return self.spark.createDataFrame(*self.answers[len(self.asked) - 1])
+
+
+STATISTICS = (
+    "bounds array<string>, common_values array<string>, common_shares array<double>, empty_share double, "
+    "kind string, blocks long"
+)
+
+
+def test_every_table_is_split_by_what_the_server_knows(spark):
+    for spec in table_specs().values():
+        if spec.split is None:
+            source = Answers(spark, [([(64,)], "blocks long")])
+            assert source.split(spec) == BlockSplit(64, 4)
+            assert source.asked == [source.blocks_query(spec)] and f"'{quoted(spec)}'::regclass" in source.asked[0]
+            continue
+        source = Answers(spark, [([(["1", "5", "9", "70", "71"], None, None, 0.0, "bigint", 12)], STATISTICS)])
+        assert source.split(spec) == HistogramSplit(spec.split, ("5", "9", "70"), (), 12)
+        assert f"attname = '{spec.split}'" in source.asked[0] and f"tablename = '{spec.name}'" in source.asked[0]
+
+
+def quoted(spec) -> str:
+    return f'"{spec.namespace}"."{spec.name}"'
+
+
+def test_tables_without_statistics_are_split_between_their_bounds(spark):
+    orders = table_specs()["orders"]
+    source = Answers(spark, [([], STATISTICS), ([(3, 90)], "low long, high long")])
+    assert source.split(orders) == Split("order_id", "3", "90", 4)
+    source = Answers(spark, [([], STATISTICS), ([(None, None)], "low long, high long")])
+    assert source.split(orders) is None
+    bare = table_specs()["transcripts"]
+    assert Answers(spark, [([(0,)], "blocks long")]).split(bare) is None
+
+
 def test_an_unreachable_database_is_reported(spark):
     # No JDBC driver is installed here, so opening the table fails at once.
     source = PostgresSource(spark, PostgresConnection("nowhere.invalid", 1, "d", "u", "p"))

@@ -1,5 +1,6 @@
 """Near copies, toxicity, language and fingerprints against brute force."""
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -252,7 +253,8 @@ def test_fingerprints_are_homomorphic():
 
 def test_op9_on_edge_cases(spark, edge_dir):
     got = queries.op9_fingerprints(spark, edge_dir).collect()
-    ordered = sorted(DOCS, key=lambda d: (d[0] is None, -(d[0] or 0), d[1] is not None, d[1] or ""))
+    marks = {r.text: r.mark for r in spark.createDataFrame([(t,) for _, t in DOCS], "text string").selectExpr("text", "xxhash64(text) AS mark").collect()}
+    ordered = sorted(DOCS, key=lambda d: (d[0] is None, -(d[0] or 0), marks[d[1]], d[1] is not None, d[1] or ""))
     texts = [t or "" for _, t in ordered]
     want = []
     for (i, _), t, after in zip(ordered, texts, texts[1:] + texts[:1], strict=True):
@@ -276,6 +278,35 @@ def test_op9_across_blocks(spark):
         assert got[3 * i] == hashlib.sha256(edited.encode()).hexdigest()
 
 
+def test_op9_with_hot_ids(spark, monkeypatch):
+    """One id holds a third of the rows, one row is repeated without end, many rows have no id."""
+    from tradescope.llm import fingerprints
+
+    hot = [(7, f"hot text {i % 900}" if i % 3 else None) for i in range(1500)]
+    copies = [(5, "the same again and again")] * 3000
+    nameless = [(None, f"nameless {i}") for i in range(1200)]
+    plain = [(i, f"plain {i}") for i in range(100, 400)]
+    frame = spark.createDataFrame([*hot, *copies, *nameless, *plain], "doc_id long, text string").repartition(5)
+    marks = {r.text: r.mark for r in frame.selectExpr("text", "xxhash64(text) AS mark").distinct().collect()}
+    rows = [*hot, *copies, *nameless, *plain]
+    rows.sort(key=lambda d: (d[0] is None, -(d[0] or 0), marks[d[1]], d[1] is not None, d[1] or ""))
+    texts = [t or "" for _, t in rows]
+    want = []
+    for (i, _), t, after in zip(rows, texts, texts[1:] + texts[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(likeness(fingerprint(t), fingerprint(after)), 9)))
+    got = [
+        (r.doc_id, r.n_chars, r.edited_sha256, round(r.near_next, 9)) for r in fingerprints.compare_with_next(frame).collect()
+    ]
+    assert multiset(got) == multiset(want)
+    # No block holds more than twice its share, whatever the id.
+    source = frame.selectExpr("doc_id AS id", "text", "xxhash64(text) AS mark")
+    starts, crowds = fingerprints._blocks(source)
+    places = sorted(fingerprints._place(i, marks[t]) for i, t in rows)
+    light = [bisect.bisect_right(starts, p) for p in places if p not in crowds]
+    assert len(crowds) == 2 and max(map(light.count, set(light))) <= 512 and len(starts) >= 9
+
+
 @pytest.mark.parametrize("name", ["op2_language_id", "op7_near_duplicates", "op8_toxicity", "op9_fingerprints"])
 def test_empty_tables(spark, empty_dir, name):
     assert queries.queries()[name](spark, empty_dir).count() == 0

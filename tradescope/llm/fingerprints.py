@@ -10,6 +10,7 @@ between two fingerprints tells how much two documents share.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,16 +115,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind(docs, id_col)}, fingerprint string")
 
 
-def _block_starts(rows: DataFrame) -> list:
-    """The first id of every block but the first, in descending order; at most ``BLOCKS``."""
-    ids = rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    placed = stage(running_starts(ids, [F.desc("id")], "n", "place", "ids"), "places")
-    total = placed.agg(F.sum("n")).first()[0] or 0
-    size = max(256, -(-total // BLOCKS))
-    # The ids whose rows hold a multiple of ``size`` in the overall order.
+def _place(name: int | None, mark: int) -> tuple[bool, int, int]:
+    """Where a document stands: ids descend, null ids come last, ``mark`` ascends."""
+    return (True, 0, mark) if name is None else (False, ~name, mark)
+
+
+def _blocks(rows: DataFrame) -> tuple[list[tuple], set[tuple]]:
+    """The places at which blocks start but for the first, and those of many copies; ``BLOCKS`` of each at most.
+
+    The copies of one of the latter count as one row, since they travel as one per task.
+    """
+    groups = stage(rows.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")), "groups")
+    size = max(256, -(-(groups.agg(F.sum("n")).first()[0] or 0) // BLOCKS))
+    crowds = {_place(r.id, r.mark) for r in groups.where(F.col("n") > size).collect()}
+    weighed = groups.select("id", "mark", F.when(F.col("n") > size, 1).otherwise(F.col("n")).alias("n"))
+    placed = running_starts(weighed, [F.desc_nulls_last("id"), "mark"], "n", "place", "places")
+    # Groups that hold a multiple of ``size`` in the overall order.
     reached = F.floor((F.col("place") + F.col("n") - 1) / size)
     starts = placed.where((F.col("place") > 0) & (reached > F.floor((F.col("place") - 1) / size)))
-    return [r.id for r in starts.select("id").orderBy(F.desc("id")).collect()]
+    return sorted(_place(r.id, r.mark) for r in starts.select("id", "mark").collect()), crowds
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,82 +144,119 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     comes the first.  Documents are dealt out in blocks of consecutive ids; a block also
     gets the first document of the next one, so each text travels about once.
 
-    Null texts count as empty.  Null ids come last; equal ids stand in the order of their
-    texts (null first), so repeated rows follow each other.  A single document is its own
-    next.  An empty table gives no row; other columns are not read.
+    Null texts count as empty.  Null ids come last; equal ids stand in the order of a 64-bit
+    hash of their texts, then of the texts (null first), so repeated rows follow each other.
+    Blocks are cut by id and hash, so one id may hold any share of the rows; a row that is
+    repeated many times travels as one row and a count per task.  A single document is its own
+    next.  An empty table gives no row; other columns are not read.  Ids that are no integers
+    have to be castable to one.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    firsts = np.array(_block_starts(rows), np.int64)
-    last = len(firsts)
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    starts, crowds = _blocks(rows)
+    opening = set(starts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(part: pa.RecordBatch, block: np.ndarray, guest: int) -> pa.RecordBatch:
-            guests = pa.array(np.full(part.num_rows, guest, np.int32))
-            return pa.RecordBatch.from_arrays([*part.columns, pa.array(block), guests], names=["id", "text", "block", "guest"])
+        led: dict[tuple, tuple] = {}  # start of a block -> least text sent to the block before
+        held: dict[tuple, int] = {}  # row of many copies -> copies seen
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(_DEALT.names, row, strict=True)) for row in found], _DEALT)
 
         for batch in batches:
-            known = np.array(batch.column("id").is_valid())
-            ids = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False)
-            # Blocks count up as ids go down.
-            block = np.where(known, np.searchsorted(-firsts, -ids, "right"), last).astype(np.int32)
-            yield out(batch, block, 0)
-            opens = np.flatnonzero(known & np.isin(ids, firsts))
-            if len(opens):
-                yield out(batch.take(pa.array(opens)), block[opens] - np.int32(1), 1)
-
-    dealt = rows.mapInArrow(deal, "id long, text string, block int, guest int")
+            found = []
+            for name, words, mark in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "mark")), strict=True):
+                place = _place(name, mark)
+                block = bisect_right(starts, place)
+                if place in crowds:
+                    row = (name, words, mark, block)
+                    held[row] = held.get(row, 0) + 1
+                else:
+                    found.append((name, words, mark, block, 0, 1))
+                order = (words is not None, words or "")
+                if place in opening and (place not in led or order < led[place]):
+                    led[place] = order
+                    found.append((name, words, mark, block - 1, 1, 1))
+            yield out(found)
+        yield out([(*row, 0, n) for row, n in held.items()])
+
+    dealt = rows.mapInArrow(deal, "id long, text string, mark long, block int, guest int, copies long")
     # The first document of all closes the last block; one row.
     top = F.lit(rows.agg(F.max("id")).first()[0]).cast("long")
-    least = F.min(F.struct(F.col("text").isNotNull().alias("a"), F.col("text").alias("b")))
+    least = F.min(F.struct("mark", F.col("text").isNotNull().alias("a"), "text"))
     closing = rows.where(F.col("id").eqNullSafe(top)).groupBy("id").agg(least.alias("least")).select(
-        "id", F.col("least.b").alias("text"), F.lit(last).alias("block"), F.lit(2).alias("guest")
-    )
-    order = ["block", "guest", F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first()]
+        "id", "least.text", "least.mark", F.lit(len(starts)).alias("block"), F.lit(2).alias("guest"), F.lit(1).cast("long").alias("copies")
+    )
+    order = ["block", "guest", F.desc_nulls_last("id"), "mark", F.asc_nulls_first("text")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # the last own document of the block: id, text, fingerprint
+        held: tuple = ()  # the last own document of the block: id, text, fingerprint
+        copies = 0
         out: list[list] = [[] for _ in _COLUMNS]
         block = None
 
-        def close(text: str, lanes: tuple) -> None:
+        def compared(text: str, lanes: tuple) -> tuple:
             own_id, own_text, own = held
+            own_text = own_text or ""
             half = len(own_text) // 2
             edited = own_text[: len(own_text) - half] + text[:half]
             changed = fingerprint(edited)
-            values = (
+            return (
                 own_id, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), written(own), written(changed),
                 likeness(own, changed), likeness(own, lanes),
             )
-            for column, value in zip(out, values, strict=True):
+
+        def close(text: str, lanes: tuple) -> None:
+            add(compared(text, lanes), 1)
+            if copies > 1:
+                # All copies but the last one are followed by a copy.
+                again = compared(held[1] or "", held[2])
+                for done in range(0, copies - 1, _TIMES):
+                    add(again, min(_TIMES, copies - 1 - done))
+
+        def add(values: tuple, times: int) -> None:
+            for column, value in zip(out, (*values, times), strict=True):
                 column.append(value)
 
         def flushed() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=_COLUMNS)
             for column in out:
                 column.clear()
             return batch
 
         for batch in batches:
-            for name, text, at, guest in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "block", "guest")), strict=True):
-                text = text or ""
+            columns = (batch.column(c).to_pylist() for c in ("id", "text", "block", "guest", "copies"))
+            for name, text, at, guest, n in zip(*columns, strict=True):
                 if at != block:
-                    held, block = [], at
+                    held, block = (), at
                 if guest and not held:
                     continue
-                lanes = fingerprint(text)
+                if held and not guest and held[:2] == (name, text):
+                    copies += n
+                    continue
+                lanes = fingerprint(text or "")
                 if held:
-                    close(text, lanes)
-                held = [] if guest else [name, text, lanes]
+                    close(text or "", lanes)
+                held, copies = () if guest else (name, text, lanes), n
             yield flushed()
 
     together = dealt.unionByName(closing).repartition("block").sortWithinPartitions(*order)
     result = together.mapInArrow(compare, _SCHEMA)
+    if crowds:
+        # The repeated rows of a crowd are written out by many tasks.
+        result = result.repartition("doc_id", "times", F.monotonically_increasing_id())
+    result = result.withColumn("_", F.explode(F.sequence(F.lit(1), "times"))).drop("_", "times")
     return result.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
-_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+# Copies that one row of the comparison stands for at most.
+_TIMES = 1_000
+_DEALT = pa.schema(
+    [("id", pa.int64()), ("text", pa.string()), ("mark", pa.int64()), ("block", pa.int32()), ("guest", pa.int32()), ("copies", pa.int64())]
+)
+_COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "times"]
 _SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, times long"
 )

@@ -6,6 +6,7 @@ from tradescope.dataset import Dataset
 from tradescope.operators import clean, quality
 from tradescope.operators.clean import DIGEST, with_digest
 from tradescope.operators.filters import Filters, filter_sales, by_years, in_years
+from tradescope.operators.prints import count_prints
 from tradescope.plans.fact import sales_fact
 
 
@@ -176,3 +177,48 @@ def test_the_profile_moves_digests_only(spark, tmp_path, monkeypatch):
     assert exchanged and all("wide" not in line for line in exchanged)
     aggregates = [line for line in physical_plan(staged[0]).splitlines() if "partial_count" in line and "keys=[_table" in line]
     assert aggregates and all("wide" not in line for line in aggregates)
+
+
+def test_packed_fingerprints_are_counted_exactly(spark):
+    """Against a plain count: several tables in a task, slots across batches, a hot one, chunks of few rows."""
+    rows = spark.range(0, 6000, 1, 3).selectExpr(
+        "cast(id % 2 AS int) AS _table",
+        "CASE WHEN id % 3 = 0 THEN 1152921504606846975 WHEN id % 5 = 0 THEN id div 20 ELSE xxhash64(id) >>> 4 END AS _print",
+        "id % 4 AS _nulls",
+    )
+    for chunk in (1, 100, 1 << 20):
+        got = count_prints(rows, chunk).collect()
+        several = sorted((r["_table"], r["_print"]) for r in got if r["_print"] is not None)
+        plain = rows.groupBy("_table", "_print").count().collect()
+        assert several == sorted((r["_table"], r["_print"]) for r in plain if r["count"] > 1)
+        for number in (0, 1):
+            sums = [r for r in got if r["_table"] == number]
+            assert sum(r["_rows"] for r in sums) == 3000
+            assert sum(r["_nulls"] for r in sums) == rows.where(f"_table = {number}").agg(F.sum("_nulls")).first()[0]
+            assert sum(r["_once"] for r in sums) == sum(r["count"] == 1 and r["_table"] == number for r in plain)
+
+
+def test_the_profile_sends_no_row_of_its_own(spark, tmp_path, monkeypatch):
+    """Before the exchange the fingerprints are in records of a slot; nothing else is exchanged for them."""
+    staged = []
+    real = quality.stage
+    monkeypatch.setattr(quality, "stage", lambda df, label: staged.append(df) or real(df, label))
+    few, many = spark.range(900), spark.range(900).selectExpr("id % 100 AS id")
+    ds = Dataset(spark, {"few": few.union(few.where("id % 90 = 0")).repartition(3), "many": many.repartition(3)})
+    got = {r.table_key: tuple(r) for r in quality.quality_profile(ds).collect()}
+    assert got["few"] == ("few", 910, 1, 0.0, 10) and got["many"] == ("many", 900, 1, 0.0, 800)
+    exchanged = [line for line in physical_plan(staged[0]).splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("_slot" in line for line in exchanged) == 1 and not any("_digest" in line for line in exchanged)
+
+
+def test_shared_fingerprints_of_different_rows(spark, monkeypatch):
+    """Fingerprints that pairs of rows share wrongly, in a table that is compared whole and in one that is not."""
+    def narrow(df, json_columns=None):
+        return [F.when(F.col("a") < 20, F.col("a").cast("long").bitwiseAND(~1)).otherwise(F.col("a").cast("long")).bitwiseAND(2**40 - 1).alias(c) for c in DIGEST]
+
+    monkeypatch.setattr(quality, "fingerprint", lambda digest: digest)
+    for module in (clean, quality):
+        monkeypatch.setattr(module, "digest_columns", narrow)
+    for size in (25, 400):
+        profile = quality.profile_table(spark.range(size).selectExpr("id AS a").repartition(3), "t").collect()[0]
+        assert (profile.rows, profile.duplicate_rows_after_cleaning) == (size, 0)

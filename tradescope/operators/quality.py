@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tradescope.dataset import Dataset
 from tradescope.operators.clean import DIGEST, digest_columns, with_digest
+from tradescope.operators.prints import count_prints, fingerprint
 from tradescope.operators.staging import stage
 from tradescope.registry import table_specs
 
@@ -55,20 +56,23 @@ def _null_cells(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, map(missing, df.schema))
 
 
-def _digests(number: int, df: DataFrame, json_columns: list[str] | None) -> DataFrame:
-    return df.select(
-        F.lit(number).alias("_table"), *digest_columns(df, json_columns), _null_cells(df).alias("_nulls")
-    )
+def _prints(number: int, df: DataFrame, json_columns: list[str] | None) -> DataFrame:
+    high = digest_columns(df, json_columns)[0]
+    return df.select(F.lit(number).alias("_table"), fingerprint(high).alias("_print"), _null_cells(df).alias("_nulls"))
 
 
-def _whole_rows(folded: DataFrame, number: int, df: DataFrame, json_columns: list[str] | None) -> DataFrame:
-    """Number of different rows among those of a table whose digest occurs more than once."""
+def _whole_rows(folded: DataFrame, number: int, df: DataFrame, json_columns: list[str] | None, every: bool) -> DataFrame:
+    """Number of different rows among those whose fingerprint occurs more than once, or among ``every`` row."""
     marked, keys = with_digest(df, json_columns)
-    digest = list(DIGEST)
-    repeated = folded.where((F.col("_table") == number) & F.col(digest[0]).isNotNull()).select(*digest)
+    compared = [F.col(f"`{k}`") for k in keys]
+    if not every:
+        marked = marked.withColumn("_print", fingerprint(F.col(DIGEST[0])))
+        repeated = folded.where((F.col("_table") == number) & F.col("_print").isNotNull()).select("_print")
+        marked = marked.join(repeated, "_print", "left_semi")
+        # Where rows have met by their fingerprint, they are compared where they are.
+        compared = [F.col("_print"), *compared]
     return (
-        marked.join(repeated, digest, "left_semi")
-        .groupBy(*[F.col(f"`{k}`") for k in keys])
+        marked.groupBy(*compared)
         .agg(F.lit(1).alias("_one"))
         .agg(F.count(F.lit(1)).alias("_different"))
         .select(F.lit(number).alias("_table"), "_different")
@@ -76,35 +80,34 @@ def _whole_rows(folded: DataFrame, number: int, df: DataFrame, json_columns: lis
 
 
 def _profiles(tables: list[tuple[str, DataFrame, list[str] | None]]) -> DataFrame:
-    """The profile rows of tables: sixteen bytes of digest a row travel, and whole rows of repeated digests.
+    """The profile rows of tables: six bytes of fingerprint a row travel, and whole rows of repeated ones.
 
-    All tables are counted in one pass, when this is called: digests that occur once fold into
-    one row a table, the others keep theirs.  What shares a digest is then compared whole.
+    All tables are counted in one pass, when this is called: fingerprints that occur once fold
+    into one row a table, the others keep theirs.  What shares a fingerprint is then compared
+    whole; so is a table with more rows of repeated fingerprints than others, at once and without a join.
     """
-    high, low = DIGEST
-    rows = reduce(DataFrame.union, (_digests(i, df, nested) for i, (_, df, nested) in enumerate(tables)))
-    counted = rows.groupBy("_table", high, low).agg(F.count(F.lit(1)).alias("_times"), F.sum("_nulls").alias("_nulls"))
-    several = F.col("_times") > 1
-    folded = stage(
-        counted.groupBy("_table", F.when(several, F.col(high)).alias(high), F.when(several, F.col(low)).alias(low)).agg(
-            F.sum("_times").alias("_rows"), F.sum("_nulls").alias("_nulls"), F.count(F.lit(1)).alias("_digests")
-        ),
-        "profile",
+    rows = reduce(DataFrame.union, (_prints(i, df, nested) for i, (_, df, nested) in enumerate(tables)))
+    sums = [F.sum(c).alias(c) for c in ("_rows", "_nulls", "_once")]
+    folded = stage(count_prints(rows).groupBy("_table", "_print").agg(*sums, F.count("_print").alias("_several")), "profile")
+    of_table = folded.groupBy("_table").agg(
+        F.sum("_rows").alias("rows"), F.sum("_nulls").alias("nulls"), F.sum("_once").alias("once"), F.sum("_several").alias("several")
     )
     # At most a row a table.
-    doubtful = {r["_table"] for r in folded.where(F.col(high).isNotNull()).select("_table").distinct().collect()}
+    doubtful = {r["_table"]: r["rows"] > 2 * r["once"] for r in of_table.where("several > 0").collect()}
     names = folded.sparkSession.createDataFrame(
-        [(i, key, len(df.columns)) for i, (key, df, _) in enumerate(tables)], "_table int, table_key string, columns long"
-    )
-    once = F.sum(F.when(F.col(high).isNull(), F.col("_digests")))
-    measured = names.join(
-        folded.groupBy("_table").agg(F.sum("_rows").alias("rows"), F.sum("_nulls").alias("nulls"), once.alias("once")), "_table", "left"
+        [(i, key, len(df.columns), doubtful.get(i, False)) for i, (key, df, _) in enumerate(tables)],
+        "_table int, table_key string, columns long, every boolean",
     )
+    measured = names.join(of_table, "_table", "left")
     if doubtful:
-        whole = _stack([_whole_rows(folded, i, df, nested) for i, (_, df, nested) in enumerate(tables) if i in doubtful])
+        whole = _stack(
+            [_whole_rows(folded, i, df, nested, doubtful[i]) for i, (_, df, nested) in enumerate(tables) if i in doubtful]
+        )
         measured = measured.join(whole, "_table", "left")
     else:
         measured = measured.withColumn("_different", F.lit(0))
+    # Where every row was compared, the others are among them.
+    measured = measured.withColumn("once", F.when(~F.col("every"), F.col("once")))
     zero = F.lit(0)
     measured = measured.select(
         "table_key",

@@ -75,3 +75,21 @@ def test_only_the_wanted_groups_are_built(spark, monkeypatch):
     monkeypatch.setattr("tradescope.plans.insights.rfm_segments", lambda *_: 1 / 0)
     some = build_insights(ds, sold, groups=PRIORITY_GROUPS)
     assert values(some) == values(priorities(whole))
+
+
+def test_some_groups_join_only_what_they_read(spark, monkeypatch):
+    """The management groups tell no orders, products or customers apart, so neither does their roll-up."""
+    joined = []
+    real = rollup.stage_once
+    monkeypatch.setattr(rollup, "stage_once", lambda df, label: joined.append(df) or real(df, label))
+    ds = dataset(spark, SF)
+    whole = values(priorities(build_insights(ds, catalog._narrow_fact(ds))))
+    joined.clear()
+    assert values(build_insights(ds, catalog._narrow_fact(ds), groups=PRIORITY_GROUPS)) == whole
+    plan = physical_plan(joined[0])
+    assert not [c for c in ("p_name", "region_name") if c in plan]
+    assert joined[0].columns == ["month", "category_name", "_set", "net_amount", "cost"]
+    odd = odd_fact(spark)
+    for groups in (["Executive"], ["Executive", "Sales & Customer"], ["Cross-Functional"]):
+        narrow = build_insights(ds, odd, groups=groups)
+        assert values(narrow) == values(build_insights(ds, sales_rollup(odd), groups=groups)), groups

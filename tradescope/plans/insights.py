@@ -21,6 +21,7 @@ from tradescope.plans.sales import (
     executive_kpis,
     leading,
     product_contribution,
+    revenue_and_profit,
 )
 
 # --- Fixed values: insight groups and sentences ----------------------------------------
@@ -49,6 +50,11 @@ NEUTRAL = "Revenue and profit metrics are available for management review; compa
 WEAK_CATEGORY = "Review category '{name}' because it has the lowest observed profit margin in the selected context."
 AT_RISK_REVIEW = "{count} high-value customer(s) are classified as At-Risk Valuable; consider targeted retention or service-recovery review."
 MARGIN_THRESHOLD = 20
+# Columns of the fact that the groups read beside month, revenue and cost.
+GROUP_COLUMNS = {
+    "Sales & Customer": ["order_id", "cust_id", "order_date", "product_name", "quantity"],
+    "Cross-Functional": ["category_name"],
+}
 # --- End of fixed values ---------------------------------------------------------------
 
 
@@ -97,7 +103,15 @@ def _executive(fact: DataFrame) -> DataFrame:
         profit=F.concat(F.lit(RUPEE), grouped("profit")),
         margin=margin,
     )
-    return _row(executive_kpis(fact), "Executive", 1, "executive_summary", message)
+    return _row(revenue_and_profit(fact), "Executive", 1, "executive_summary", message)
+
+
+def _rollup_for(fact: DataFrame, groups: Sequence[str]) -> SalesRollup:
+    """The fact rolled up by what some of the groups read; for all groups whole, as the report does."""
+    wanted = {"month", "net_amount", "cost", *(c for g in groups for c in GROUP_COLUMNS.get(g, []))}
+    kept = [c for c in fact.columns if c in wanted]
+    narrow = "month" in kept and set(groups) < set(GROUPS)
+    return sales_rollup(fact.select(*kept) if narrow else fact)
 
 
 def build_insights(
@@ -110,9 +124,10 @@ def build_insights(
 ) -> DataFrame:
     """(group_no, group, seq, rule_id, message) over all business areas, or only some ``groups``.
 
-    The fact is rolled up once; what no wanted group needs is not built.
+    The fact is rolled up once; what no wanted group needs is not built, and columns that none
+    of them reads are not joined.
     """
-    sold = fact if isinstance(fact, SalesRollup) else sales_rollup(fact)
+    sold = fact if isinstance(fact, SalesRollup) else _rollup_for(fact, groups)
     rows = []
     if "Executive" in groups:
         rows.append(_executive(sold.orders))

@@ -18,6 +18,7 @@ from tradescope.operators.staging import stage_once
 # What an order, a product and a category row say about themselves.
 _ORDER = ("order_id", "month", "region_name", "cust_id")
 _NAMES = ("product_name", "category_name")
+_MEASURES = {"quantity": F.sum, "net_amount": F.sum, "cost": F.sum, "order_date": F.max}
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,8 @@ class SalesRollup:
 
     ``orders`` has one row per order (and month, region and customer, should an order have
     several), with their columns; ``products`` and ``categories`` one per name, or None where
-    the fact does not have the name.  All carry quantity, net_amount, cost and order_date.
+    the fact does not have the name.  All carry quantity, net_amount, cost and order_date, as far
+    as the fact has them.  A fact without order ids has ``orders`` by the other columns alone.
     """
 
     orders: DataFrame
@@ -44,18 +46,14 @@ def sales_rollup(fact: DataFrame) -> SalesRollup:
     names = [c for c in _NAMES if c in fact.columns]
     sets = [[F.col(c) for c in order], *([F.col(n)] for n in names)]
     keys = [F.col(c) for c in (*order, *names)]
+    measures = [m for m in _MEASURES if m in fact.columns]
     rolled = fact.groupingSets(sets, *keys).agg(
-        F.grouping_id().alias("_set"),
-        F.sum("quantity").alias("quantity"),
-        F.sum("net_amount").alias("net_amount"),
-        F.sum("cost").alias("cost"),
-        F.max("order_date").alias("order_date"),
+        F.grouping_id().alias("_set"), *[_MEASURES[m](m).alias(m) for m in measures]
     )
     staged = stage_once(rolled, "sales_rollup")
     # A bit for every key that is not in the set, the first key's the highest.
     width = len(order) + len(names)
     everything = (1 << width) - 1
-    measures = ["quantity", "net_amount", "cost", "order_date"]
 
     def of(columns: list[str]) -> DataFrame:
         held = sum(1 << (width - 1 - [*order, *names].index(c)) for c in columns)

@@ -56,6 +56,11 @@ def executive_kpis(fact: DataFrame) -> DataFrame:
     )
 
 
+def revenue_and_profit(fact: DataFrame) -> DataFrame:
+    """Revenue, profit and margin as one row; orders are not told apart."""
+    return _with_margin(fact.agg(*_revenue_profit()))
+
+
 def monthly_sales(fact: DataFrame) -> DataFrame:
     return _with_margin(_by(fact, "month", *_revenue_profit(), _order_count())).orderBy("month")
 

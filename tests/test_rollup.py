@@ -93,3 +93,14 @@ def test_some_groups_join_only_what_they_read(spark, monkeypatch):
     for groups in (["Executive"], ["Executive", "Sales & Customer"], ["Cross-Functional"]):
         narrow = build_insights(ds, odd, groups=groups)
         assert values(narrow) == values(build_insights(ds, sales_rollup(odd), groups=groups)), groups
+
+
+def test_rows_stand_for_orders_only_where_no_order_has_several(spark):
+    several = sales_rollup(odd_fact(spark))
+    assert not several.one_row_per_order
+    single = sales_rollup(odd_fact(spark).where("order_id IS NULL OR order_id <> 7").dropDuplicates(["order_id"]))
+    assert single.one_row_per_order and single.orders.count() == 5
+    for result in (sales.executive_kpis, rfm.customer_values):
+        assert values(result(single.orders, single.one_row_per_order)) == values(result(single.orders)), result
+    counted = rfm.customer_values(single.orders, True)
+    assert physical_plan(counted).count("Exchange") == 1 < physical_plan(rfm.customer_values(single.orders)).count("Exchange")

@@ -137,7 +137,7 @@ def build_insights(
             rows.append(
                 _row(top, "Sales & Customer", 1, "top_product", _sentence(TOP_PRODUCT, name=F.col("name")))
             )
-        risky = _at_risk(rfm if rfm is not None else rfm_segments(sold.orders))
+        risky = _at_risk(rfm if rfm is not None else rfm_segments(sold.orders, one_row_per_order=sold.one_row_per_order))
         rows.append(
             _row(risky, "Sales & Customer", 2, "at_risk", _sentence(AT_RISK_COUNT, count=grouped("n")))
         )

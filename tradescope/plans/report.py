@@ -80,7 +80,7 @@ def build_report(
 ) -> Report:
     """Report over a filtered fact, which is rolled up once for all parts."""
     sold = fact if isinstance(fact, SalesRollup) else sales_rollup(fact)
-    kpis = executive_kpis(sold.orders)
+    kpis = executive_kpis(sold.orders, sold.one_row_per_order)
     insights = build_insights(ds, sold, filters.years, filters.platforms)
     frames = {
         "Executive_Monthly_KPI": monthly_sales(sold.orders),

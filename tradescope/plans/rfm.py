@@ -33,11 +33,15 @@ RFM_COLUMNS = [
 ]
 
 
-def customer_values(sales: DataFrame) -> DataFrame:
-    """Last order, distinct orders and spend per customer, the unknown one included."""
+def customer_values(sales: DataFrame, one_row_per_order: bool = False) -> DataFrame:
+    """Last order, distinct orders and spend per customer, the unknown one included.
+
+    With ``one_row_per_order`` rows are counted, which moves no order ids.
+    """
+    count = F.count if one_row_per_order else F.count_distinct
     return sales.groupBy("cust_id").agg(
         F.max("order_date").alias("last_order"),
-        F.count_distinct("order_id").alias("frequency"),
+        count("order_id").alias("frequency"),
         F.sum("net_amount").alias("monetary"),
     )
 
@@ -136,7 +140,8 @@ def _segment() -> Column:
 
 
 def rfm_segments(
-    fact: DataFrame, slots: int | None = None, by_monetary: bool = False, few: int = FEW, bits: int = 16
+    fact: DataFrame, slots: int | None = None, by_monetary: bool = False, few: int = FEW, bits: int = 16,
+    one_row_per_order: bool = False,
 ) -> DataFrame:
     """Scores 1..5 by rank share, segment and lifetime-value proxy per customer.
 
@@ -147,7 +152,7 @@ def rfm_segments(
     The per-customer values are staged, because they are read three times and cost the
     fact's shuffle.  A customer without an order date gets no recency score.
     """
-    values = stage_once(customer_values(fact), "customers")
+    values = stage_once(customer_values(fact, one_row_per_order), "customers")
     known = F.col("cust_id").isNotNull()
     # What the customers are measured against.  Orders without a customer still move the
     # reference date.

@@ -9,10 +9,12 @@ card and frame, and the join below it is computed once and never staged at item
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradescope.operators.prints import count_prints, fingerprint
 from tradescope.operators.staging import stage_once
 
 # What an order, a product and a category row say about themselves.
@@ -35,6 +37,19 @@ class SalesRollup:
     products: DataFrame | None
     categories: DataFrame | None
 
+    @cached_property
+    def one_row_per_order(self) -> bool:
+        """Whether no order id is on several rows of ``orders``, so that counting rows counts orders.
+
+        Looked up once, by fingerprints; two orders of one fingerprint would only count as not so.
+        """
+        if "order_id" not in self.orders.columns:
+            return False
+        prints = self.orders.where("order_id IS NOT NULL").select(
+            F.lit(0).alias("_table"), fingerprint(F.xxhash64("order_id")).alias("_print"), F.lit(0).cast("long").alias("_nulls")
+        )
+        return not count_prints(prints).agg(F.count("_print").alias("several")).first().several
+
 
 def sales_rollup(fact: DataFrame) -> SalesRollup:
     """Roll the fact up and write the result down; the fact is read once.

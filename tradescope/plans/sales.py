@@ -37,17 +37,21 @@ def _revenue_profit() -> list[Column]:
     return [total("net_amount").alias("revenue"), _profit_total().alias("profit")]
 
 
-def _order_count() -> Column:
-    return F.count_distinct("order_id").alias("orders")
+def _order_count(one_row_per_order: bool = False) -> Column:
+    count = F.count if one_row_per_order else F.count_distinct
+    return count("order_id").alias("orders")
 
 
 def _with_margin(df: DataFrame, out: str = "margin_pct") -> DataFrame:
     return df.withColumn(out, percent(F.col("profit"), F.col("revenue")))
 
 
-def executive_kpis(fact: DataFrame) -> DataFrame:
-    """Revenue, profit, margin, orders and average order value, as one row."""
-    return fact.agg(*_revenue_profit(), _order_count()).select(
+def executive_kpis(fact: DataFrame, one_row_per_order: bool = False) -> DataFrame:
+    """Revenue, profit, margin, orders and average order value, as one row.
+
+    With ``one_row_per_order`` rows are counted, which moves no order ids.
+    """
+    return fact.agg(*_revenue_profit(), _order_count(one_row_per_order)).select(
         "revenue",
         "profit",
         percent(F.col("profit"), F.col("revenue")).alias("margin_pct"),
